@@ -11,7 +11,8 @@ Blocks
     and the documents in a block are permuted by hash. A source's mix is its
     blocks in permuted order, again from the start once all are drawn, up to
     its target: whole blocks, then of one boundary block the documents in
-    permuted order that still fit, in ``FILLS`` passes.
+    permuted order that still fit, in ``FILLS`` passes, and last the one whose
+    size is nearest to the room left, if that brings the sum nearer.
 
 Splitting tree
     The drawn block slots of all sources are dealt to ``shards`` output shards.
@@ -46,7 +47,7 @@ SEED = 42
 BLOCKS = 4096
 #: Words of a block at least, where the input is small.
 BLOCK_WORDS = 16_384
-FILLS = 3
+FILLS = 4
 BROADCAST_ROWS = 100_000
 
 
@@ -84,9 +85,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _log_step(k: Column, total: Column, good: Column, drawn: Column) -> Column:
-    """Ratio of the hypergeometric probabilities of k + 1 and k."""
-    return ((good - k) * (drawn - k)) / ((k + 1) * (total - good - drawn + k + 1))
+def _let(make, **values: Column) -> Column:
+    """``make`` applied to values that are worked out once, wherever it uses them."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), make)[0]
 
 
 def hypergeometric(total: Column, good: Column, drawn: Column, unit: Column) -> Column:
@@ -96,43 +97,46 @@ def hypergeometric(total: Column, good: Column, drawn: Column, unit: Column) ->
     over all counts within 12 deviations (and 12 more) of it; what lies beyond
     weighs less than the grain of ``unit``.
     """
-    low, high = F.greatest(F.lit(0.0), drawn + good - total), F.least(drawn, good)
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (good + 1) / (total + 2)).cast("double")))
-    mean_part = drawn * good / F.greatest(total, F.lit(1.0))
-    deviation = F.sqrt(F.greatest(F.lit(0.0), mean_part * (1 - good / F.greatest(total, F.lit(1.0)))))
-    reach = F.ceil(deviation * 12 + 12).cast("double")
-    first, last = F.greatest(low, mode - reach), F.least(high, mode + reach)
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
+
+    def ratio(v: Column, k: Column) -> Column:
+        """The probability of k + 1 over that of k."""
+        return ((v["good"] - k) * (v["drawn"] - k)) / ((k + 1) * (v["total"] - v["good"] - v["drawn"] + k + 1))
 
     def steps(n: Column) -> Column:
         return F.when(n >= 1, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
-    def up(state: Column, i: Column) -> Column:
-        w = state["w"] * _log_step(mode + i.cast("double") - 1, total, good, drawn)
-        return F.struct(w.alias("w"), (state["sum"] + w).alias("sum"))
+    def walk(v: Column, up: bool, start: Column, seek: Column | None = None) -> Column:
+        """Sum of the weights on one side of the mode, whose weight is 1; with ``seek`` the count at which the sum passes it."""
+        sign = 1 if up else -1
+
+        def step(state: Column, i: Column) -> Column:
+            k = v["mode"] + sign * i.cast("double")
+            w = state["w"] * ratio(v, k - 1) if up else state["w"] / ratio(v, k)
+            new = F.struct(w.alias("w"), (state["sum"] + w).alias("sum"))
+            return new if seek is None else F.struct(new["w"].alias("w"), new["sum"].alias("sum"), F.coalesce(state["k"], F.when(seek < new["sum"], k)).alias("k"))
 
-    def down(state: Column, i: Column) -> Column:
-        w = state["w"] / _log_step(mode - i.cast("double"), total, good, drawn)
-        return F.struct(w.alias("w"), (state["sum"] + w).alias("sum"))
+        first = [F.lit(1.0).alias("w"), start.alias("sum"), *([] if seek is None else [F.lit(None).cast("double").alias("k")])]
+        return F.aggregate(steps(v["last"] - v["mode"] if up else v["mode"] - v["first"]), F.struct(*first), step, lambda s: s["sum" if seek is None else "k"])
 
-    above = F.aggregate(steps(last - mode), zero, up, lambda s: s["sum"])
-    below = F.aggregate(steps(mode - first), zero, down, lambda s: s["sum"])
-    goal = unit * (1 + above + below)
-    # Counts in the order mode, mode + 1, ..., last, mode - 1, ..., first; the first whose running sum passes the goal.
-    seek = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), F.when(goal < 1, mode).alias("k"))
+    def draw(v: Column) -> Column:
+        # Counts in the order mode, mode + 1, ..., last, mode - 1, ..., first; the first whose running sum passes the goal.
+        def found(x: Column) -> Column:
+            return F.when(x["goal"] < 1, v["mode"]).otherwise(F.coalesce(walk(v, True, F.lit(1.0), x["goal"]), walk(v, False, 1 + x["above"], x["goal"]), v["mode"]))
 
-    def seek_up(state: Column, i: Column) -> Column:
-        w = state["w"] * _log_step(mode + i.cast("double") - 1, total, good, drawn)
-        return F.struct(w.alias("w"), (state["sum"] + w).alias("sum"), F.coalesce(state["k"], F.when(goal < state["sum"] + w, mode + i.cast("double"))).alias("k"))
+        def weighed(x: Column) -> Column:
+            return _let(found, above=x["above"], goal=v["unit"] * (1 + x["above"] + x["below"]))
 
-    def seek_down(state: Column, i: Column) -> Column:
-        w = state["w"] / _log_step(mode - i.cast("double"), total, good, drawn)
-        return F.struct(w.alias("w"), (state["sum"] + w).alias("sum"), F.coalesce(state["k"], F.when(goal < state["sum"] + w, mode - i.cast("double"))).alias("k"))
+        return _let(weighed, above=walk(v, True, F.lit(0.0)), below=walk(v, False, F.lit(0.0)))
 
-    upward = F.aggregate(steps(last - mode), seek, seek_up, lambda s: s["k"])
-    start_down = F.struct(F.lit(1.0).alias("w"), (1 + above).alias("sum"), F.lit(None).cast("double").alias("k"))
-    downward = F.aggregate(steps(mode - first), start_down, seek_down, lambda s: s["k"])
-    return F.coalesce(upward, downward, mode)
+    def bounded(v: Column) -> Column:
+        same = {k: v[k] for k in ("total", "good", "drawn", "unit", "mode")}
+        return _let(draw, first=F.greatest(v["low"], v["mode"] - v["reach"]), last=F.least(v["high"], v["mode"] + v["reach"]), **same)
+
+    low, high = F.greatest(F.lit(0.0), drawn + good - total), F.least(drawn, good)
+    mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (good + 1) / (total + 2)).cast("double")))
+    share = good / F.greatest(total, F.lit(1.0))
+    reach = F.ceil(12 + 12 * F.sqrt(F.greatest(F.lit(0.0), drawn * share * (1 - share)))).cast("double")
+    return _let(bounded, total=total, good=good, drawn=drawn, unit=unit, low=low, high=high, mode=mode, reach=reach)
 
 
 def _split(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
@@ -154,7 +158,7 @@ def _split(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataF
 
         def draw(state: Column, x: Column) -> Column:
             took = hypergeometric(state["total"], x["quota"], state["slots"], _unit(F.lit(seed), F.col("lo"), F.col("hi"), x["_bitloom_no"]))
-            return F.transform(F.array(took), lambda t: F.struct((state["total"] - x["quota"]).alias("total"), (state["slots"] - t).alias("slots"), F.concat(state["left"], F.array(t)).alias("left")))[0]
+            return _let(lambda t: F.struct((state["total"] - x["quota"]).alias("total"), (state["slots"] - t["k"]).alias("slots"), F.concat(state["left"], F.array(t["k"])).alias("left")), k=took)
 
         start = F.struct(F.col("total").alias("total"), F.col("slots").alias("slots"), F.array().cast("array<double>").alias("left"))
         nodes = nodes.withColumn("left", F.aggregate("q", start, draw, lambda s: s["left"]))
@@ -220,6 +224,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         rest = scratch.keep(rest.where(~inside).select("_bitloom_no", "place", "size", (F.col("room") - F.coalesce("took", F.lit(0))).alias("room")), f"rest-{i}")
         cut = cut.drop("took")
         cuts = cut if cuts is None else cuts.join(cut, "_bitloom_no", "full")
+    off = F.abs(F.col("size") - F.col("room"))
+    nearest = rest.where(off < F.col("room")).groupBy("_bitloom_no").agg(F.min(F.struct(off.alias("off"), "place", "size")).alias("n"))
+    nearest = scratch.keep(nearest.select("_bitloom_no", F.col("n.place").alias("_bitloom_last_place"), F.col("n.size").alias("_bitloom_last_size")), "nearest")
+    cuts = cuts.join(nearest, "_bitloom_no", "full")
 
     # Slots: for each source its whole epochs, then the last, unfinished one.
     drawn = F.when(F.col("last") == "none", 0).otherwise(1)
@@ -236,7 +244,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     out = docs.select("*", words(F.col("text")).alias("mix_size"), key.alias("_bitloom_key"))
     out = dealt(out, "source", "mix_size", "_bitloom_key").join(_small(plan), ["_bitloom_no", "_bitloom_block"], "left")
-    fits = F.lit(False)
+    fits = F.coalesce((F.col("mix_size") == F.col("_bitloom_last_size")) & (F.col("_bitloom_place") == F.col("_bitloom_last_place")), F.lit(False))
     for i in range(FILLS):
         fits = fits | F.coalesce((F.col("mix_size") <= F.col(f"_bitloom_room{i}")) & (F.col("_bitloom_place") <= F.col(f"_bitloom_cut{i}")), F.lit(False))
     taken = F.filter("_bitloom_slots", lambda s: (F.col("mix_size") > 0) & (~s["part"] | fits))
