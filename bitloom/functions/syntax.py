@@ -11,6 +11,7 @@ bits, value 1), more (no bits, whether payload is left before the stop bit).
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -30,13 +31,14 @@ class Element(NamedTuple):
 
 def parse(bits: Column, table: list[Element], given: Column | None = None) -> Column:
     """struct<pos, vals map<string,bigint>, ok>: values of the elements present, of ``given`` too, and whether all could be read."""
-    rows = F.array(
-        *(
-            F.struct(F.lit(e.name).alias("name"), F.lit(e.kind).alias("kind"), F.lit(e.n).alias("n"), F.lit(e.when[0] if e.when else None).cast("string").alias("field"),
-                     F.lit(e.when[1] if e.when else 0).cast("long").alias("low"), F.lit(e.when[2] if e.when else 0).cast("long").alias("high"), F.lit(e.length).alias("length"))
-            for e in table
-        )
-    )
+    given = F.create_map().cast("map<string,bigint>") if given is None else given
+    return let(lambda v: _fold(v["bits"], table, v["given"]), bits=bits, given=given)
+
+
+def _fold(bits: Column, table: list[Element], given: Column) -> Column:
+    # One foldable literal, whatever the length of the table.
+    rows = [{"name": e.name, "kind": e.kind, "n": e.n, "field": e.when and e.when[0], "low": e.when and e.when[1], "high": e.when and e.when[2], "length": e.length} for e in table]
+    elements = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,kind:string,n:int,field:string,low:bigint,high:bigint,length:string>>")
 
     def step(state: Column, e: Column) -> Column:
         here = F.coalesce(state["vals"][e["field"]].between(e["low"], e["high"]), F.lit(False))
@@ -62,9 +64,8 @@ def parse(bits: Column, table: list[Element], given: Column | None = None) -> Co
         zeros = F.when(e["kind"].isin("ue", "se"), B.leading_zeros(bits, state["pos"]))
         return F.when(present, let(read, z=zeros)).otherwise(state)
 
-    empty = F.create_map().cast("map<string,bigint>") if given is None else given
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("vals"), F.lit(True).alias("ok"))
-    return F.aggregate(rows, start, step)
+    start = F.struct(F.lit(0).alias("pos"), given.alias("vals"), F.lit(True).alias("ok"))
+    return F.aggregate(elements, start, step)
 
 
 def _u(n: int, *names: str, when=None) -> list[Element]:
