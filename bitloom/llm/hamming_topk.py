@@ -10,14 +10,17 @@ soon as its kth verified distance is no larger; the others go on to round r + 1.
 Scale: equal query codes are one search. Of equal index codes only the k rows
 with the smallest ids can be in any answer, so the others are cut by a rank
 that Spark limits before its shuffle. A candidate is taken only under the first
-of its nearest segments, so it is verified once. Everything is a join on
-(segment, value): nothing is compared with all rows.
+of its nearest segments, so it is verified once, and goes on only if it is no
+farther than the kth so far. Everything is a join on (segment, value): nothing
+is compared with all rows.
 """
 
 from __future__ import annotations
 
-from math import comb
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,12 +71,13 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, segment_bits: int =
     indexed = under_segments(rows.withColumnRenamed("id", "row_id"))
     there = rows.limit(k).count()
 
-    open_ = scratch.keep(asked.select("code").distinct(), "open-0")
+    # Codes asked for that are not finished, with their kth distance so far.
+    open_ = scratch.keep(asked.select(F.col("code").alias("q")).distinct().withColumn("worst", F.lit(bits)), "open-0")
     best = done = None
     for radius in range(segment_bits + 1):
-        flips = F.array(*(F.lit(m) for m in _masks(segment_bits, radius)))
-        probes = under_segments(open_).select(F.col("code").alias("q"), "seg", F.explode(F.transform(flips, lambda m: F.col("val").bitwiseXOR(m))).alias("val"))
-        found = probes.join(indexed, ["seg", "val"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
+        probes = open_.mapInArrow(_probes(segments, segment_bits, radius), "q bigint, worst int, seg int, val int")
+        # A planner that takes the probes for as small as the queries would broadcast them.
+        found = probes.hint("merge").join(indexed, ["seg", "val"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         near = [F.bit_count(segment("x", i)) for i in range(segments)]
         first = F.lit(False)
         for i in range(segments):
@@ -82,34 +86,49 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, segment_bits: int =
             for other in others:
                 mine = mine & other
             first = first | mine
-        found = found.where(first).select("q", F.col("row_id").alias("id"), F.bit_count("x").alias("distance"))
+        found = found.where(first & (F.bit_count("x") <= F.col("worst"))).select("q", F.col("row_id").alias("id"), F.bit_count("x").alias("distance"))
         if best is not None:
             found = found.unionByName(best)
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= k)
         ranked = scratch.keep(ranked, f"ranked-{radius}")
         seen = segments * (radius + 1) - 1
-        sure = ranked.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("worst")).where((F.col("n") >= there) & (F.col("worst") <= seen)).select("q")
-        sure = scratch.keep(sure, f"sure-{radius}")
+        state = ranked.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("now"))
+        state = open_.join(state, "q", "left").select("q", F.when(F.col("n") >= k, F.col("now")).otherwise(F.lit(bits)).alias("worst"), F.coalesce((F.col("n") >= there) & (F.col("now") <= seen), F.lit(False)).alias("sure"))
+        state = scratch.keep(state, f"state-{radius}")
+        sure = state.where("sure").select("q")
         complete = ranked.join(sure, "q", "left_semi")
         done = complete if done is None else done.unionByName(complete)
         best = ranked.join(sure, "q", "left_anti").select("q", "id", "distance")
-        open_ = scratch.keep(open_.join(sure, open_["code"] == sure["q"], "left_anti"), f"open-{radius + 1}")
+        open_ = state.where("not sure").select("q", "worst")
         if open_.isEmpty():
             break
     return asked.join(done, asked["code"] == done["q"]).select("query_id", "rank", "id", "distance")
 
 
-def _masks(bits: int, ones: int) -> list[int]:
+def _masks(bits: int, ones: int) -> np.ndarray:
     """All values of ``bits`` bits with exactly ``ones`` ones, ascending."""
-    if ones == 0:
-        return [0]
-    out, value = [], (1 << ones) - 1
-    for _ in range(comb(bits, ones)):
-        out.append(value)
-        low = value & -value
-        high = value + low
-        value = high | (((value ^ high) >> 2) // low)
-    return out
+    every = np.arange(1 << bits, dtype=np.int64)
+    return every[np.bitwise_count(every) == ones]
+
+
+def _probes(segments: int, segment_bits: int, radius: int):
+    """(q, worst) -> (q, worst, seg, val) for all segment values at exactly ``radius`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = _masks(segment_bits, radius)
+        for batch in batches:
+            codes, worst = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            codes = codes.astype(np.int64)
+            step = max(1, 200_000 // len(masks))
+            for at in range(0, len(codes), step):
+                some, bound = codes[at : at + step], worst[at : at + step].astype(np.int32)
+                for seg in range(segments):
+                    own = (some.view(np.uint64) >> np.uint64(seg * segment_bits)).astype(np.int64) & ((1 << segment_bits) - 1)
+                    values = (own[:, None] ^ masks[None, :]).ravel().astype(np.int32)
+                    columns = [np.repeat(some, len(masks)), np.repeat(bound, len(masks)), np.full(len(values), seg, dtype=np.int32), values]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "worst", "seg", "val"])
+
+    return run
 
 
 def oracle_sql(every: int, k: int = K) -> str:

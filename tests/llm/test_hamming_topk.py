@@ -49,4 +49,4 @@ def test_sign_codes(spark):
 
 def test_masks():
     for ones in range(9):
-        assert h._masks(8, ones) == [x for x in range(256) if x.bit_count() == ones]
+        assert h._masks(8, ones).tolist() == [x for x in range(256) if x.bit_count() == ones]
