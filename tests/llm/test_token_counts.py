@@ -33,6 +33,16 @@ def test_overlaps_widen_where_nothing_aligns(tokenizer, text):
         assert widened
 
 
+def test_ranks_count_as_the_library_does(tokenizer):
+    random.seed(5)
+    fast = t.ranked(tokenizer)
+    parts = ["word", " ", " ", "  ", "\n", " \n", "\t", "\r\n", "don't", "'ll", "'S", "<|endoftext|>", "12", "é", "ß", "ñÑ", "ŒŸ", "!!", "$", "<|endo", "text|>"]
+    for _ in range(4000):
+        text = "".join(random.choice(parts) if random.random() < 0.7 else chr(random.choice([random.randrange(32, 127), random.randrange(0xF8, 0x180)])) for _ in range(random.randrange(0, 60)))
+        assert t._PLAIN.fullmatch(text) and fast.encode(text, allowed_special="all") == tokenizer.encode(text, add_special_tokens=False).ids
+    assert t.ranked(t.load(t.tokenizer_path("word_bpe_49k.json"))) is None
+
+
 def test_table_counts(spark, tokenizer):
     odd = [(1, None), (2, ""), (3, "hi there <|endoftext|> you"), (3, "hi there <|endoftext|> you"), (None, "é"), (5, "word " * 30_000), (6, "z" * 70_000)]
     table = docs(spark, odd).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
