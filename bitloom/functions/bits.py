@@ -19,10 +19,15 @@ def to_bits(data: Column) -> Column:
 
 def from_bits(bits: Column) -> Column:
     """A string of 0 and 1 as bytes; a last partial byte is filled with zeros."""
-    n = F.ceil(F.length(bits) / 8).cast("int")
-    padded = F.rpad(bits, n * 8, F.lit("0"))
-    codes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
-    return F.when(n > 0, F.unhex(F.array_join(codes, ""))).otherwise(F.unhex(F.lit("")))
+
+    def whole(v: Column) -> Column:
+        n = F.ceil(F.length(v["bits"]) / 8).cast("int")
+        return let(lambda w: F.when(n > 0, coded(w["padded"], n)).otherwise(F.unhex(F.lit(""))), padded=F.rpad(v["bits"], n * 8, F.lit("0")))
+
+    def coded(padded: Column, n: Column) -> Column:
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
+
+    return let(whole, bits=bits)
 
 
 def u(bits: Column, pos: Column, n: Column) -> Column:

@@ -29,20 +29,52 @@ class Element(NamedTuple):
     length: str = ""
 
 
+def _literal(table: list[Element]) -> Column:
+    """A table as one foldable literal, whatever its length."""
+    rows = [{"name": e.name, "kind": e.kind, "n": e.n, "field": e.when and e.when[0], "low": e.when and e.when[1], "high": e.when and e.when[2], "length": e.length} for e in table]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,kind:string,n:int,field:string,low:bigint,high:bigint,length:string>>")
+
+
+def _applies(e: Column, vals: Column) -> Column:
+    return e["field"].isNull() | F.coalesce(vals[e["field"]].between(e["low"], e["high"]), F.lit(False))
+
+
 def parse(bits: Column, table: list[Element], given: Column | None = None) -> Column:
     """struct<pos, vals map<string,bigint>, ok>: values of the elements present, of ``given`` too, and whether all could be read."""
     given = F.create_map().cast("map<string,bigint>") if given is None else given
     return let(lambda v: _fold(v["bits"], table, v["given"]), bits=bits, given=given)
 
 
-def _fold(bits: Column, table: list[Element], given: Column) -> Column:
-    # One foldable literal, whatever the length of the table.
-    rows = [{"name": e.name, "kind": e.kind, "n": e.n, "field": e.when and e.when[0], "low": e.when and e.when[1], "high": e.when and e.when[2], "length": e.length} for e in table]
-    elements = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,kind:string,n:int,field:string,low:bigint,high:bigint,length:string>>")
+def write(vals: Column, table: list[Element]) -> Column:
+    """The bits of a table's elements with values from a map; the inverse of ``parse``. Elements without a value are 0.
+
+    Marks (kind one) follow from their conditions as in reading; whether the
+    elements after a ``more`` are written is its value.
+    """
 
     def step(state: Column, e: Column) -> Column:
-        here = F.coalesce(state["vals"][e["field"]].between(e["low"], e["high"]), F.lit(False))
-        present = state["ok"] & (e["field"].isNull() | here) & ~F.map_contains_key(state["vals"], e["name"])
+        value = F.coalesce(state["vals"][e["name"]], F.lit(0).cast("long"))
+        n = F.when(e["kind"] == "u", e["n"]).when(e["kind"] == "v", state["vals"][e["length"]].cast("int"))
+        code = (
+            F.when(e["kind"].isin("u", "v"), F.substring(F.lpad(F.bin(value), 64, "0"), 65 - n, n))
+            .when(e["kind"] == "ue", B.put_ue(value))
+            .when(e["kind"] == "se", B.put_se(value))
+            .otherwise("")
+        )
+        known = F.map_contains_key(state["vals"], e["name"])
+        mark = F.when(e["kind"] == "one", 1).otherwise(value)
+        vals = F.when(known, state["vals"]).otherwise(F.map_concat(state["vals"], F.create_map(e["name"], mark)))
+        fresh = ~F.array_contains(state["done"], e["name"])
+        new = F.struct(F.concat(state["bits"], code).alias("bits"), vals.alias("vals"), F.array_append(state["done"], e["name"]).alias("done"))
+        return F.when(fresh & _applies(e, state["vals"]), new).otherwise(state)
+
+    start = F.struct(F.lit("").alias("bits"), vals.alias("vals"), F.array().cast("array<string>").alias("done"))
+    return F.aggregate(_literal(table), start, step, lambda s: s["bits"])
+
+
+def _fold(bits: Column, table: list[Element], given: Column) -> Column:
+    def step(state: Column, e: Column) -> Column:
+        present = state["ok"] & _applies(e, state["vals"]) & ~F.map_contains_key(state["vals"], e["name"])
 
         def read(v: Column) -> Column:
             n = F.when(e["kind"] == "u", e["n"]).when(e["kind"] == "v", state["vals"][e["length"]].cast("int")).otherwise(0)
@@ -65,7 +97,7 @@ def _fold(bits: Column, table: list[Element], given: Column) -> Column:
         return F.when(present, let(read, z=zeros)).otherwise(state)
 
     start = F.struct(F.lit(0).alias("pos"), given.alias("vals"), F.lit(True).alias("ok"))
-    return F.aggregate(elements, start, step)
+    return F.aggregate(_literal(table), start, step)
 
 
 def _u(n: int, *names: str, when=None) -> list[Element]:
@@ -228,17 +260,17 @@ SLICE = [
     *_u(1, "direct_spatial", when=("is_b", 1, 1)),
     *_u(1, "override", when=("is_inter", 1, 1)),
     *_ue("num_ref_l0_minus1", when=("override", 1, 1)),
-    Element("override_b", "one", when=("override", 1, 1)),
 ]
 
 
-def slice_table(kind: str, weighted: bool, n_l0: str = "num_ref_l0", n_l1: str = "num_ref_l1") -> list[Element]:
-    """The whole header of I, P or B slices, with or without a table of explicit weights.
+def slice_table(kind: str, weighted: bool) -> list[Element]:
+    """The header of I, P or B slices, with or without a table of explicit weights.
 
-    The kinds are read with tables of their own: what a header holds is then a
-    matter of marks in ``given`` (marks_refs, reads_bottom and the like).
+    ``given`` needs marks that depend on the parameter sets (marks_refs,
+    reads_bottom and the like) and, for weights, weighs_l0 and weighs_l1: the
+    numbers of active references less one, which ``reference_counts`` reads.
     """
-    out = [e for e in SLICE if e.name != "override_b"]
+    out = [*SLICE]
     if kind == "B":
         out += _ue("num_ref_l1_minus1", when=("override", 1, 1))
     if kind in "PB":
@@ -254,3 +286,15 @@ def slice_table(kind: str, weighted: bool, n_l0: str = "num_ref_l0", n_l1: str =
         out += _ue("cabac_init_idc", when=("cabac", 1, 1))
     out += [*_se("qp_delta"), *_ue("deblock_idc", when=("deblock_control", 1, 1)), Element("deblocks", "one", when=("deblock_idc", 0, 0)), Element("deblocks", "one", when=("deblock_idc", 2, 2))]
     return out + _se("alpha_div2", "beta_div2", when=("deblocks", 1, 1))
+
+
+def reference_counts(bits: Column, given: Column, default_l0: Column, default_l1: Column) -> Column:
+    """struct<l0, l1>: active references less one of a slice, its own or the picture parameter set's."""
+    table = [*SLICE, *_ue("num_ref_l1_minus1", when=("is_b", 1, 1))]
+
+    def counts(v: Column) -> Column:
+        own = v["vals"]["override"] == 1
+        l1 = F.when(own, v["vals"]["num_ref_l1_minus1"])
+        return F.struct(F.coalesce(v["vals"]["num_ref_l0_minus1"], default_l0).alias("l0"), F.coalesce(l1, default_l1).alias("l1"))
+
+    return let(counts, vals=parse(bits, table, given)["vals"])

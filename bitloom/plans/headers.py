@@ -13,6 +13,11 @@ from bitloom.plans import sequence as S
 SET_BYTES, SLICE_BYTES = 1024, 256
 
 
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with columns made by a generator, so that filters on them are not pushed below and worked out twice."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in made.items())))))
+
+
 def _bits(n: int) -> Column:
     return B.to_bits(F.substring("rbsp", 1, n))
 
@@ -23,7 +28,7 @@ def parameter_sets(units: DataFrame, nal_unit_type: int, elements: list[X.Elemen
     Sets with scaling matrices or slice groups are read up to there and are not
     usable: they are left out, so what refers to them has no set.
     """
-    sets = units.where(F.col("nal_unit_type") == nal_unit_type).select("stream_id", F.col("nal_idx").alias("at"), X.parse(_bits(SET_BYTES), elements).alias("p"))
+    sets = _once(units.where(F.col("nal_unit_type") == nal_unit_type).withColumnRenamed("nal_idx", "at"), p=X.parse(_bits(SET_BYTES), elements))
     vals = F.col("p.vals")
     plain = F.lit(True)
     for field in ("scaling_matrix_present", "pic_scaling_matrix_present", "num_slice_groups_minus1"):
@@ -46,11 +51,12 @@ def _flag(condition: Column) -> Column:
 def slice_headers(units: DataFrame) -> DataFrame:
     """Slices (stream_id, at, nal_ref_idc, nal_unit_type, rbsp) with sps, pps, header (a map), data_at (bits before the slice data) and error.
 
-    The sets are the newest of their ids before the slice. Only frames of I and
-    P slices without explicit weights are read here; others have an error.
+    The sets are the newest of their ids before the slice. Frames of I, P and B
+    slices are read, with reordering, explicit weights and marking commands;
+    others have an error.
     """
     slices = units.where(F.col("nal_unit_type").isin(1, 5)).withColumnRenamed("nal_idx", "at").withColumn("bits", _bits(SLICE_BYTES))
-    slices = slices.withColumn("pps_id", X.parse(F.col("bits"), X.SLICE_START)["vals"]["pps_id"])
+    slices = slices.withColumn("first", X.parse(F.col("bits"), X.SLICE_START)).withColumn("pps_id", F.col("first.vals")["pps_id"])
     slices = S.newest_by_id(slices, pps(units), "pps_id", "pps").withColumn("sps_id", F.col("pps")["sps_id"])
     slices = S.newest_by_id(slices, sps(units), "sps_id", "sps")
     s, p = F.col("sps"), F.col("pps")
@@ -70,12 +76,20 @@ def slice_headers(units: DataFrame) -> DataFrame:
         "deblock_control": p["deblock_control"],
     }
     known = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
-    slices = slices.withColumn("h", X.parse(F.col("bits"), X.slice_table("P", False), known))
-    kind = F.col("h.vals")["slice_type"] % 5
+    counts = X.reference_counts(F.col("bits"), F.col("known"), p["num_ref_l0_default_minus1"], p["num_ref_l1_default_minus1"])
+    slices = slices.withColumn("known", known).withColumn("counts", counts)
+    kind = F.get(F.array(*(F.lit(k) for k in "PBI")), (F.col("first.vals")["slice_type"] % 5).cast("int"))
+    weighted = F.when(kind == "P", p["weighted_pred"] == 1).when(kind == "B", p["weighted_bipred_idc"] == 1).otherwise(F.lit(False))
+    slices = slices.withColumn("kind", kind).withColumn("weighted", weighted)
+    wide = F.map_concat("known", F.create_map(F.lit("weighs_l0"), F.col("counts.l0"), F.lit("weighs_l1"), F.col("counts.l1")))
+    read = X.parse(F.col("bits"), X.slice_table("I", False), F.col("known"))
+    for k, w in (("P", False), ("P", True), ("B", False), ("B", True)):
+        read = F.when((F.col("kind") == k) & (F.col("weighted") == w), X.parse(F.col("bits"), X.slice_table(k, w), wide)).otherwise(read)
+    slices = _once(slices, h=read)
     error = (
         F.when(F.col("sps").isNull() | F.col("pps").isNull(), "no parameter set")
         .when(~F.col("h.ok"), "header cut off")
         .when(s["frame_mbs_only"] != 1, "fields are not supported")
-        .when(~kind.isin(0, 2) | ((kind == 0) & (p["weighted_pred"] == 1)), "slice type is not supported")
+        .when(F.col("kind").isNull(), "slice type is not supported")
     )
     return slices.select("stream_id", "at", "nal_ref_idc", "nal_unit_type", "rbsp", "sps", "pps", F.col("h.vals").alias("header"), F.col("h.pos").alias("data_at"), error.alias("error"))

@@ -77,29 +77,31 @@ def encode(blocks: DataFrame, width: int, skipped: int) -> DataFrame:
     return pictures.select("stream_id", F.concat(*units).alias("content"))
 
 
+def _slices(streams: DataFrame) -> DataFrame:
+    slices = H.slice_headers(annexb.headers(annexb.nal_units(streams)))
+    return slices.withColumn("error", F.coalesce("error", F.when(F.col("sps")["poc_type"] != 0, "picture order by frame numbers is not decoded")))
+
+
 def decode(streams: DataFrame) -> DataFrame:
     """(stream_id, content) -> stream_id, frame_idx (in output order), mb, y, u, v as bytes.
 
     Slices that are not raw I or wholly skipped P slices, and pictures that do
     not have all their macroblocks, are left out; ``errors`` tells of the former.
     """
-    slices = H.slice_headers(annexb.headers(annexb.nal_units(streams))).where("error is null")
+    slices = _slices(streams).where("error is null")
     head = F.col("header")
-    fields = {k: head[k] for k in ("frame_num", "pps_id", "poc_lsb", "delta_poc_bottom", "delta_poc_0", "delta_poc_1", "idr_pic_id")}
+    fields = {k: head[k] for k in ("frame_num", "pps_id", "poc_lsb", "delta_poc_0", "delta_poc_1", "idr_pic_id", "first_mb")}
     slices = slices.select(
-        "stream_id", "at", "nal_ref_idc", "nal_unit_type", *(v.alias(k) for k, v in fields.items()), (head["slice_type"] % 5 == 2).alias("is_i"), "data_at",
-        (F.col("nal_unit_type") == 5).alias("is_idr"), (F.col("nal_ref_idc") > 0).alias("is_ref"), 
-        ((F.col("sps")["width_mbs_minus1"] + 1) * (F.col("sps")["height_mbs_minus1"] + 1)).alias("size"), head["first_mb"].alias("first_mb"), "rbsp",
+        "stream_id", "at", "nal_ref_idc", "nal_unit_type", "data_at", "rbsp", *(v.alias(k) for k, v in fields.items()), F.coalesce(head["delta_poc_bottom"], F.lit(0)).alias("delta_poc_bottom"),
+        (head["slice_type"] % 5 == 2).alias("is_i"), (F.col("nal_unit_type") == 5).alias("is_idr"), (F.col("nal_ref_idc") > 0).alias("is_ref"),
+        ((F.col("sps")["width_mbs_minus1"] + 1) * (F.col("sps")["height_mbs_minus1"] + 1)).alias("size"),
+        F.pow(F.lit(2), F.col("sps")["log2_max_poc_lsb_minus4"] + 4).cast("long").alias("max_lsb"), B.ue_at(B.to_bits(F.substring("rbsp", 1, H.SLICE_BYTES)), F.col("data_at"))["value"].alias("code"),
     )
-    slim = S.idr_periods(S.pictures(slices.drop("rbsp"))).withColumn("delta_poc_bottom", F.coalesce("delta_poc_bottom", F.lit(0)))
-    # One slice a picture here; its count and the raw picture that it shows.
-    pics = S.poc_type0(slim, 16)
+    # One slice a picture here; its count and the raw picture that it shows. The windows of a stream share one shuffle.
+    pics = S.poc_type0(S.idr_periods(S.pictures(slices)), F.col("max_lsb"))
     pics = pics.withColumn("source", F.last(F.when(F.col("is_i"), F.col("picture_id")), ignorenulls=True).over(S.so_far("stream_id")))
     pics = pics.withColumn("frame_idx", F.row_number().over(W.partitionBy("stream_id").orderBy("idr_period", "poc")) - 1)
 
-    raw = slices.where("is_i").join(pics.select("stream_id", "at", "picture_id"), ["stream_id", "at"])
-    bits = B.to_bits(F.substring("rbsp", 1, H.SLICE_BYTES))
-    raw = raw.where(B.ue_at(bits, F.col("data_at"))["value"] == PCM_TYPE)
     first = F.ceil((F.col("data_at") + 9) / 8).cast("int")
     n = F.floor((F.length("rbsp") - first + 2) / (MB_BYTES + 2)).cast("int")
 
@@ -107,16 +109,15 @@ def decode(streams: DataFrame) -> DataFrame:
         at = first + k * (MB_BYTES + 2) + 1
         return F.struct((F.col("first_mb") + k).alias("mb"), F.substring("rbsp", at, F.lit(LUMA)).alias("y"), F.substring("rbsp", at + LUMA, F.lit(CHROMA)).alias("u"), F.substring("rbsp", at + LUMA + CHROMA, F.lit(CHROMA)).alias("v"))
 
-    blocks = raw.where(n == F.col("size")).select("stream_id", F.col("picture_id").alias("source"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), block)).alias("b")).select("stream_id", "source", "b.*")
-    skips = slices.where("not is_i").where(B.ue_at(bits, F.col("data_at"))["value"] == F.col("size")).select("stream_id", "at")
-    shown = pics.where("is_i").select("stream_id", "at").unionByName(skips)
-    frames = pics.join(shown, ["stream_id", "at"], "left_semi").select("stream_id", "source", "frame_idx")
+    raw = pics.where(F.col("is_i") & (F.col("code") == PCM_TYPE) & (n == F.col("size")))
+    blocks = raw.select("stream_id", F.col("picture_id").alias("source"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), block)).alias("b")).select("stream_id", "source", "b.*")
+    frames = pics.where(F.col("is_i") | (F.col("code") == F.col("size"))).select("stream_id", "source", "frame_idx")
     return frames.join(blocks, ["stream_id", "source"]).select("stream_id", "frame_idx", "mb", "y", "u", "v")
 
 
 def errors(streams: DataFrame) -> DataFrame:
     """(stream_id, at, error) of the slices that cannot be decoded here."""
-    return H.slice_headers(annexb.headers(annexb.nal_units(streams))).where("error is not null").select("stream_id", "at", "error")
+    return _slices(streams).where("error is not null").select("stream_id", "at", "error")
 
 
 def plane_sums(blocks: DataFrame) -> DataFrame:

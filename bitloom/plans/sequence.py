@@ -73,11 +73,13 @@ def idr_periods(pics: DataFrame) -> DataFrame:
 
 
 
-def poc_type0(pics: DataFrame, max_lsb: int, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
+def poc_type0(pics: DataFrame, max_lsb: int | Column, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
     """``pics`` with poc from poc_lsb and delta_poc_bottom: the high part moves with each wrap against the last reference."""
     lsb = F.col("poc_lsb")
     before = F.coalesce(F.last(F.when(F.col("is_ref"), lsb), ignorenulls=True).over(earlier(*keys)), F.lit(0))
-    wrap = F.when((lsb < before) & (before - lsb >= max_lsb // 2), 1).when((lsb > before) & (lsb - before > max_lsb // 2), -1).otherwise(0)
+    max_lsb = max_lsb if isinstance(max_lsb, Column) else F.lit(max_lsb)
+    half = F.shiftright(max_lsb, 1)
+    wrap = F.when((lsb < before) & (before - lsb >= half), 1).when((lsb > before) & (lsb - before > half), -1).otherwise(0)
     pics = pics.withColumn("_wrap", wrap)
     turns = F.coalesce(F.sum(F.when(F.col("is_ref"), F.col("_wrap"))).over(earlier(*keys)), F.lit(0)) + F.col("_wrap")
     top = turns * max_lsb + lsb

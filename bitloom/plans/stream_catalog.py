@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
+from bitloom.functions import syntax as X
 from bitloom.operators import frames
 from bitloom.plans import catalog, pcm
 from bitloom.plans import sequence as S
@@ -295,3 +296,48 @@ s AS ({_sql_plane("y", 256, "p_size * 3", "(p_partkey % 7)")} UNION ALL {_sql_pl
 SELECT stream_id, frame_idx, mb, plane, list_min(s)::BIGINT AS least, list_max(s)::BIGINT AS most, list_sum(s)::BIGINT AS total FROM s, (SELECT unnest(range({SKIPPED + 1}))::INT AS frame_idx)""")
 def pcm_decode_pixels(spark, sf_dir):
     return pcm.plane_sums(pcm.decode(pcm_streams(spark, sf_dir)))
+
+
+# Headers with values from a table, written by the syntax tables and read back by them.
+_SPS_VALUES = {
+    "profile_idc": "77", "level_idc": "40", "sps_id": "p_partkey % 32", "log2_max_frame_num_minus4": "p_size % 13",
+    "poc_type": "1", "offset_for_non_ref_pic": "p_size - 25", "num_ref_frames_in_cycle": "2", "offset_for_ref_frame_0": "p_partkey % 1000 - 500",
+    "offset_for_ref_frame_1": "-(p_partkey % 7)", "max_num_ref_frames": "p_size % 16", "width_mbs_minus1": "p_partkey", "height_mbs_minus1": "p_size",
+    "frame_mbs_only": "1", "crop_present": "p_partkey % 2", "vui_present": "1", "timing_info_present": "1", "time_scale": "p_partkey * 2000003 % 4294967296",
+}
+_SPS_CROP = {"crop_left": "p_size % 5", "crop_bottom": "p_size % 3"}
+
+
+@query(f"""SELECT p_partkey, {", ".join(f"({e})::BIGINT AS {k}" for k, e in _SPS_VALUES.items())},
+  {", ".join(f"CASE WHEN p_partkey % 2 = 1 THEN {e} END::BIGINT AS {k}" for k, e in _SPS_CROP.items())} FROM part""")
+def sps_roundtrip(spark, sf_dir):
+    vals = {k: F.expr(e) for k, e in (_SPS_VALUES | _SPS_CROP).items()}
+    given = F.create_map(*(x for k, v in vals.items() for x in (F.lit(k), v.cast("long"))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", B.from_bits(B.trailing(X.write(given, X.SPS))).alias("rbsp"))
+    rows = rows.select("p_partkey", X.parse(B.to_bits(F.col("rbsp")), X.SPS).alias("p")).where("p.ok")
+    return rows.select("p_partkey", *(F.col("p.vals")[k].alias(k) for k in vals))
+
+
+_SLICE_GIVEN = {"nal_unit_type": 1, "log2_max_frame_num": 8, "log2_max_poc_lsb": 8, "poc_type": 0, "reads_bottom": 1, "reads_delta_0": 0, "reads_delta_1": 0, "redundant_pic_cnt_present": 0, "marks_refs": 1, "cabac": 1, "deblock_control": 1, "weighs_l0": 1, "weighs_l1": 0}
+_SLICE_VALUES = {
+    "first_mb": "l_suppkey", "slice_type": "6", "pps_id": "l_linenumber", "frame_num": "l_partkey % 256", "poc_lsb": "l_suppkey % 256", "delta_poc_bottom": "l_linenumber - 4", "direct_spatial": "l_partkey % 2", "override": "1",
+    "num_ref_l0_minus1": "1", "num_ref_l1_minus1": "0", "l0_modified": "1", "l0_op_0": "0", "l0_v_0": "l_suppkey", "l0_op_1": "2", "l0_v_1": "l_linenumber", "l0_op_2": "3", "luma_log2_denominator": "5", "luma_weight_l0_1_flag": "1",
+    "luma_weight_l0_1": "l_partkey % 256 - 128", "luma_offset_l0_1": "-l_linenumber", "chroma_weight_l1_0_flag": "1", "cr_offset_l1_0": "l_linenumber", "adaptive_marking": "1", "mmco_0": "1", "mmco_diff_0": "l_suppkey", "mmco_1": "3",
+    "mmco_diff_1": "l_linenumber", "mmco_long_1": "2", "cabac_init_idc": "l_linenumber % 3", "qp_delta": "l_suppkey % 51 - 25", "alpha_div2": "l_linenumber - 4", "beta_div2": "4 - l_linenumber",
+}
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {", ".join(f"({e})::BIGINT AS {k}" for k, e in _SLICE_VALUES.items() if k not in ("pps_id", "first_mb"))} FROM lineitem WHERE l_orderkey % 40 = 0""")
+def slice_header_roundtrip(spark, sf_dir):
+    """B-slice headers with reordering, weights and marking commands."""
+    known = {k: F.lit(v) for k, v in _SLICE_GIVEN.items()}
+    vals = {k: F.expr(e) for k, e in _SLICE_VALUES.items()}
+    syntax = X.slice_table("B", True)
+
+    def as_map(values):
+        return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("long"))))
+
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
+    rows = rows.select("l_orderkey", "l_linenumber", B.trailing(X.write(as_map(known | vals), syntax)).alias("bits"))
+    rows = rows.select("l_orderkey", "l_linenumber", X.parse(F.col("bits"), syntax, as_map(known)).alias("p")).where("p.ok")
+    return rows.select("l_orderkey", "l_linenumber", *(F.col("p.vals")[k].alias(k) for k in vals if k not in ("pps_id", "first_mb")))
