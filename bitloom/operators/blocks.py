@@ -64,27 +64,34 @@ def level_scale(qp: Column, weights: Column, n: int = 4) -> Column:
     return F.zip_with(weights, norms[(qp % 6).cast("int")], lambda w, v: w * v)
 
 
-def _scaled(c: Column, s: Column, qp: Column, even: int, shift: int) -> Column:
-    """c * s shifted by qp / 6 - shift, rounded when to the right; ``even`` is 6 * shift."""
+def _scaled(block: Column, scales: Column, qp: Column, even: int, shift: int) -> Column:
+    """Each number times its scale, shifted by qp / 6 - shift, rounded when to the right; ``even`` is 6 * shift."""
     by = F.floor(qp / 6).cast("int")
-    left = c * s * F.pow(F.lit(2), F.greatest(F.lit(0), by - shift)).cast("long")
-    half = F.pow(F.lit(2), F.greatest(F.lit(0), shift - 1 - by)).cast("long")
-    down = F.floor((c * s + half) / (2 * half)).cast("long")
-    return F.when(qp >= even, left).otherwise(down)
+
+    def all_of(v: Column) -> Column:
+        def one(c: Column, s: Column) -> Column:
+            return F.call_function("shiftright", c.cast("long") * s * v["up"] + v["half"], v["down"])
+
+        return F.zip_with(block, v["scales"], one)
+
+    up = F.pow(F.lit(2), F.greatest(F.lit(0), by - shift)).cast("long")
+    down = F.greatest(F.lit(0), shift - by)
+    half = F.when(qp >= even, 0).otherwise(F.pow(F.lit(2), F.greatest(F.lit(0), shift - 1 - by)).cast("long"))
+    return let(all_of, scales=scales, up=up, down=down, half=half)
 
 
 def dequant_4x4(block: Column, qp: Column, weights: Column, keep_dc: bool = False) -> Column:
-    out = F.zip_with(block, level_scale(qp, weights), lambda c, s: _scaled(c.cast("long"), s, qp, 24, 4))
+    out = _scaled(block, level_scale(qp, weights), qp, 24, 4)
     return F.concat(F.array(block[0].cast("long")), F.slice(out, 2, 15)) if keep_dc else out
 
 
 def dequant_8x8(block: Column, qp: Column, weights: Column) -> Column:
-    return F.zip_with(block, level_scale(qp, weights, 8), lambda c, s: _scaled(c.cast("long"), s, qp, 36, 6))
+    return _scaled(block, level_scale(qp, weights, 8), qp, 36, 6)
 
 
 def dequant_luma_dc(block: Column, qp: Column, scale: Column) -> Column:
     """The 16 luma DC levels; ``scale`` is the level scale of place 0."""
-    return F.transform(block, lambda c: _scaled(c.cast("long"), scale, qp, 36, 6))
+    return _scaled(block, F.array_repeat(scale, 16), qp, 36, 6)
 
 
 def dequant_chroma_dc(block: Column, qp: Column, scale: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
 from bitloom.functions.let import let
-from bitloom.operators import blocks, deblock, prediction
+from bitloom.operators import batches, blocks, deblock, prediction
 from bitloom.plans import sequence as S
 from bitloom.sources import annexb
 
@@ -122,9 +122,9 @@ def _sql_hadamard(x: list[str]) -> list[str]:
 
 
 for _name, _kernel, _n, _line, _last in (
-    ("idct_4x4", blocks.inverse_4x4, 4, _sql_line_4, "({0} + 32) >> 6"),
-    ("idct_8x8", blocks.inverse_8x8, 8, _sql_line_8, "({0} + 32) >> 6"),
-    ("hadamard_4x4", blocks.hadamard_4x4, 4, _sql_hadamard, "{0}"),
+    ("idct_4x4", batches.inverse_4x4, 4, _sql_line_4, "({0} + 32) >> 6"),
+    ("idct_8x8", batches.inverse_8x8, 8, _sql_line_8, "({0} + 32) >> 6"),
+    ("hadamard_4x4", batches.hadamard_4x4, 4, _sql_hadamard, "{0}"),
     ("hadamard_2x2", blocks.hadamard_2x2, 2, _sql_hadamard, "{0}"),
 ):
     block_query(_name, lambda c, qp, k=_kernel: k(F.transform(c, lambda x: x * 16)), "c", _n * _n)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
 from bitloom.functions import syntax as X
-from bitloom.operators import blocks, prediction
+from bitloom.operators import batches, blocks, prediction
 from bitloom.plans import sequence as S
 from bitloom.sources import annexb
 
@@ -125,3 +125,13 @@ def test_list_modification(spark):
     assert run([(0, 2)]) == [3, 1, 2, 4]  # 5 - 3 = 2
     assert run([(2, 0), (0, 1)]) == [4, 2, 1, 3]  # the long-term entry, then 5 - 2 = 3
     assert run([(0, 0), (1, 0)], 2) == [1, 2]  # a number that is not there changes nothing
+
+
+def test_batches_agree_with_expressions(spark):
+    rng = random.Random(4)
+    for size, pairs in ((4, [(blocks.inverse_4x4, batches.inverse_4x4), (blocks.hadamard_4x4, batches.hadamard_4x4)]), (8, [(blocks.inverse_8x8, batches.inverse_8x8)])):
+        rows = [([rng.randrange(-2000, 2000) for _ in range(size * size)],) for _ in range(50)] + [(None,)]
+        df = spark.createDataFrame(rows, "c array<int>")
+        for plain, fast in pairs:
+            for r in df.select(plain(F.col("c")).alias("a"), fast(F.col("c")).alias("b"), "c").collect():
+                assert r["b"] == (r["a"] if r["c"] is not None else None)
