@@ -48,22 +48,12 @@ def _flag(condition: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), 1).otherwise(0).cast("long")
 
 
-def slice_headers(units: DataFrame) -> DataFrame:
-    """Slices (stream_id, at, nal_ref_idc, nal_unit_type, rbsp) with sps, pps, header (a map), data_at (bits before the slice data) and error.
-
-    The sets are the newest of their ids before the slice. Frames of I, P and B
-    slices are read, with reordering, explicit weights and marking commands;
-    others have an error.
-    """
-    slices = units.where(F.col("nal_unit_type").isin(1, 5)).withColumnRenamed("nal_idx", "at").withColumn("bits", _bits(SLICE_BYTES))
-    slices = slices.withColumn("first", X.parse(F.col("bits"), X.SLICE_START)).withColumn("pps_id", F.col("first.vals")["pps_id"])
-    slices = S.newest_by_id(slices, pps(units), "pps_id", "pps").withColumn("sps_id", F.col("pps")["sps_id"])
-    slices = S.newest_by_id(slices, sps(units), "sps_id", "sps")
-    s, p = F.col("sps"), F.col("pps")
+def slice_context(nal_unit_type: Column, nal_ref_idc: Column, s: Column, p: Column) -> Column:
+    """What a slice header's table needs to know of its unit and its parameter sets, as a map."""
     bottom = p["bottom_field_poc"] == 1
     free = (s["poc_type"] == 1) & (s["delta_pic_order_always_zero"] == 0)
     given = {
-        "nal_unit_type": F.col("nal_unit_type").cast("long"),
+        "nal_unit_type": nal_unit_type.cast("long"),
         "log2_max_frame_num": s["log2_max_frame_num_minus4"] + 4,
         "log2_max_poc_lsb": F.coalesce(s["log2_max_poc_lsb_minus4"], F.lit(0)) + 4,
         "poc_type": s["poc_type"],
@@ -71,11 +61,26 @@ def slice_headers(units: DataFrame) -> DataFrame:
         "reads_delta_0": _flag(free),
         "reads_delta_1": _flag(free & bottom),
         "redundant_pic_cnt_present": p["redundant_pic_cnt_present"],
-        "marks_refs": _flag((F.col("nal_unit_type") != 5) & (F.col("nal_ref_idc") > 0)),
+        "marks_refs": _flag((nal_unit_type != 5) & (nal_ref_idc > 0)),
         "cabac": p["cabac"],
         "deblock_control": p["deblock_control"],
     }
-    known = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
+    return F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
+
+
+def slice_headers(units: DataFrame) -> DataFrame:
+    """Slices (stream_id, at, nal_ref_idc, nal_unit_type, rbsp) with sps, pps, header (a map), data_at (bits before the slice data) and error.
+
+    The sets are the newest of their ids before the slice. Frames of I, P and B
+    slices are read, with reordering, explicit weights and marking commands;
+    others have an error.
+    """
+    slices = units.where(F.col("nal_unit_type").isin(1, 5)).withColumnRenamed("nal_idx", "at").withColumn("bits", _bits(SLICE_BYTES))
+    slices = slices.withColumn("first", X.parse(F.col("bits"), X.SLICE_START)).withColumn("pps_id", F.col("first.vals")["pps_id"])
+    slices = S.newest_by_id(slices, pps(units), "pps_id", "pps").withColumn("sps_id", F.col("pps")["sps_id"])
+    slices = S.newest_by_id(slices, sps(units), "sps_id", "sps")
+    s, p = F.col("sps"), F.col("pps")
+    known = slice_context(F.col("nal_unit_type"), F.col("nal_ref_idc"), s, p)
     counts = X.reference_counts(F.col("bits"), F.col("known"), p["num_ref_l0_default_minus1"], p["num_ref_l1_default_minus1"])
     slices = slices.withColumn("known", known).withColumn("counts", counts)
     kind = F.get(F.array(*(F.lit(k) for k in "PBI")), (F.col("first.vals")["slice_type"] % 5).cast("int"))

@@ -27,12 +27,13 @@ PCM_MARK = "0D00"
 
 def samples_to_bytes(values: Column) -> Column:
     """array of 0..255 as bytes."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    return F.encode(F.array_join(F.transform(values, lambda v: F.char(v)), ""), annexb.LATIN)
 
 
 def bytes_to_samples(data: Column) -> Column:
     """Bytes as an array of 0..255."""
-    return F.transform(F.split(F.regexp_replace(F.hex(data), "(..)(?=.)", "$1,"), ","), lambda h: F.conv(h, 16, 10).cast("int"))
+    text = F.decode(data, annexb.LATIN)
+    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
 
 
 def _sps(width: Column, height: Column) -> Column:
