@@ -1,7 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector's components, in 32-bit words. It is cut into
-segments; an index row stands under each of its segment values. In round r the
+A code is the signs of a vector's components. It is cut into segments of at most
+as many bits as the logarithm of the number of rows, so that a segment value
+has a row or some: a probe that is shuffled costs more than a row verified in
+place. An index row stands under each of its segment values. In round r the
 values at exactly r bits from a query's segments are looked up, and every row
 found there is verified by its full Hamming distance. After round r all codes
 within ``segments * (r + 1) - 1`` bits have been seen, so a query is finished as
@@ -18,6 +20,8 @@ is compared with all rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,6 @@ from bitloom.llm._scratch import Scratch
 
 K = 10
 BITS = 64
-SEGMENT_BITS = 16
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -42,7 +45,13 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     return out
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = K, segment_bits: int = SEGMENT_BITS, bits: int = BITS) -> DataFrame:
+def _cuts(bits: int, segments: int) -> list[tuple[int, int]]:
+    """(first bit, width) of segments of nearly equal width."""
+    ends = [bits * i // segments for i in range(segments + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None, bits: int = BITS) -> DataFrame:
     """The k rows of ``index`` nearest to each row of ``queries``; both hold (id, code bigint).
 
     Returns query_id, rank (from 1), id, distance: by distance, then by id. A
@@ -52,13 +61,11 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, segment_bits: int =
     index rows the answers have all of them; an empty table gives an empty
     result. Other columns are ignored.
     """
-    if bits % segment_bits:
-        raise ValueError("segments must fill the code")
     scratch = Scratch(index.sparkSession, "topk")
-    segments, mask = bits // segment_bits, (1 << segment_bits) - 1
 
     def segment(code: str, at: int) -> Column:
-        return F.shiftrightunsigned(code, at * segment_bits).bitwiseAND(F.lit(mask).cast("long")).cast("int")
+        start, width = cuts[at]
+        return F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
     def under_segments(df: DataFrame) -> DataFrame:
         cells = F.array(*(F.struct(F.lit(i).alias("seg"), segment("code", i).alias("val")) for i in range(segments)))
@@ -68,14 +75,18 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, segment_bits: int =
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("nth") <= k).drop("nth")
     rows = scratch.keep(rows, "rows")
     asked = scratch.keep(queries.select(F.col("id").alias("query_id"), "code").where("query_id is not null and code is not null").distinct(), "queries")
+    n_rows = rows.count()
+    there = min(n_rows, k)
+    if segments is None:
+        segments = max(2, min(8, ceil(bits / max(1.0, log2(max(1, n_rows))))))
+    cuts = _cuts(bits, segments)
     indexed = under_segments(rows.withColumnRenamed("id", "row_id"))
-    there = rows.limit(k).count()
 
     # Codes asked for that are not finished, with their kth distance so far.
     open_ = scratch.keep(asked.select(F.col("code").alias("q")).distinct().withColumn("worst", F.lit(bits)), "open-0")
     best = done = None
-    for radius in range(segment_bits + 1):
-        probes = open_.mapInArrow(_probes(segments, segment_bits, radius), "q bigint, worst int, seg int, val int")
+    for radius in range(max(width for _, width in cuts) + 1):
+        probes = open_.mapInArrow(_probes(cuts, radius), "q bigint, worst int, seg int, val bigint")
         # A planner that takes the probes for as small as the queries would broadcast them.
         found = probes.hint("merge").join(indexed, ["seg", "val"]).withColumn("x", F.col("q").bitwiseXOR(F.col("code")))
         near = [F.bit_count(segment("x", i)) for i in range(segments)]
@@ -106,26 +117,27 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, segment_bits: int =
 
 
 def _masks(bits: int, ones: int) -> np.ndarray:
-    """All values of ``bits`` bits with exactly ``ones`` ones, ascending."""
-    every = np.arange(1 << bits, dtype=np.int64)
-    return every[np.bitwise_count(every) == ones]
+    """All values of ``bits`` bits with exactly ``ones`` ones."""
+    places = np.array(list(combinations(range(bits), ones)), dtype=np.int64).reshape(comb(bits, ones), ones)
+    return (np.int64(1) << places).sum(axis=1)
 
 
-def _probes(segments: int, segment_bits: int, radius: int):
+def _probes(cuts: list[tuple[int, int]], radius: int):
     """(q, worst) -> (q, worst, seg, val) for all segment values at exactly ``radius`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = _masks(segment_bits, radius)
+        masks = {width: _masks(width, radius) for _, width in cuts}
         for batch in batches:
             codes, worst = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             codes = codes.astype(np.int64)
-            step = max(1, 200_000 // len(masks))
+            step = max(1, 200_000 // max(1, *(len(m) for m in masks.values())))
             for at in range(0, len(codes), step):
                 some, bound = codes[at : at + step], worst[at : at + step].astype(np.int32)
-                for seg in range(segments):
-                    own = (some.view(np.uint64) >> np.uint64(seg * segment_bits)).astype(np.int64) & ((1 << segment_bits) - 1)
-                    values = (own[:, None] ^ masks[None, :]).ravel().astype(np.int32)
-                    columns = [np.repeat(some, len(masks)), np.repeat(bound, len(masks)), np.full(len(values), seg, dtype=np.int32), values]
+                for seg, (start, width) in enumerate(cuts):
+                    flips = masks[width]
+                    own = (some.view(np.uint64) >> np.uint64(start)).astype(np.int64) & ((1 << width) - 1)
+                    values = (own[:, None] ^ flips[None, :]).ravel()
+                    columns = [np.repeat(some, len(flips)), np.repeat(bound, len(flips)), np.full(len(values), seg, dtype=np.int32), values]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "worst", "seg", "val"])
 
     return run

@@ -23,16 +23,16 @@ def test_tables_match_sql(spark):
     assert rows(op9_hamming_topk(spark, SF)) == duck(h.oracle_sql(50), embeddings=f"{SF}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("segment_bits", [8, 16])
-def test_ties_repeats_and_hot_codes(spark, segment_bits):
-    random.seed(segment_bits)
+@pytest.mark.parametrize("segments", [8, 3, None])
+def test_ties_repeats_and_hot_codes(spark, segments):
+    random.seed(segments)
     hot = random.getrandbits(63)
     index = [(i, hot) for i in range(60)] + [(i, random.getrandbits(63) - (1 << 62)) for i in range(60, 160)] + [(200 + b, hot ^ (1 << b)) for b in range(60)]
     index += [(5, hot), (None, 3), (300, None)]
     queries = [(1, hot), (1, hot), (2, hot ^ 7), (3, -1), (4, None), (None, 5), (6, hot)]
     df, asked = spark.createDataFrame(index, CODES), spark.createDataFrame(queries, CODES)
     for k in (1, 10, 75):
-        assert rows(h.top_k(clashing(df), clashing(asked), k, segment_bits)) == plain(index, queries, k)
+        assert rows(h.top_k(clashing(df), clashing(asked), k, segments)) == plain(index, queries, k)
 
 
 def test_fewer_rows_than_k_and_empty_tables(spark):
@@ -49,4 +49,4 @@ def test_sign_codes(spark):
 
 def test_masks():
     for ones in range(9):
-        assert h._masks(8, ones).tolist() == [x for x in range(256) if x.bit_count() == ones]
+        assert sorted(h._masks(8, ones).tolist()) == [x for x in range(256) if x.bit_count() == ones]
