@@ -6,9 +6,12 @@ their check are dropped without another try.
 
 The proposing patterns find the same matches as the plain ones of the
 contract, without their repeated tries on long runs: an email starts where a
-run of its characters starts or the last match ended, and a card is a whole
-run of digits with at most a space or hyphen between two. A kind is looked for
-only in texts that hold a character it needs.
+run of its characters starts or the last match ended, an ip where a run of
+digits starts, and a card is a whole run of digits with at most a space or
+hyphen between two. Repeats are possessive wherever giving back cannot help: a
+repeated group that may give back takes a stack frame for each turn, and a long
+enough text would end the executor. A kind is looked for only in texts that
+hold a character it needs.
 
 Positions come from the pieces between the matches, in code points, end
 exclusive. Nothing is shuffled, and a row's work is in proportion to its text.
@@ -21,17 +24,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.functions.let import let
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
 #: Code points on either side of a match that are searched for context words.
 CONTEXT = 48
 #: Added kinds (not the base ones) below this score are left out.
 LEAST = 0.5
+#: Matches whose positions are summed up together.
+STEP = 256
 
 # The patterns.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
@@ -87,24 +94,47 @@ CONFIRM: dict[str, Callable[[Column], Column]] = {
 
 
 def _spans(kind: str, text: Column, matches: Column) -> Column:
-    """array<struct<kind, start, end, score>> of a kind's confirmed matches."""
-    pieces = F.split(text, PATTERNS[kind], -1)
-    kinds = "array<struct<start:int,end:int,match:string>>"
+    """array<struct<kind, start, end, score>> of a kind's confirmed matches.
+
+    The context of a match is what stands between it and its neighbours of the
+    same kind, ``CONTEXT`` code points on either side at most.
+    """
+    kinds = "array<struct<start:int,end:int,match:string,around:string>>"
+
+    def measured(v: Column) -> Column:
+        def part(match: Column, i: Column) -> Column:
+            piece = F.get(v["pieces"], i)
+            around = F.concat_ws(" ", F.right(piece, F.lit(CONTEXT)), F.left(F.get(v["pieces"], i + 1), F.lit(CONTEXT)))
+            return F.struct(F.length(piece).alias("gap"), F.length(match).alias("own"), match.alias("match"), F.lower(around).alias("around"))
+
+        return F.transform(v["matches"], part)
+
+    def place(state: Column, p: Column) -> Column:
+        start = state["at"] + p["gap"]
+        span = F.struct(start.alias("start"), (start + p["own"]).alias("end"), p["match"], p["around"])
+        return F.struct((start + p["own"]).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    def placed(v: Column) -> Column:
+        """Positions are running sums. An array grows by copying, so they are summed up by ``STEP`` matches, then within each step."""
+
+        def step(no: Column) -> Column:
+            return F.slice(v["parts"], no * STEP + 1, STEP)
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v["parts"]) - 1) / STEP).cast("int"))
+        sums = F.transform(numbers, lambda no: F.aggregate(step(no), F.lit(0), lambda n, p: n + p["gap"] + p["own"]))
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sums, nothing, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+
+        def within(at: Column, no: Column) -> Column:
+            return F.aggregate(step(no), F.struct(at.alias("at"), F.array().cast(kinds).alias("spans")), place, lambda s: s["spans"])
 
-    def place(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(pieces, i))
-        match = F.get(matches, i)
-        span = F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
-        return F.struct(span["end"].alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return F.flatten(F.transform(starts, within))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("spans"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, place, lambda s: s["spans"])
-    confirmed = F.filter(placed, lambda s: CONFIRM[kind](s["match"]))
+    parts = let(measured, pieces=F.split(text, PATTERNS[kind], -1), matches=matches)
+    confirmed = F.filter(let(placed, parts=parts), lambda s: CONFIRM[kind](s["match"]))
 
     def scored(s: Column) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - CONTEXT)
-        around = F.lower(F.concat_ws(" ", F.substring(text, begin + 1, s["start"] - begin), F.substring(text, s["end"] + 1, F.lit(CONTEXT))))
-        near = F.rlike(around, F.lit(rf"\b(?:{FOR[kind]})")).cast("int") * 0.3 - F.rlike(around, F.lit(rf"\b(?:{AGAINST[kind]})")).cast("int") * 0.3
+        near = F.rlike(s["around"], F.lit(rf"\b(?:{FOR[kind]})")).cast("int") * 0.3 - F.rlike(s["around"], F.lit(rf"\b(?:{AGAINST[kind]})")).cast("int") * 0.3
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(SCORES[kind]) + near))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.cast("double").alias("score"))
 
@@ -145,7 +175,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each match in text replaced by its kind in angle brackets; overlapping spans are replaced as one, named by the first.
 
-    Null texts stay null; all other columns stay as they are.
+    Null texts stay null; all other columns stay as they are. Each match is cut
+    out of the whole text, so work grows with matches times length.
     """
     rows = _found(docs.withColumn("_bitloom_text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     ordered = F.array_sort(F.transform("_bitloom_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))

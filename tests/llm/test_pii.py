@@ -16,7 +16,7 @@ def luhn(digits):
 def plain(text):
     kinds = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.split("."))),
         "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
     }
@@ -29,6 +29,7 @@ CASES = [
     None, "", "a@b.c", "write to joe.x+y@mail-1.example.com, or é@b.de and a@b.c_d@e.f g@@h.i @j.k l@m", "x@y.z." * 20, "1.2.3.4.5.6.7.8 999.1.1.1 0000255.1.1.1 1.1.1.256 99999999999999999999.1.1.1",
     f"card {CARD} no {BAD} {CARD.replace(' ', '-')} {CARD.replace(' ', '')}", f"{CARD} {CARD}", "0000000000000", "4539  1488 0343 6467", "+1 (017) 555-7713 +49-30-1234 +12345678 +1234567890123456 +1 2", "🙂🙂 +1 (017) 555-7713 é a@b.cd",
     f"my account iban is {IBAN}.", f"serial {IBAN.replace('82', '83')}", "7" * 5000, "a" * 5000 + "@b.c", "1-" * 3000, "+1" + "(" * 2000 + "2", "1.1.1.1" * 50, "+1+1+1 555 1234567",
+    "x@a" + ".a" * 20_000, "x@" + "a." * 20_000, "7" * 100_000 + ".1.1.1", "1.1." * 20_000, "bob@b.com, 10.0.0.1 or +1 555 123 4567 é " * 2_000,
 ]
 
 
