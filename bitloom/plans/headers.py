@@ -13,7 +13,7 @@ from bitloom.plans import sequence as S
 SET_BYTES, SLICE_BYTES = 1024, 256
 
 
-def _once(df: DataFrame, **made: Column) -> DataFrame:
+def made_once(df: DataFrame, **made: Column) -> DataFrame:
     """``df`` with columns made by a generator, so that filters on them are not pushed below and worked out twice."""
     return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in made.items())))))
 
@@ -28,7 +28,7 @@ def parameter_sets(units: DataFrame, nal_unit_type: int, elements: list[X.Elemen
     Sets with scaling matrices or slice groups are read up to there and are not
     usable: they are left out, so what refers to them has no set.
     """
-    sets = _once(units.where(F.col("nal_unit_type") == nal_unit_type).withColumnRenamed("nal_idx", "at"), p=X.parse(_bits(SET_BYTES), elements))
+    sets = made_once(units.where(F.col("nal_unit_type") == nal_unit_type).withColumnRenamed("nal_idx", "at"), p=X.parse(_bits(SET_BYTES), elements))
     vals = F.col("p.vals")
     plain = F.lit(True)
     for field in ("scaling_matrix_present", "pic_scaling_matrix_present", "num_slice_groups_minus1"):
@@ -90,7 +90,7 @@ def slice_headers(units: DataFrame) -> DataFrame:
     read = X.parse(F.col("bits"), X.slice_table("I", False), F.col("known"))
     for k, w in (("P", False), ("P", True), ("B", False), ("B", True)):
         read = F.when((F.col("kind") == k) & (F.col("weighted") == w), X.parse(F.col("bits"), X.slice_table(k, w), wide)).otherwise(read)
-    slices = _once(slices, h=read)
+    slices = made_once(slices, h=read)
     error = (
         F.when(F.col("sps").isNull() | F.col("pps").isNull(), "no parameter set")
         .when(~F.col("h.ok"), "header cut off")

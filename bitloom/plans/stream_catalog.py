@@ -14,6 +14,7 @@ from bitloom.operators import frames
 from bitloom.plans import catalog, pcm
 from bitloom.plans import sequence as S
 from bitloom.plans.catalog import table
+from bitloom.plans.headers import made_once
 from bitloom.sources import annexb
 
 
@@ -314,20 +315,20 @@ def sps_roundtrip(spark, sf_dir):
     vals = {k: F.expr(e) for k, e in (_SPS_VALUES | _SPS_CROP).items()}
     given = F.create_map(*(x for k, v in vals.items() for x in (F.lit(k), v.cast("long"))))
     rows = table(spark, sf_dir, "part").select("p_partkey", B.from_bits(B.trailing(X.write(given, X.SPS))).alias("rbsp"))
-    rows = rows.select("p_partkey", X.parse(B.to_bits(F.col("rbsp")), X.SPS).alias("p")).where("p.ok")
+    rows = made_once(rows, p=X.parse(B.to_bits(F.col("rbsp")), X.SPS)).where("p.ok")
     return rows.select("p_partkey", *(F.col("p.vals")[k].alias(k) for k in vals))
 
 
 _SLICE_GIVEN = {"nal_unit_type": 1, "log2_max_frame_num": 8, "log2_max_poc_lsb": 8, "poc_type": 0, "reads_bottom": 1, "reads_delta_0": 0, "reads_delta_1": 0, "redundant_pic_cnt_present": 0, "marks_refs": 1, "cabac": 1, "deblock_control": 1, "weighs_l0": 1, "weighs_l1": 0}
 _SLICE_VALUES = {
-    "first_mb": "l_suppkey", "slice_type": "6", "pps_id": "l_linenumber", "frame_num": "l_partkey % 256", "poc_lsb": "l_suppkey % 256", "delta_poc_bottom": "l_linenumber - 4", "direct_spatial": "l_partkey % 2", "override": "1",
-    "num_ref_l0_minus1": "1", "num_ref_l1_minus1": "0", "l0_modified": "1", "l0_op_0": "0", "l0_v_0": "l_suppkey", "l0_op_1": "2", "l0_v_1": "l_linenumber", "l0_op_2": "3", "luma_log2_denominator": "5", "luma_weight_l0_1_flag": "1",
-    "luma_weight_l0_1": "l_partkey % 256 - 128", "luma_offset_l0_1": "-l_linenumber", "chroma_weight_l1_0_flag": "1", "cr_offset_l1_0": "l_linenumber", "adaptive_marking": "1", "mmco_0": "1", "mmco_diff_0": "l_suppkey", "mmco_1": "3",
-    "mmco_diff_1": "l_linenumber", "mmco_long_1": "2", "cabac_init_idc": "l_linenumber % 3", "qp_delta": "l_suppkey % 51 - 25", "alpha_div2": "l_linenumber - 4", "beta_div2": "4 - l_linenumber",
+    "first_mb": "middle", "slice_type": "6", "pps_id": "small", "frame_num": "large % 256", "poc_lsb": "middle % 256", "delta_poc_bottom": "small - 4", "direct_spatial": "large % 2", "override": "1",
+    "num_ref_l0_minus1": "1", "num_ref_l1_minus1": "0", "l0_modified": "1", "l0_op_0": "0", "l0_v_0": "middle", "l0_op_1": "2", "l0_v_1": "small", "l0_op_2": "3", "luma_log2_denominator": "5", "luma_weight_l0_1_flag": "1",
+    "luma_weight_l0_1": "large % 256 - 128", "luma_offset_l0_1": "-small", "chroma_weight_l1_0_flag": "1", "cr_offset_l1_0": "small", "adaptive_marking": "1", "mmco_0": "1", "mmco_diff_0": "middle", "mmco_1": "3",
+    "mmco_diff_1": "small", "mmco_long_1": "2", "cabac_init_idc": "small % 3", "qp_delta": "middle % 51 - 25", "alpha_div2": "small - 4", "beta_div2": "4 - small",
 }
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, {", ".join(f"({e})::BIGINT AS {k}" for k, e in _SLICE_VALUES.items() if k not in ("pps_id", "first_mb"))} FROM lineitem WHERE l_orderkey % 40 = 0""")
+@query(f"""SELECT key, small, {", ".join(f"({e})::BIGINT AS {k}" for k, e in _SLICE_VALUES.items() if k not in ("pps_id", "first_mb"))} FROM (SELECT p_partkey AS key, p_size % 7 + 1 AS small, p_partkey * 31 AS large, p_partkey % 97 + p_size AS middle FROM part)""")
 def slice_header_roundtrip(spark, sf_dir):
     """B-slice headers with reordering, weights and marking commands."""
     known = {k: F.lit(v) for k, v in _SLICE_GIVEN.items()}
@@ -337,7 +338,8 @@ def slice_header_roundtrip(spark, sf_dir):
     def as_map(values):
         return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("long"))))
 
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
-    rows = rows.select("l_orderkey", "l_linenumber", B.trailing(X.write(as_map(known | vals), syntax)).alias("bits"))
-    rows = rows.select("l_orderkey", "l_linenumber", X.parse(F.col("bits"), syntax, as_map(known)).alias("p")).where("p.ok")
-    return rows.select("l_orderkey", "l_linenumber", *(F.col("p.vals")[k].alias(k) for k in vals if k not in ("pps_id", "first_mb")))
+    names = ("p_partkey AS key", "p_size % 7 + 1 AS small", "p_partkey * 31 AS large", "p_partkey % 97 + p_size AS middle")
+    rows = table(spark, sf_dir, "part").selectExpr(*names)
+    rows = rows.select("key", "small", B.trailing(X.write(as_map(known | vals), syntax)).alias("bits"))
+    rows = made_once(rows, p=X.parse(F.col("bits"), syntax, as_map(known))).where("p.ok")
+    return rows.select("key", "small", *(F.col("p.vals")[k].alias(k) for k in vals if k not in ("pps_id", "first_mb")))
