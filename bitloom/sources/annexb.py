@@ -23,11 +23,12 @@ def nal_units(streams: DataFrame) -> DataFrame:
 
     A start code is two zero bytes or more and a one. What comes before the
     first is dropped, so are zeros at the end of a unit and empty units. A null
-    content has no units.
+    content has no units. Runs of zeros are matched from their first zero only,
+    so a long one is read once.
     """
     text = F.decode("content", LATIN)
-    pieces = F.split(text, r"\x00{2,}\x01")
-    units = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: F.regexp_replace(p, r"\x00+$", "")), lambda p: p != "")
+    pieces = F.split(text, r"(?<!\x00)\x00{2,}+\x01")
+    units = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: F.regexp_replace(p, r"(?<!\x00)\x00++\z", "")), lambda p: p != "")
     return streams.select("stream_id", F.posexplode(units).alias("nal_idx", "unit")).select("stream_id", "nal_idx", F.encode("unit", LATIN).alias("nal"))
 
 

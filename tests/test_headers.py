@@ -51,7 +51,7 @@ def test_exp_golomb(spark, code, ue, se):
 
 
 def test_units_of_streams(spark):
-    cases = {"0000000167 4280": ["674280"], "00000001 67FF 000001 68EE 00000001 65DD": ["67FF", "68EE", "65DD"], "FF 00000001 67": ["67"], "000001 000001 67 0000": ["67"], "": [], "AABB": []}
+    cases = {"0000000167 4280": ["674280"], "00000001 67FF 000001 68EE 00000001 65DD": ["67FF", "68EE", "65DD"], "FF 00000001 67": ["67"], "000001 000001 67 0000": ["67"], "": [], "AABB": [], "000001 65000A": ["65000A"], "000001 65000D0A 000001 680085": ["65000D0A", "680085"], "000001 65" + "00" * 200_000 + "02": ["65" + "00" * 200_000 + "02"]}
     rows = [(i, bytearray.fromhex(k.replace(" ", ""))) for i, k in enumerate(cases)] + [(99, None)]
     got = annexb.nal_units(spark.createDataFrame(rows, "stream_id int, content binary")).collect()
     for i, want in enumerate(cases.values()):
