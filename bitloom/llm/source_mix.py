@@ -10,9 +10,12 @@ Blocks
     The documents of a source are dealt to its blocks by hash, and the blocks
     and the documents in a block are permuted by hash. A source's mix is its
     blocks in permuted order, again from the start once all are drawn, up to
-    its target: whole blocks, then of one boundary block the documents in
-    permuted order that still fit, in ``FILLS`` passes, and last the one whose
-    size is nearest to the room left, if that brings the sum nearer.
+    its target: whole epochs, then of the last one the documents in the order
+    of blocks and places up to the first that passes the room left. Documents
+    larger than that room are laid aside and the pass goes on over the
+    source's further blocks, until no document is left that fits. Last comes
+    the one whose size is nearest to the room, if that brings the sum nearer,
+    so a sum is off by less than the smallest document not taken.
 
 Splitting tree
     The drawn block slots of all sources are dealt to ``shards`` output shards.
@@ -27,7 +30,12 @@ Scale
     are at most ``BLOCKS`` blocks besides one for each source, whatever the
     input, so the plan that is looked up for each document is bounded by that
     and the number of sources; it is broadcast only after a count. Documents
-    themselves are never shuffled for it, and a hot source is many blocks.
+    themselves are never shuffled for it, and a hot source is many blocks. A
+    pass over the last epoch is a rule of three numbers for each source (limit
+    of size, block, place). The first reads all sizes, the others those of
+    documents less than twice the room that the first leaves. Where a pass
+    takes less than half of the room, the next takes documents of at most half
+    of it, so there are at most two passes, and two more, for each halving.
 """
 
 from __future__ import annotations
@@ -47,7 +55,6 @@ SEED = 42
 BLOCKS = 4096
 #: Words of a block at least, where the input is small.
 BLOCK_WORDS = 16_384
-FILLS = 4
 BROADCAST_ROWS = 100_000
 
 
@@ -171,6 +178,40 @@ def _split(quotas: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataF
     return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("x")).select("x._bitloom_no", "shard", F.col("x.quota").cast("long").alias("quota"))
 
 
+def _under(rules: str, size: str) -> Column:
+    """Whether one of the rules takes what has this size and this place in its source."""
+    block, place = F.col("_bitloom_order"), F.col("_bitloom_place")
+    return F.coalesce(F.exists(rules, lambda r: (F.col(size) <= r["limit"]) & F.coalesce((block < r["block"]) | ((block == r["block"]) & (place <= r["place"])), F.lit(False))), F.lit(False))
+
+
+def _pass(rows: DataFrame, state: DataFrame, hint) -> DataFrame:
+    """``state``, a row for each source, after a pass over ``rows``; mass is the size of all rows in one place.
+
+    Of the rows that no rule takes and that are at most the limit, the longest
+    run in order that fits the room is taken: running sums over blocks find the
+    block in which it ends, those over that block's places the last place.
+    """
+    limit = F.floor(F.when(F.col("half"), F.col("room") / 2).otherwise(F.col("room")) + 1e-6)
+    open_ = state.where("not done").select("_bitloom_no", (F.col("room") + 1e-6).alias("most"), limit.alias("limit"), "rules")
+    live = rows.join(hint(open_), "_bitloom_no").where((F.col("mass") <= F.col("limit")) & ~_under("rules", "mass"))
+    sums = live.groupBy("_bitloom_no", "_bitloom_order", "most", "limit").agg(F.sum("mass").alias("words"))
+    sums = sums.withColumn("sum", F.sum("words").over(W.partitionBy("_bitloom_no").orderBy("_bitloom_order")))
+    edge = F.min(F.when(F.col("sum") > F.col("most"), F.struct("_bitloom_order", (F.col("sum") - F.col("words")).alias("before"))))
+    ends = sums.groupBy("_bitloom_no", "most", "limit").agg(edge.alias("edge"), (F.max("_bitloom_order") + 1).alias("beyond"), F.sum("words").alias("all"))
+    ends = ends.select("_bitloom_no", "most", "limit", F.coalesce("edge._bitloom_order", "beyond").alias("block"), F.coalesce("edge.before", "all").alias("before"))
+    last = live.select("_bitloom_no", F.col("_bitloom_order").alias("block"), "_bitloom_place", "mass").join(hint(ends), ["_bitloom_no", "block"])
+    last = last.groupBy("_bitloom_no", "_bitloom_place", "most", "before").agg(F.sum("mass").alias("mass"))
+    last = last.withColumn("sum", F.col("before") + F.sum("mass").over(W.partitionBy("_bitloom_no").orderBy("_bitloom_place"))).where("sum <= most")
+    last = last.groupBy("_bitloom_no").agg(F.max("_bitloom_place").alias("place"), F.max("sum").alias("sum"))
+    new = ends.join(last, "_bitloom_no", "left").select("_bitloom_no", F.struct("limit", "block", "place").alias("rule"), F.coalesce("sum", "before").alias("took"))
+    took = F.coalesce("took", F.lit(0))
+    room = F.col("room") - took
+    return state.join(new, "_bitloom_no", "left").select(
+        "_bitloom_no", room.alias("room"), F.when(took > 0, F.concat("rules", F.array("rule"))).otherwise(F.col("rules")).alias("rules"),
+        (~F.col("half") & (took < F.col("room") / 2)).alias("half"), (F.col("done") | (room < 1 - 1e-6) | (~F.col("half") & (took == 0))).alias("done"), F.col("rule.block").alias("block"),
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies.
 
@@ -192,61 +233,67 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     total = aims.agg(F.sum("source_size")).first()[0] or 0
     block_words = max(BLOCK_WORDS, -(-total // BLOCKS))
     aims = aims.select("*", F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("_bitloom_no"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("int").alias("_bitloom_n_blocks"))
-    aims = scratch.keep(aims, "aims")
-    lookup = _small(aims.select(F.col("source").alias("_bitloom_source"), "_bitloom_no", "_bitloom_n_blocks", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
+    epochs = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-12)
+    aims = scratch.keep(aims.withColumn("epochs", epochs).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))), "aims")
+    hint = F.broadcast if aims.count() <= BROADCAST_ROWS else lambda df: df
+    lookup = hint(aims.select(F.col("source").alias("_bitloom_source"), "_bitloom_no", "_bitloom_n_blocks", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
 
     def dealt(df: DataFrame, source: str, size: str, key: str) -> DataFrame:
         df = df.join(lookup, F.col(source).cast("string").eqNullSafe(F.col("_bitloom_source")), "left").drop("_bitloom_source")
         return df.withColumn("_bitloom_block", F.pmod(F.col(key), F.col("_bitloom_n_blocks")).cast("int")).withColumn("_bitloom_place", F.xxhash64(F.lit(seed + 1), F.col(key)))
 
-    # Blocks in permuted order; the running sum of a source's blocks, several times over, against its target.
-    blocks = dealt(slim, "source", "size", "key").groupBy("_bitloom_no", "_bitloom_block").agg(F.sum("size").alias("words"), F.first("mix_target").alias("target"), F.first("mix_source_size").alias("source_size"))
-    blocks = scratch.keep(blocks.withColumn("place", F.xxhash64(F.lit(seed + 2), "_bitloom_no", "_bitloom_block")), "blocks")
-    in_order = W.partitionBy("_bitloom_no").orderBy("place", "_bitloom_block")
-    epochs = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-12)
-    blocks = blocks.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
-    blocks = blocks.withColumn("no", F.row_number().over(in_order) - 1).withColumn("before", F.sum("words").over(in_order) - F.col("words"))
-    n_blocks = F.count("*").over(W.partitionBy("_bitloom_no"))
-    partly = F.when(F.col("before") + F.col("words") <= F.col("left") + 1e-6, "whole").when((F.col("before") < F.col("left")), "part").otherwise("none")
-    blocks = scratch.keep(blocks.select("_bitloom_no", "_bitloom_block", "words", "no", n_blocks.alias("n"), "epochs", (F.col("left") - F.col("before")).alias("room"), partly.alias("last")), "drawn")
-
-    # The boundary block of each source: documents in permuted order that fit, and again with what room is left.
-    rest = dealt(slim, "source", "size", "key").join(_small(blocks.where("last = 'part'").select("_bitloom_no", "_bitloom_block", "room")), ["_bitloom_no", "_bitloom_block"])
-    rest = scratch.keep(rest.where("size > 0").select("_bitloom_no", F.col("_bitloom_place").alias("place"), "size", "room"), "boundary")
-    cuts = None
-    for i in range(FILLS):
-        running = W.partitionBy("_bitloom_no").orderBy("place").rangeBetween(W.unboundedPreceding, 0)
-        filled = rest.where("size <= room").withColumn("sum", F.sum("size").over(running))
-        cut = filled.groupBy("_bitloom_no").agg(F.max(F.when(F.col("sum") <= F.col("room"), F.col("place"))).alias("cut"), F.max(F.when(F.col("sum") <= F.col("room"), F.col("sum"))).alias("took"), F.first("room").alias("room"))
-        cut = scratch.keep(cut.where("cut is not null").select("_bitloom_no", F.col("cut").alias(f"_bitloom_cut{i}"), F.col("room").alias(f"_bitloom_room{i}"), "took"), f"cut-{i}")
-        rest = rest.join(_small(cut), "_bitloom_no", "left")
-        inside = F.coalesce((F.col("size") <= F.col(f"_bitloom_room{i}")) & (F.col("place") <= F.col(f"_bitloom_cut{i}")), F.lit(False))
-        rest = scratch.keep(rest.where(~inside).select("_bitloom_no", "place", "size", (F.col("room") - F.coalesce("took", F.lit(0))).alias("room")), f"rest-{i}")
-        cut = cut.drop("took")
-        cuts = cut if cuts is None else cuts.join(cut, "_bitloom_no", "full")
-    off = F.abs(F.col("size") - F.col("room"))
-    nearest = rest.where(off < F.col("room")).groupBy("_bitloom_no").agg(F.min(F.struct(off.alias("off"), "place", "size")).alias("n"))
-    nearest = scratch.keep(nearest.select("_bitloom_no", F.col("n.place").alias("_bitloom_last_place"), F.col("n.size").alias("_bitloom_last_size")), "nearest")
-    cuts = cuts.join(nearest, "_bitloom_no", "full")
-
-    # Slots: for each source its whole epochs, then the last, unfinished one.
-    drawn = F.when(F.col("last") == "none", 0).otherwise(1)
-    quotas = blocks.groupBy("_bitloom_no").agg((F.max("epochs") * F.count("*") + F.sum(drawn)).alias("quota"))
-    leaves = scratch.keep(_split(quotas, shards, seed, scratch), "leaves")
+    # Blocks in permuted order.
+    slim = dealt(slim, "source", "size", "key").select("_bitloom_no", "_bitloom_block", "_bitloom_place", "size")
+    blocks = slim.select("_bitloom_no", "_bitloom_block").distinct().withColumn("place", F.xxhash64(F.lit(seed + 2), "_bitloom_no", "_bitloom_block"))
+    order = (F.row_number().over(W.partitionBy("_bitloom_no").orderBy("place", "_bitloom_block")) - 1).alias("_bitloom_order")
+    blocks = scratch.keep(blocks.select("_bitloom_no", "_bitloom_block", order, F.count("*").over(W.partitionBy("_bitloom_no")).cast("int").alias("n")), "blocks")
+
+    # The last epoch: a pass over all documents, then over those that the room it leaves could still take, until none fits.
+    rows = slim.where("size > 0").join(_small(blocks.drop("n")), ["_bitloom_no", "_bitloom_block"])
+    none = F.array().cast("array<struct<limit:bigint,block:int,place:bigint>>")
+    state = aims.select("_bitloom_no", F.col("left").alias("room"), none.alias("rules"), F.lit(False).alias("half"), (F.col("left") < 1 - 1e-6).alias("done"))
+    state = scratch.keep(_pass(rows.withColumn("mass", F.col("size")), state, hint), "pass-0")
+    first = state.select("_bitloom_no", F.coalesce("block", F.lit(0)).alias("first"))
+    state = state.select("_bitloom_no", "room", "rules", F.lit(False).alias("half"), (F.col("room") < 1 - 1e-6).alias("done"))
+    rest = rows.join(hint(state.where("not done").select("_bitloom_no", "room", "rules")), "_bitloom_no").where((F.col("size") < 2 * F.col("room")) & ~_under("rules", "size"))
+    # Rows in one place are taken together.
+    rest = scratch.keep(rest.groupBy("_bitloom_no", "_bitloom_order", "_bitloom_place", "size").agg(F.sum("size").alias("mass")), "rest")
+    passes = 0
+    while not state.where("not done").isEmpty():
+        passes += 1
+        state = scratch.keep(_pass(rest, state, hint).drop("block"), f"pass-{passes}")
+    rest = rest.join(hint(state.select("_bitloom_no", "room", "rules")), "_bitloom_no").where(~_under("rules", "mass"))
+    # Documents that a rule would take by their own size, but not all the rows in their place.
+    apart = scratch.keep(rest.where((F.col("mass") > F.col("size")) & _under("rules", "size")).select("_bitloom_no", "_bitloom_place", F.col("size").alias("_bitloom_apart")).distinct(), "apart")
+    off = F.abs(F.col("mass") - F.col("room"))
+    nearest = rest.where(off < F.col("room")).groupBy("_bitloom_no").agg(F.min(F.struct(off.alias("off"), "_bitloom_order", "_bitloom_place", "size")).alias("n"))
+    nearest = nearest.select("_bitloom_no", F.col("n._bitloom_order").alias("_bitloom_last_block"), F.col("n._bitloom_place").alias("_bitloom_last_place"), F.col("n.size").alias("_bitloom_last_size"))
+    state = state.select("_bitloom_no", F.col("rules").alias("_bitloom_rules")).join(nearest, "_bitloom_no", "left").join(first, "_bitloom_no").join(aims.select("_bitloom_no", "epochs"), "_bitloom_no")
+    # The last block of which something is taken in the last epoch.
+    most = F.greatest(F.lit(-1), F.array_max(F.transform("_bitloom_rules", lambda r: r["block"])), F.col("_bitloom_last_block"))
+    state = scratch.keep(state.withColumn("most", most), "last-epoch")
+
+    # Slots: for each source its whole epochs, then the last, unfinished one up to the block where its first pass ends;
+    # what is taken of later blocks shares that block's slot.
+    blocks = blocks.join(hint(state), "_bitloom_no").withColumn("first", F.least(F.col("first"), F.col("n") - 1))
+    quota = F.max(F.col("epochs") * F.col("n") + F.when(F.col("most") >= 0, F.col("first") + 1).otherwise(0))
+    leaves = scratch.keep(_split(blocks.groupBy("_bitloom_no").agg(quota.alias("quota")), shards, seed, scratch), "leaves")
     ends = F.sum("quota").over(W.partitionBy("_bitloom_no").orderBy("shard"))
     leaves = leaves.withColumn("end", ends).where("quota > 0").select("_bitloom_no", "shard", (F.col("end") - F.col("quota")).alias("start"), "end")
-    slots = blocks.select("_bitloom_no", "_bitloom_block", "last", F.explode(F.expr("sequence(0L, cast(epochs as bigint))")).alias("epoch"), "no", "n", "epochs")
-    slots = slots.where("epoch < epochs or last <> 'none'").withColumn("slot", F.col("epoch") * F.col("n") + F.col("no"))
-    slots = slots.withColumn("part", (F.col("epoch") == F.col("epochs")) & (F.col("last") == "part"))
+    slots = blocks.select("_bitloom_no", "_bitloom_block", "_bitloom_order", "n", "first", "most", "epochs", F.explode(F.expr("sequence(0L, cast(epochs as bigint))")).alias("epoch"))
+    slots = slots.withColumn("part", F.col("epoch") == F.col("epochs")).where("not part or _bitloom_order <= most")
+    slots = slots.withColumn("slot", F.col("epoch") * F.col("n") + F.when(F.col("part"), F.least("_bitloom_order", "first")).otherwise(F.col("_bitloom_order")))
     shard_of = slots.join(_small(leaves), "_bitloom_no").where("slot >= start and slot < end")
-    plan = shard_of.groupBy("_bitloom_no", "_bitloom_block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "part"))).alias("_bitloom_slots"))
-    plan = scratch.keep(plan.join(cuts, "_bitloom_no", "left"), "plan")
+    plan = shard_of.groupBy("_bitloom_no", "_bitloom_block", "_bitloom_order").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "part"))).alias("_bitloom_slots"))
+    plan = scratch.keep(plan.join(hint(state.select("_bitloom_no", "_bitloom_rules", "_bitloom_last_place", "_bitloom_last_size")), "_bitloom_no"), "plan")
 
     out = docs.select("*", words(F.col("text")).alias("mix_size"), key.alias("_bitloom_key"))
     out = dealt(out, "source", "mix_size", "_bitloom_key").join(_small(plan), ["_bitloom_no", "_bitloom_block"], "left")
-    fits = F.coalesce((F.col("mix_size") == F.col("_bitloom_last_size")) & (F.col("_bitloom_place") == F.col("_bitloom_last_place")), F.lit(False))
-    for i in range(FILLS):
-        fits = fits | F.coalesce((F.col("mix_size") <= F.col(f"_bitloom_room{i}")) & (F.col("_bitloom_place") <= F.col(f"_bitloom_cut{i}")), F.lit(False))
+    fits = _under("_bitloom_rules", "mix_size")
+    if not apart.isEmpty():
+        out = out.join(_small(apart), ["_bitloom_no", "_bitloom_place"], "left")
+        fits = fits & F.coalesce(F.col("mix_size") != F.col("_bitloom_apart"), F.lit(True))
+    fits = fits | F.coalesce((F.col("mix_size") == F.col("_bitloom_last_size")) & (F.col("_bitloom_place") == F.col("_bitloom_last_place")), F.lit(False))
     taken = F.filter("_bitloom_slots", lambda s: (F.col("mix_size") > 0) & (~s["part"] | fits))
     copies = F.transform(taken, lambda s: F.struct(s["epoch"].alias("epoch"), s["shard"].alias("shard"), F.xxhash64(F.lit(seed + 3), s["epoch"], F.col("_bitloom_key")).alias("place")))
     empty = F.array().cast("array<struct<epoch:bigint,shard:int,place:bigint>>")

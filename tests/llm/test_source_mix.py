@@ -108,6 +108,23 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert m.mix(mix.limit(0)).count() == 0
 
 
+def test_last_epoch_is_filled_from_all_blocks(spark):
+    """Long documents are laid aside where they do not fit: the sum is off by less than the smallest document not taken."""
+    table = [(i, " ".join(["w"] * n), "en", f"s{s}") for s in range(4) for i, n in enumerate([100_000, *[97 + s] * 1030], 10_000 * s)]
+    table += [(None, "three words here", "en", "ties")] * 7 + [(90_000 + i, "w " * n, "en", "ties") for i, n in enumerate((40, 2, 2, 6, 9))]
+    df = docs(spark, table).repartition(4)
+    left = defaultdict(list)
+    got = m.mix(df, share=0.7, cap=0.7).collect()
+    took = defaultdict(int)
+    for r in got:
+        took[r["source"]] += r["mix_size"] * len(r["mix_copies"])
+        if not r["mix_copies"]:
+            left[r["source"]].append(r["mix_size"] * (7 if r["doc_id"] is None else 1))
+    for source, target in {r["source"]: r["mix_target"] for r in got}.items():
+        assert abs(took[source] - target) <= min(left[source])
+    assert len({len(r["mix_copies"]) for r in got if r["doc_id"] is None}) == 1
+
+
 def test_shards_are_written(spark, tmp_path):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     path = f"file://{tmp_path}/mix"
