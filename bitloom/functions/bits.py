@@ -14,7 +14,10 @@ from bitloom.functions.let import let
 
 def to_bits(data: Column) -> Column:
     """Bytes as a string of 0 and 1, most significant bit first."""
-    return F.array_join(F.transform(F.filter(F.split(F.hex(data), ""), lambda h: h != ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
+    out = F.translate(F.hex(data), "0123456789ABCDEF", "abcdefghijklmnop")
+    for value in range(16):  # a letter for each hexadecimal digit, so that a replacement is not replaced again
+        out = F.replace(out, F.lit(chr(ord("a") + value)), F.lit(f"{value:04b}"))
+    return out
 
 
 def from_bits(bits: Column) -> Column:
@@ -83,6 +86,27 @@ def trailing(bits: Column) -> Column:
     return let(lambda v: F.rpad(v["b"], (F.ceil(F.length(v["b"]) / 8) * 8).cast("int"), F.lit("0")), b=F.concat(bits, F.lit("1")))
 
 
+def is_aligned(pos: Column) -> Column:
+    """Whether a position is at the start of a byte."""
+    return pos % 8 == 0
+
+
+def aligned(pos: Column) -> Column:
+    """The position itself if it is at the start of a byte, else the next that is."""
+    return ((pos + 7) / 8).cast("int") * 8
+
+
+def peek_16(bits: Column, pos: Column) -> Column:
+    """The 16 bits at pos as a number, zeros standing in for those beyond the end."""
+    return u(F.rpad(F.substring(bits, pos + 1, F.lit(16)), 16, F.lit("0")), F.lit(0), F.lit(16))
+
+
+def hex_to_bytes(text: Column) -> Column:
+    """Hexadecimal digits, spaces apart, as bytes; null if their number is odd or there is anything else."""
+    digits = F.regexp_replace(text, r"\s+", "")
+    return F.when(F.length(digits) % 2 == 0, F.unhex(digits))
+
+
 def last_one(bits: Column) -> Column:
     """Position of the last one bit, the stop bit of a payload; -1 if there is none."""
     return F.length(F.rtrim(bits, F.lit("0"))) - 1

@@ -1,25 +1,25 @@
-"""Header syntax as data: a table of elements that one fold reads from a payload.
+"""Header syntax as data: a table of elements that is read from a payload, or written, row by row.
 
 Each element has a name, a kind, a length and a condition on an element before
-it. Reading is an ``aggregate`` over the table with the position and the values
-so far as its state, so a parameter set or slice header is parsed inside
-Catalyst, row by row, without Python.
+it. A header of 250 elements is a long interpreted expression but a short loop,
+so whole Arrow batches of headers go through one small function; what comes
+before and after (finding units, sets by id, slices by stream) is DataFrame
+work. An element takes 64 bits at most, so ``longest`` bounds a table's bytes.
 
 Kinds: u (n bits), v (as many bits as another element says), ue, se, one (no
-bits, value 1), more (no bits, whether payload is left before the stop bit).
+bits, value 1), more (no bits, whether payload is left before the stop bit),
+either (no bits, the first of some elements that is there), scale (a signed
+step from the value of another element, modulo 256), fail (cannot be read).
 """
 
 from __future__ import annotations
 
-import json
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitloom.functions import bits as B
-from bitloom.functions.let import let
-
 
 class Element(NamedTuple):
     name: str
@@ -27,77 +27,139 @@ class Element(NamedTuple):
     n: int = 0
     when: tuple[str, int, int] | None = None
     length: str = ""
+    also: tuple[str, int, int] | None = None
+
+
+# Ranges of elements.
+RANGES = {
+    "sps_id": (0, 31), "pps_id": (0, 255), "chroma_format_idc": (0, 3), "bit_depth_luma_minus8": (0, 6), "bit_depth_chroma_minus8": (0, 6), "log2_max_frame_num_minus4": (0, 12), "poc_type": (0, 2),
+    "log2_max_poc_lsb_minus4": (0, 12), "num_ref_frames_in_cycle": (0, 255), "nal_cpb_cnt": (0, 31), "vcl_cpb_cnt": (0, 31), "num_slice_groups_minus1": (0, 7), "slice_group_map_type": (0, 6),
+    "num_ref_l0_default_minus1": (0, 31), "num_ref_l1_default_minus1": (0, 31), "weighted_bipred_idc": (0, 2), "init_qp_minus26": (-62, 25), "init_qs_minus26": (-26, 25), "chroma_qp_offset": (-12, 12),
+    "second_chroma_qp_offset": (-12, 12), "slice_type": (0, 9), "num_ref_l0_minus1": (0, 31), "num_ref_l1_minus1": (0, 31), "luma_log2_denominator": (0, 7), "chroma_log2_denominator": (0, 7),
+    "cabac_init_idc": (0, 2), "deblock_idc": (0, 2), "alpha_div2": (-6, 6), "beta_div2": (-6, 6),
+}
+_PARSED = pa.struct([("pos", pa.int32()), ("vals", pa.map_(pa.string(), pa.int64())), ("ok", pa.bool_()), ("bad", pa.string())])
+
+
+def longest(table: list[Element]) -> int:
+    """Bytes that a table's elements take at most."""
+    return -(-sum(64 if e.kind in ("ue", "se", "scale", "v") else e.n for e in table) // 8)
+
+
+def _applies(e: Element, vals: dict[str, int]) -> bool:
+    for condition in (e.when, e.also):
+        if condition is not None and not condition[1] <= vals.get(condition[0], condition[1] - 1) <= condition[2]:
+            return False
+    return True
+
+
+def _golomb(bits: str, pos: int) -> tuple[int, int]:
+    zeros = bits.find("1", pos) - pos
+    end = pos + 2 * zeros + 1
+    if not 0 <= zeros <= 32 or end > len(bits):
+        raise EOFError
+    return int(bits[pos + zeros : end], 2) - 1, end
+
+
+def _signed(k: int) -> int:
+    return (k + 1) // 2 if k % 2 else -(k // 2)
+
+
+def _read(bits: str, table: list[Element], vals: dict[str, int]) -> tuple[int, bool, str | None]:
+    """Adds the values of the elements present to ``vals``; the bits read, whether all could be, and which element could not."""
+    pos, stop = 0, bits.rfind("1")
+    for e in table:
+        if e.name in vals or not _applies(e, vals):
+            continue
+        try:
+            if e.kind in ("u", "v"):
+                end = pos + (e.n if e.kind == "u" else vals[e.length])
+                if end > len(bits):
+                    raise EOFError
+                value = int(bits[pos:end] or "0", 2)
+                pos = end
+            elif e.kind in ("ue", "se", "scale"):
+                value, pos = _golomb(bits, pos)
+                value = value if e.kind == "ue" else _signed(value)
+                value = (vals[e.length] + value) % 256 if e.kind == "scale" else value
+            elif e.kind == "either":
+                value = next(vals[name] for name in e.length.split() if name in vals)
+            elif e.kind == "fail":
+                raise EOFError
+            else:
+                value = int(stop > pos) if e.kind == "more" else e.n or 1
+        except (EOFError, KeyError, StopIteration):
+            return pos, False, e.name
+        vals[e.name] = value
+        if e.name in RANGES and not RANGES[e.name][0] <= value <= RANGES[e.name][1]:
+            return pos, False, e.name
+    return pos, True, None
+
+
+def parse(bits: Column, table: list[Element] | dict[str, list[Element]], given: Column | None = None, key: Column | None = None) -> Column:
+    """struct<pos, vals map<string,bigint>, ok, bad>: values of the elements present, of ``given`` too, whether all could be read, and which could not.
+
+    With ``key`` there are several tables, and it names the one for each row;
+    a row without bits, or with a key of no table, is null.
+    """
+    tables = table if isinstance(table, dict) else {"": table}
+
+    @F.arrow_udf("struct<pos:int,vals:map<string,bigint>,ok:boolean,bad:string>")
+    def run(rows: pa.Array, known: pa.Array, keys: pa.Array) -> pa.Array:
+        out = []
+        for text, pairs, k in zip(rows.to_pylist(), known.to_pylist(), keys.to_pylist()):
+            if text is None or k not in tables:
+                out.append(None)
+                continue
+            vals = {name: v for name, v in pairs or () if v is not None}
+            pos, ok, bad = _read(text, tables[k], vals)
+            out.append({"pos": pos, "vals": list(vals.items()), "ok": ok, "bad": bad})
+        return pa.array(out, _PARSED)
 
-
-def _literal(table: list[Element]) -> Column:
-    """A table as one foldable literal, whatever its length."""
-    rows = [{"name": e.name, "kind": e.kind, "n": e.n, "field": e.when and e.when[0], "low": e.when and e.when[1], "high": e.when and e.when[2], "length": e.length} for e in table]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,kind:string,n:int,field:string,low:bigint,high:bigint,length:string>>")
-
-
-def _applies(e: Column, vals: Column) -> Column:
-    return e["field"].isNull() | F.coalesce(vals[e["field"]].between(e["low"], e["high"]), F.lit(False))
+    given = F.create_map().cast("map<string,bigint>") if given is None else given
+    return run(bits, given, F.lit("") if key is None else key)
 
 
-def parse(bits: Column, table: list[Element], given: Column | None = None) -> Column:
-    """struct<pos, vals map<string,bigint>, ok>: values of the elements present, of ``given`` too, and whether all could be read."""
-    given = F.create_map().cast("map<string,bigint>") if given is None else given
-    return let(lambda v: _fold(v["bits"], table, v["given"]), bits=bits, given=given)
+def _put_ue(k: int) -> str:
+    code = bin(k + 1)[2:]
+    return "0" * (len(code) - 1) + code
 
 
-def write(vals: Column, table: list[Element]) -> Column:
+def _put(table: list[Element], vals: dict[str, int]) -> str:
+    # What a reader knows: values that no element has, and elements written so far.
+    names = {e.name for e in table}
+    known = {k: v for k, v in vals.items() if k not in names}
+    out = []
+    for e in table:
+        if e.name in known or not _applies(e, known):
+            continue
+        value = e.n or 1 if e.kind == "one" else next((known[n] for n in e.length.split() if n in known), 0) if e.kind == "either" else 0
+        value = known[e.name] = vals.get(e.name, value)
+        n = known.get(e.length, 0) if e.kind == "v" else e.n
+        if e.kind in ("u", "v"):
+            out.append(bin(value)[2:].zfill(n)[-n:] if n else "")
+        elif e.kind == "ue":
+            out.append(_put_ue(value))
+        elif e.kind in ("se", "scale"):
+            step = value if e.kind == "se" else (value - known[e.length] + 128) % 256 - 128
+            out.append(_put_ue(2 * step - 1 if step > 0 else -2 * step))
+    return "".join(out)
+
+
+def write(vals: Column, table: list[Element] | dict[str, list[Element]], key: Column | None = None) -> Column:
     """The bits of a table's elements with values from a map; the inverse of ``parse``. Elements without a value are 0.
 
-    Marks (kind one) follow from their conditions as in reading; whether the
-    elements after a ``more`` are written is its value.
+    Marks follow from their conditions as in reading; whether the elements
+    after a ``more`` are written is its value. Null without values or table.
     """
+    tables = table if isinstance(table, dict) else {"": table}
+
+    @F.arrow_udf("string")
+    def run(rows: pa.Array, keys: pa.Array) -> pa.Array:
+        pairs = zip(rows.to_pylist(), keys.to_pylist())
+        return pa.array([_put(tables[k], {n: v for n, v in row if v is not None}) if row is not None and k in tables else None for row, k in pairs], pa.string())
 
-    def step(state: Column, e: Column) -> Column:
-        value = F.coalesce(state["vals"][e["name"]], F.lit(0).cast("long"))
-        n = F.when(e["kind"] == "u", e["n"]).when(e["kind"] == "v", state["vals"][e["length"]].cast("int"))
-        code = (
-            F.when(e["kind"].isin("u", "v"), F.substring(F.lpad(F.bin(value), 64, "0"), 65 - n, n))
-            .when(e["kind"] == "ue", B.put_ue(value))
-            .when(e["kind"] == "se", B.put_se(value))
-            .otherwise("")
-        )
-        known = F.map_contains_key(state["vals"], e["name"])
-        mark = F.when(e["kind"] == "one", 1).otherwise(value)
-        vals = F.when(known, state["vals"]).otherwise(F.map_concat(state["vals"], F.create_map(e["name"], mark)))
-        fresh = ~F.array_contains(state["done"], e["name"])
-        new = F.struct(F.concat(state["bits"], code).alias("bits"), vals.alias("vals"), F.array_append(state["done"], e["name"]).alias("done"))
-        return F.when(fresh & _applies(e, state["vals"]), new).otherwise(state)
-
-    start = F.struct(F.lit("").alias("bits"), vals.alias("vals"), F.array().cast("array<string>").alias("done"))
-    return F.aggregate(_literal(table), start, step, lambda s: s["bits"])
-
-
-def _fold(bits: Column, table: list[Element], given: Column) -> Column:
-    def step(state: Column, e: Column) -> Column:
-        present = state["ok"] & _applies(e, state["vals"]) & ~F.map_contains_key(state["vals"], e["name"])
-
-        def read(v: Column) -> Column:
-            n = F.when(e["kind"] == "u", e["n"]).when(e["kind"] == "v", state["vals"][e["length"]].cast("int")).otherwise(0)
-            golomb = B.u(bits, state["pos"] + v["z"], v["z"] + 1) - 1
-            value = (
-                F.when(e["kind"].isin("u", "v"), B.u(bits, state["pos"], n))
-                .when(e["kind"] == "ue", golomb)
-                .when(e["kind"] == "se", B.signed(golomb))
-                .when(e["kind"] == "more", (B.last_one(bits) > state["pos"]).cast("long"))
-                .otherwise(F.lit(1).cast("long"))
-            )
-            size = F.when(e["kind"].isin("ue", "se"), 2 * v["z"] + 1).otherwise(n)
-            return let(
-                lambda r: F.struct((state["pos"] + F.coalesce(r["size"], F.lit(0))).alias("pos"), F.map_concat(state["vals"], F.create_map(e["name"], r["value"])).alias("vals"), r["value"].isNotNull().alias("ok")),
-                value=value,
-                size=size,
-            )
-
-        zeros = F.when(e["kind"].isin("ue", "se"), B.leading_zeros(bits, state["pos"]))
-        return F.when(present, let(read, z=zeros)).otherwise(state)
-
-    start = F.struct(F.lit(0).alias("pos"), given.alias("vals"), F.lit(True).alias("ok"))
-    return F.aggregate(_literal(table), start, step)
+    return run(vals, F.lit("") if key is None else key)
 
 
 def _u(n: int, *names: str, when=None) -> list[Element]:
@@ -126,6 +188,22 @@ CHROMA_PROFILES = (44, 83, 86, 100, 110, 118, 122, 128, 134, 138, 139, 244)
 #: Offsets of a picture order cycle that are read at most; the standard allows 255.
 CYCLE = 255
 
+
+
+def _lists(present: tuple[str, int, int]) -> list[Element]:
+    """Scaling lists: six of 16, then of 64, two or, where chroma is not subsampled, six; a value of 0 ends a list."""
+    out = []
+    for i in range(12):
+        size = 16 if i < 6 else 64
+        when, also = (present, None) if i < 6 else (("lists_8x8", i - 5, 6), present)
+        out.append(Element(f"list_{i}", "u", 1, when, also=also))
+        before = "list_start"
+        for j in range(size):
+            out.append(Element(f"list_{i}_{j}", "scale", when=(f"list_{i}", 1, 1) if j == 0 else (before, 1, 255), length=before))
+            before = f"list_{i}_{j}"
+    return [Element("list_start", "one", 8, present), *out]
+
+
 VUI = [
     *_u(1, "aspect_ratio_info_present"),
     *_u(8, "aspect_ratio_idc", when=("aspect_ratio_info_present", 1, 1)),
@@ -171,6 +249,9 @@ SPS = [
     *_u(1, "separate_colour_plane", when=("chroma_format_idc", 3, 3)),
     *_ue("bit_depth_luma_minus8", "bit_depth_chroma_minus8", when=("high", 1, 1)),
     *_u(1, "qpprime_y_zero_bypass", "scaling_matrix_present", when=("high", 1, 1)),
+    Element("lists_8x8", "one", 6, ("chroma_format_idc", 3, 3)),
+    Element("lists_8x8", "one", 2, ("high", 1, 1)),
+    *_lists(("scaling_matrix_present", 1, 1)),
     *_ue("log2_max_frame_num_minus4", "poc_type"),
     *_ue("log2_max_poc_lsb_minus4", when=("poc_type", 0, 0)),
     *_u(1, "delta_pic_order_always_zero", when=("poc_type", 1, 1)),
@@ -191,13 +272,22 @@ SPS = [
 PPS = [
     *_ue("pps_id", "sps_id"),
     *_u(1, "cabac", "bottom_field_poc"),
-    *_ue("num_slice_groups_minus1", "num_ref_l0_default_minus1", "num_ref_l1_default_minus1"),
+    *_ue("num_slice_groups_minus1"),
+    *_ue("slice_group_map_type", when=("num_slice_groups_minus1", 1, 7)),
+    *(Element(f"run_length_minus1_{i}", "ue", when=("slice_group_map_type", 0, 0), also=("num_slice_groups_minus1", i, 7)) for i in range(8)),
+    *(Element(f"{name}_{i}", "ue", when=("slice_group_map_type", 2, 2), also=("num_slice_groups_minus1", i + 1, 7)) for i in range(7) for name in ("top_left", "bottom_right")),
+    *_u(1, "slice_group_change_direction", when=("slice_group_map_type", 3, 5)),
+    *_ue("slice_group_change_rate_minus1", when=("slice_group_map_type", 3, 5)),
+    Element("slice_group_ids", "fail", when=("slice_group_map_type", 6, 6)),
+    *_ue("num_ref_l0_default_minus1", "num_ref_l1_default_minus1"),
     *_u(1, "weighted_pred"),
     *_u(2, "weighted_bipred_idc"),
     *_se("init_qp_minus26", "init_qs_minus26", "chroma_qp_offset"),
     *_u(1, "deblock_control", "constrained_intra", "redundant_pic_cnt_present"),
     Element("more", "more"),
     *_u(1, "transform_8x8", "pic_scaling_matrix_present", when=("more", 1, 1)),
+    Element("lists_8x8", "one", 2, ("transform_8x8", 1, 1)),
+    *_lists(("pic_scaling_matrix_present", 1, 1)),
     *_se("second_chroma_qp_offset", when=("more", 1, 1)),
 ]
 
@@ -214,7 +304,7 @@ def _modifications(list_no: int, when: tuple[str, int, int]) -> list[Element]:
             *_ue(f"{name}_v_{i}", when=(f"{name}_op_{i}", 0, 2)),
             Element(f"{name}_go_{i + 1}", "one", when=(f"{name}_op_{i}", 0, 2)),
         ]
-    return out
+    return [*out, Element(f"{name}_too_many", "fail", when=(f"{name}_go_{ENTRIES + 1}", 1, 1))]
 
 
 def _weights(list_no: int, on: str) -> list[Element]:
@@ -238,7 +328,7 @@ def _marking() -> list[Element]:
         op = f"mmco_{i}"
         out += [*_ue(op, when=(f"mmco_go_{i}", 1, 1)), *_ue(f"mmco_diff_{i}", when=(op, 1, 1)), *_ue(f"mmco_diff_{i}", when=(op, 3, 3))]
         out += [*_ue(f"mmco_long_{i}", when=(op, 2, 2)), *_ue(f"mmco_long_{i}", when=(op, 3, 4)), *_ue(f"mmco_long_{i}", when=(op, 6, 6)), Element(f"mmco_go_{i + 1}", "one", when=(op, 1, 6))]
-    return out
+    return [*out, Element("mmco_too_many", "fail", when=(f"mmco_go_{ENTRIES}", 1, 1))]
 
 
 SLICE_START = _ue("first_mb", "slice_type", "pps_id")
@@ -267,8 +357,9 @@ def slice_table(kind: str, weighted: bool) -> list[Element]:
     """The header of I, P or B slices, with or without a table of explicit weights.
 
     ``given`` needs marks that depend on the parameter sets (marks_refs,
-    reads_bottom and the like) and, for weights, weighs_l0 and weighs_l1: the
-    numbers of active references less one, which ``reference_counts`` reads.
+    reads_bottom and the like). The numbers of active references less one are
+    the slice's own, else those of the picture parameter set, default_l0 and
+    default_l1; weighs_l0 and weighs_l1 in ``given`` go before both.
     """
     out = [*SLICE]
     if kind == "B":
@@ -278,6 +369,7 @@ def slice_table(kind: str, weighted: bool) -> list[Element]:
     if kind == "B":
         out += _modifications(1, ("is_b", 1, 1))
     if weighted and kind in "PB":
+        out += [Element(f"weighs_l{i}", "either", length=f"num_ref_l{i}_minus1 default_l{i}") for i in range(1 + (kind == "B"))]
         out += [*_ue("luma_log2_denominator", "chroma_log2_denominator"), *_weights(0, "weighs_l")]
         if kind == "B":
             out += _weights(1, "weighs_l")
@@ -288,13 +380,5 @@ def slice_table(kind: str, weighted: bool) -> list[Element]:
     return out + _se("alpha_div2", "beta_div2", when=("deblocks", 1, 1))
 
 
-def reference_counts(bits: Column, given: Column, default_l0: Column, default_l1: Column) -> Column:
-    """struct<l0, l1>: active references less one of a slice, its own or the picture parameter set's."""
-    table = [*SLICE, *_ue("num_ref_l1_minus1", when=("is_b", 1, 1))]
-
-    def counts(v: Column) -> Column:
-        own = v["vals"]["override"] == 1
-        l1 = F.when(own, v["vals"]["num_ref_l1_minus1"])
-        return F.struct(F.coalesce(v["vals"]["num_ref_l0_minus1"], default_l0).alias("l0"), F.coalesce(l1, default_l1).alias("l1"))
-
-    return let(counts, vals=parse(bits, table, given)["vals"])
+#: Headers by kind of slice, with "w" where there are explicit weights.
+SLICE_TABLES = {f"{kind}{'w' * weighted}": slice_table(kind, weighted) for kind, weighted in (("I", False), ("P", False), ("P", True), ("B", False), ("B", True))}

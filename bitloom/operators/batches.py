@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bitloom.operators import blocks
+
 
 def _batched(size: int, kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
     """An Arrow function of array<int> columns whose rows hold size * size numbers; null blocks stay null."""
 
     @F.arrow_udf("array<int>")
-    def run(blocks: pa.Array) -> pa.Array:
-        there = blocks.is_valid().to_numpy(zero_copy_only=False)
-        values = blocks.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, size, size)
+    def run(rows: pa.Array) -> pa.Array:
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        values = rows.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, size, size)
         offsets = np.r_[0, np.cumsum(there)] * size * size
         out = kernel(values).astype(np.int32).ravel()
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out), mask=pa.array(~there) if not there.all() else None)
@@ -45,6 +47,35 @@ def _line_8(x: np.ndarray) -> np.ndarray:
     return np.concatenate([even + odd, (even - odd)[..., ::-1]], axis=-1)
 
 
+def sample_bytes(values: Column) -> Column:
+    """array of 0..255 as bytes; null for null."""
+
+    @F.arrow_udf("binary")
+    def run(rows: pa.Array) -> pa.Array:
+        rows = pa.concat_arrays([rows])
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        lengths = np.where(there, np.diff(rows.offsets.to_numpy()), 0)
+        data = rows.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+        ends = np.cumsum(lengths)
+        return pa.array([data[e - n : e] if ok else None for ok, n, e in zip(there, lengths, ends)], pa.binary())
+
+    return run(values)
+
+
+def byte_sums(data: Column) -> Column:
+    """struct<least, most, total> of a column of bytes; null for null, least and most null where it is empty."""
+
+    @F.arrow_udf("struct<least:bigint,most:bigint,total:bigint>")
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows:
+            v = None if not row.is_valid else np.frombuffer(row.as_buffer(), dtype=np.uint8)
+            out.append(None if v is None else {"least": int(v.min()) if len(v) else None, "most": int(v.max()) if len(v) else None, "total": int(v.sum(dtype=np.int64))})
+        return pa.array(out, pa.struct([(n, pa.int64()) for n in ("least", "most", "total")]))
+
+    return run(data)
+
+
 _SIGNS = np.array([[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -1, 1, -1]], dtype=np.int32)
 
 
@@ -62,3 +93,23 @@ def inverse_8x8(block: Column) -> Column:
 
 def hadamard_4x4(block: Column) -> Column:
     return _batched(4, lambda v: _SIGNS @ v @ _SIGNS)(block)
+
+
+def dequant(block: Column, qp: Column, weights: list[int], size: int) -> Column:
+    """Levels scaled as ``blocks.dequant_4x4`` and ``dequant_8x8`` do it, for one scaling matrix, row by row."""
+    norms, place = (blocks.NORM_4X4, blocks.class_4x4) if size == 4 else (blocks.NORM_8X8, blocks.class_8x8)
+    scales = np.array([[w * row[place(i)] for i, w in enumerate(weights)] for row in norms], dtype=np.int64)
+    shift = 4 if size == 4 else 6
+
+    @F.arrow_udf("array<bigint>")
+    def run(rows: pa.Array, qps: pa.Array) -> pa.Array:
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        values = rows.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, size * size)
+        q = qps.to_numpy(zero_copy_only=False)[there].astype(np.int64)
+        up, down = np.maximum(q // 6 - shift, 0)[:, None], np.maximum(shift - q // 6, 0)[:, None]
+        half = np.where(down > 0, 1 << np.maximum(down - 1, 0), 0)
+        out = (((values * scales[q % 6]) << up) + half) >> down
+        offsets = np.r_[0, np.cumsum(there)] * size * size
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.ravel()), mask=pa.array(~there) if not there.all() else None)
+
+    return run(block, qp)

@@ -20,7 +20,8 @@ def zigzag(n: int) -> list[int]:
 
 
 def permute(block: Column, order: list[int]) -> Column:
-    return let(lambda v: F.array(*(v["b"][i] for i in order)), b=block)
+    """The block's numbers in another order; plain lookups, which are generated code where ``block`` is a column."""
+    return F.array(*(block[i] for i in order))
 
 
 def from_zigzag(levels: Column, n: int = 4) -> Column:
@@ -186,6 +187,56 @@ def chroma_qp(qp: Column, offset: Column) -> Column:
 # Default scaling lists, in zig-zag order.
 DEFAULT_4X4_INTRA = [6, 13, 13, 20, 20, 20, 28, 28, 28, 28, 32, 32, 32, 37, 37, 42]
 DEFAULT_4X4_INTER = [10, 14, 14, 20, 20, 20, 24, 24, 24, 24, 27, 27, 27, 30, 30, 34]
+# Default 8x8 scaling lists, in zig-zag order.
+DEFAULT_8X8_INTRA = [
+    6, 10, 10, 13, 11, 13, 16, 16, 16, 16, 18, 18, 18, 18, 18, 23, 23, 23, 23, 23, 23, 25, 25, 25, 25, 25, 25, 25, 27, 27, 27, 27,
+    27, 27, 27, 27, 29, 29, 29, 29, 29, 29, 29, 31, 31, 31, 31, 31, 31, 33, 33, 33, 33, 33, 36, 36, 36, 36, 38, 38, 38, 40, 40, 42,
+]
+DEFAULT_8X8_INTER = [
+    9, 13, 13, 15, 13, 15, 17, 17, 17, 17, 19, 19, 19, 19, 19, 21, 21, 21, 21, 21, 21, 22, 22, 22, 22, 22, 22, 22, 24, 24, 24, 24,
+    24, 24, 24, 24, 25, 25, 25, 25, 25, 25, 25, 27, 27, 27, 27, 27, 27, 28, 28, 28, 28, 28, 30, 30, 30, 30, 32, 32, 32, 33, 33, 35,
+]
+
+
+def default_list(i: int) -> list[int]:
+    """The default of scaling list i: 0 to 2 and the even ones from 6 on are for intra blocks."""
+    if i < 6:
+        return DEFAULT_4X4_INTRA if i < 3 else DEFAULT_4X4_INTER
+    return DEFAULT_8X8_INTRA if i % 2 == 0 else DEFAULT_8X8_INTER
+
+
+def _values_of(vals: Column, i: int):
+    return lambda j: F.nullif(vals[F.concat(F.lit(f"list_{i}_"), j.cast("string"))], F.lit(0).cast("long"))
+
+
+def parsed_lists(vals: Column, n: int = 12) -> list[Column]:
+    """The scaling lists of a parameter set read by its syntax table, null where absent.
+
+    A first value of 0 stands for the default list; a later one repeats the value before it to the end.
+    """
+    out = []
+    for i in range(n):
+        default = default_list(i)
+        places = F.sequence(F.lit(0), F.lit(len(default) - 1))
+
+        values = F.transform(places, _values_of(vals, i))
+        run = F.slice(F.aggregate(values, F.array(F.lit(8).cast("long")), lambda s, v: F.array_append(s, F.coalesce(v, F.element_at(s, -1)))), 2, len(default))
+        used = F.when(vals[f"list_{i}_0"] == 0, F.array(*map(F.lit, default)).cast("array<bigint>")).otherwise(run)
+        out.append(F.when(vals[f"list_{i}"] == 1, used))
+    return out
+
+
+def resolve_lists(own: list[Column], fallback: list[Column | None] | None = None) -> list[Column]:
+    """Lists with the absent ones filled in: 0, 3, 6 and 7 from ``fallback`` (the sequence's lists; without them the defaults), the others from the one before of their kind."""
+    out: list[Column] = []
+    for i, mine in enumerate(own):
+        if i in (0, 3, 6, 7):
+            default = F.array(*map(F.lit, default_list(i))).cast("array<bigint>")
+            before = default if fallback is None else F.coalesce(fallback[i], default)
+        else:
+            before = out[i - 1] if i < 6 else out[i - 2]
+        out.append(F.coalesce(mine, before))
+    return out
 
 
 def scaling_list(deltas: Column, default: list[int]) -> Column:
@@ -214,3 +265,24 @@ def resolve_4x4(lists: list[Column], fallback_intra: Column, fallback_inter: Col
         before = fallback_intra if i == 0 else fallback_inter if i == 3 else out[i - 1]
         out.append(F.coalesce(own, before))
     return out
+
+
+def coefficients(block: Column) -> Column:
+    """How many numbers of a block are not zero."""
+    return F.size(F.filter(block, lambda x: x != 0))
+
+
+def residual_4x4(levels: Column, qp: Column, weights: Column, predicted: Column) -> Column:
+    """Samples of a block from its levels in scan order: unscanned, scaled, transformed, added to the prediction and clipped.
+
+    A block of which only the first level is not zero has one residual everywhere.
+    """
+
+    def scaled(v: Column) -> Column:
+        def added(w: Column) -> Column:
+            flat = F.array_repeat(F.shiftright(w["c"][0] + 32, 6), 16)
+            return add_residual(predicted, F.when(coefficients(F.slice(w["c"], 2, 15)) == 0, flat).otherwise(inverse_4x4(w["c"])))
+
+        return let(added, c=dequant_4x4(from_zigzag(v["z"]), qp, weights))
+
+    return let(scaled, z=levels)

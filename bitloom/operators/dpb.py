@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -92,12 +94,13 @@ class Buffer:
             if oldest:
                 oldest.is_ref = False
 
-    def put(self, picture: Picture, commands: list[tuple[int, int, int]] | None = None, idr: bool = False, no_output: bool = False) -> list[int]:
+    def put(self, picture: Picture, commands: list[tuple[int, int, int]] | None = None, idr: bool = False, no_output: bool = False, long_term: bool = False) -> list[int]:
         out: list[int] = []
         if idr:
             if not no_output:
                 out += self.flush()
             self.pictures = []
+            picture.long_term = 0 if long_term else None
         elif picture.is_ref and commands:
             out += self._mark(picture, commands)
         elif picture.is_ref:
@@ -112,14 +115,15 @@ class Buffer:
         return out
 
 
-OUTPUT = "stream_id bigint, idr_period bigint, at bigint, bump_idx int"
-
-
 def bump_order(pics: DataFrame, size: int, max_frame_num: int, references: int) -> DataFrame:
-    """(stream_id, idr_period, at, frame_num, poc, is_ref, commands array<struct<op,a,b>>) -> each picture's place in the output of its period.
+    """(stream_id, idr_period, at, frame_num, poc, is_ref, commands array<struct<op,a,b>>) -> stream_id, idr_period, at, bump_idx: each picture's place in the output of its period.
 
     The buffer is that of the standard's bumping with ``size`` pictures; a
     stream that needs more reordering than it holds comes out late, as there.
+    The first picture of a period is its IDR picture; with a column long_term
+    that is true there it is kept as long-term 0. With a column no_output that
+    is true at the next period's first picture (given here on the last row of
+    a period), what is still waiting is not put out. Ids are of any type.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,9 +131,12 @@ def bump_order(pics: DataFrame, size: int, max_frame_num: int, references: int)
         buffer, out = Buffer(size, max_frame_num, references), []
         for i, r in enumerate(rows.itertuples(index=False)):
             commands = [(c["op"], c["a"], c["b"]) for c in r.commands] if r.commands is not None else []
-            out += buffer.put(Picture(r.at, r.frame_num, r.poc, bool(r.is_ref)), commands, idr=i == 0)
-        out += buffer.flush()
+            out += buffer.put(Picture(r.at, r.frame_num, r.poc, bool(r.is_ref)), commands, idr=i == 0, long_term=bool(r.long_term))
+        if not bool(rows["no_output"].iloc[-1]):
+            out += buffer.flush()
         return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "idr_period": rows["idr_period"].iloc[0], "at": out, "bump_idx": range(len(out))})
 
     columns = ("stream_id", "idr_period", "at", "frame_num", "poc", "is_ref", "commands")
-    return pics.select(*columns).groupBy("stream_id", "idr_period").applyInPandas(fold, OUTPUT)
+    flags = (F.coalesce(F.col(c), F.lit(False)).alias(c) if c in pics.columns else F.lit(False).alias(c) for c in ("long_term", "no_output"))
+    kind = T.StructType([*(pics.schema[c] for c in ("stream_id", "idr_period", "at")), T.StructField("bump_idx", T.IntegerType())])
+    return pics.select(*columns, *flags).groupBy("stream_id", "idr_period").applyInPandas(fold, kind)

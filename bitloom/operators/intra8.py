@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bitloom.functions.let import let
-from bitloom.operators.prediction import INTRA_4X4, tap3
+from bitloom.operators.prediction import INTRA_4X4, mean_dc, tap3
 
 INTRA_8X8 = INTRA_4X4
 CORNER, LAST = 8, 24
@@ -73,11 +73,11 @@ def places(mode: str) -> list[int]:
     return [min(max(i, 0), LAST) for y in range(8) for x in range(8) for i in along(x, y)]
 
 
-def intra_8x8(mode: str, e: Column) -> Column:
-    """An 8x8 prediction, row by row, from a smoothed edge."""
+def intra_8x8(mode: str, e: Column, has_top: Column | bool = True, has_left: Column | bool = True) -> Column:
+    """An 8x8 prediction, row by row, from a smoothed edge. Only dc does without a side."""
     if mode == "dc":
-        near = F.concat(F.slice(e, 1, 8), F.slice(e, CORNER + 2, 8))
-        return F.array_repeat(F.shiftright(F.aggregate(near, F.lit(8), lambda s, x: s + x), 4), 64)
+        left, top = (F.aggregate(F.slice(e, at, 8), F.lit(0), lambda s, x: s + x) for at in (1, CORNER + 2))
+        return F.array_repeat(mean_dc(top, left, has_top, has_left, 8), 64)
 
     def filled(v: Column) -> Column:
         def sample(i: Column) -> Column:

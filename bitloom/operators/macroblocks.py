@@ -140,3 +140,56 @@ def placed_levels(levels: Column, before: Column, size: int) -> Column:
     pairs = F.reverse(F.arrays_zip(levels.alias("level"), before.alias("zeros")))
     block = F.aggregate(pairs, F.array().cast("array<int>"), put)
     return let(lambda v: F.concat(v["b"], F.array_repeat(F.lit(0), size - F.size(v["b"]))), b=block)
+
+
+# Names of the types of 8x8 sub-macroblocks of P and B slices by number.
+P_SUB_TYPES = ["L0_8x8", "L0_8x4", "L0_4x8", "L0_4x4"]
+B_SUB_TYPES = ["Direct_4x4", "L0_8x8", "L1_8x8", "Bi_8x8", "L0_8x4", "L0_4x8", "L1_8x4", "L1_4x8", "Bi_8x4", "Bi_4x8", "L0_4x4", "L1_4x4", "Bi_4x4"]
+
+
+def sub_types(spark: SparkSession) -> DataFrame:
+    """(slice, sub_type, name, parts, mode, width, height) of the sub-macroblock types; 17 rows."""
+    rows = []
+    for kind, names in (("P", P_SUB_TYPES), ("B", B_SUB_TYPES)):
+        for no, name in enumerate(names):
+            mode, size = name.split("_")
+            width, height = map(int, size.split("x"))
+            rows.append((kind, no, name, 64 // (width * height), mode, width, height))
+    return spark.createDataFrame(rows, "slice string, sub_type int, name string, parts int, mode string, width int, height int")
+
+
+def with_sub_types(rows: DataFrame) -> DataFrame:
+    """``rows`` with the properties of their (slice, sub_type), null for types that there are not; the table of types has a fixed size."""
+    return rows.join(F.broadcast(sub_types(rows.sparkSession)), ["slice", "sub_type"], "left")
+
+
+def flag_increment(a: Column, b: Column) -> Column:
+    """Context increment of a flag: for how many neighbours it holds; a missing one (null) does not count."""
+    return F.coalesce(a, F.lit(False)).cast("int") + F.coalesce(b, F.lit(False)).cast("int")
+
+
+def reference_increment(a: Column, b: Column) -> Column:
+    """Context increment of a reference number: 1 if A's is above 0, and 2 if B's is."""
+    return F.when(a > 0, 1).otherwise(0) + F.when(b > 0, 2).otherwise(0)
+
+
+def vector_increment(a: Column, b: Column) -> Column:
+    """Context increment of a vector difference from the sizes of the neighbours' (null: 0)."""
+    size = F.coalesce(F.abs(a), F.lit(0)) + F.coalesce(F.abs(b), F.lit(0))
+    return F.when(size < 3, 0).when(size > 32, 2).otherwise(1)
+
+
+def corner_block(x: Column, y: Column) -> Column:
+    """Raster number of the 4x4 block at the macroblock's corner that stands for the one at (x, y) with direct inference by 8x8."""
+    return F.shiftright(x, 1) * 3 + F.shiftright(y, 1) * 12
+
+
+def colocated_reference(ref0: Column, ref1: Column) -> Column:
+    """A colocated block's reference: that of list 0, else of list 1, null where neither is used."""
+    return F.when(ref0 >= 0, ref0).when(ref1 >= 0, ref1)
+
+
+def slice_quantisers(pps: Column, qp_delta: Column) -> Column:
+    """struct<slice_qp, cb, cr>: a slice's first quantiser and the offsets of the chroma planes; Cr's is Cb's where the set has none of its own."""
+    cb = pps["chroma_qp_offset"]
+    return F.struct((26 + pps["init_qp_minus26"] + qp_delta).alias("slice_qp"), cb.alias("cb"), F.coalesce(pps["second_chroma_qp_offset"], cb).alias("cr"))

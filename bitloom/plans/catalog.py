@@ -85,8 +85,8 @@ def _flat(n: int) -> Column:
     return F.array_repeat(F.lit(16), n)
 
 
-block_query("dequant_4x4", lambda c, qp: blocks.dequant_4x4(c, qp, _flat(16)), f"list_transform(range(16), lambda i: {_sql_scaled('c[i + 1]', f'16 * {_sql_norm(4)}', 24, 4)})")
-block_query("dequant_8x8", lambda c, qp: blocks.dequant_8x8(c, qp, _flat(64)), f"list_transform(range(64), lambda i: {_sql_scaled('c[i + 1]', f'16 * {_sql_norm(8)}', 36, 6)})", 64)
+block_query("dequant_4x4", lambda c, qp: batches.dequant(c, qp, [16] * 16, 4), f"list_transform(range(16), lambda i: {_sql_scaled('c[i + 1]', f'16 * {_sql_norm(4)}', 24, 4)})")
+block_query("dequant_8x8", lambda c, qp: batches.dequant(c, qp, [16] * 64, 8), f"list_transform(range(64), lambda i: {_sql_scaled('c[i + 1]', f'16 * {_sql_norm(8)}', 36, 6)})", 64)
 _DC = "(16 * [10, 11, 13, 14, 16, 18][qp % 6 + 1])"
 block_query("dequant_dc", lambda c, qp: blocks.dequant_luma_dc(c, qp, blocks.level_scale(qp, _flat(16))[0]), f"list_transform(c, lambda x: {_sql_scaled('x', _DC, 36, 6)})")
 block_query("dequant_chroma_dc", lambda c, qp: blocks.dequant_chroma_dc(c, qp, blocks.level_scale(qp, _flat(16))[0]), f"list_transform(c, lambda x: floor(x * {_DC} * 2 ** (qp // 6) / 32)::BIGINT)", 4)

@@ -22,15 +22,11 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 
 def _slice_bits(context: Column, values: Column) -> Column:
     """The header of a slice by its kind; a table of weights where the values have one."""
-    known = F.map_concat(context, F.create_map(F.lit("weighs_l0"), F.coalesce(values["num_ref_l0_minus1"], F.col("pps")["num_ref_l0_default_minus1"]), F.lit("weighs_l1"), F.coalesce(values["num_ref_l1_minus1"], F.col("pps")["num_ref_l1_default_minus1"])))
-    everything = F.map_concat(known, values)
     kind = values["slice_type"] % 5
-    weighted = F.when(kind == 0, F.col("pps")["weighted_pred"] == 1).otherwise(F.col("pps")["weighted_bipred_idc"] == 1)
-    out = F.when(kind == 2, X.write(everything, X.slice_table("I", False)))
-    for no, name in ((0, "P"), (1, "B")):
-        for w in (False, True):
-            out = out.when((kind == no) & (weighted == w), X.write(everything, X.slice_table(name, w)))
-    return out
+    weighted = F.when(kind == 0, F.col("pps")["weighted_pred"] == 1).when(kind == 1, F.col("pps")["weighted_bipred_idc"] == 1).otherwise(F.lit(False))
+    key = F.concat(F.get(F.array(*(F.lit(k) for k in "PBI")), kind.cast("int")), F.when(weighted, "w").otherwise(""))
+    both = F.when(F.col("nal_unit_type").isin(1, 5) & F.col("sps").isNotNull(), F.map_concat(context, values))
+    return X.write(both, X.SLICE_TABLES, key)
 
 
 def generate(units: DataFrame) -> DataFrame:

@@ -9,31 +9,31 @@ from bitloom.functions import bits as B
 from bitloom.functions import syntax as X
 from bitloom.plans import sequence as S
 
-#: Bytes of a unit that a header is read from.
-SET_BYTES, SLICE_BYTES = 1024, 256
-
-
 def made_once(df: DataFrame, **made: Column) -> DataFrame:
     """``df`` with columns made by a generator, so that filters on them are not pushed below and worked out twice."""
     return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in made.items())))))
 
 
-def _bits(n: int) -> Column:
-    return B.to_bits(F.substring("rbsp", 1, n))
+def _bits(table: list[X.Element]) -> Column:
+    """The bits of a payload that the table's elements can reach."""
+    return B.to_bits(F.substring("rbsp", 1, X.longest(table)))
+
+
+#: Element of a map that stands for a set which cannot be used.
+UNUSABLE = "unusable"
 
 
 def parameter_sets(units: DataFrame, nal_unit_type: int, elements: list[X.Element], id_: str, name: str) -> DataFrame:
-    """(stream_id, at, id, name) of the sets of one kind that could be read; name is a map of their elements.
+    """(stream_id, at, id, name) of the sets of one kind; name is a map of their elements.
 
-    Sets with scaling matrices or slice groups are read up to there and are not
-    usable: they are left out, so what refers to them has no set.
+    A set that cannot be read as far as its id is left out. One that is broken
+    later is marked as unusable, so that it replaces the one of that id before
+    it and slices that refer to it are told apart from those without a set.
     """
-    sets = made_once(units.where(F.col("nal_unit_type") == nal_unit_type).withColumnRenamed("nal_idx", "at"), p=X.parse(_bits(SET_BYTES), elements))
+    sets = made_once(units.where(F.col("nal_unit_type") == nal_unit_type).withColumnRenamed("nal_idx", "at"), p=X.parse(_bits(elements), elements))
     vals = F.col("p.vals")
-    plain = F.lit(True)
-    for field in ("scaling_matrix_present", "pic_scaling_matrix_present", "num_slice_groups_minus1"):
-        plain = plain & (F.coalesce(vals[field], F.lit(0)) == 0)
-    return sets.where(F.col("p.ok") & plain).select("stream_id", "at", vals[id_].alias(id_), vals.alias(name))
+    marked = F.when(F.col("p.ok"), vals).otherwise(F.map_concat(F.map_filter(vals, lambda k, v: k.isin(id_, "sps_id")), F.create_map(F.lit(UNUSABLE), F.lit(1).cast("long"))))
+    return sets.where(vals[id_].isNotNull()).select("stream_id", "at", vals[id_].alias(id_), marked.alias(name))
 
 
 def sps(units: DataFrame) -> DataFrame:
@@ -64,6 +64,8 @@ def slice_context(nal_unit_type: Column, nal_ref_idc: Column, s: Column, p: Colu
         "marks_refs": _flag((nal_unit_type != 5) & (nal_ref_idc > 0)),
         "cabac": p["cabac"],
         "deblock_control": p["deblock_control"],
+        "default_l0": p["num_ref_l0_default_minus1"],
+        "default_l1": p["num_ref_l1_default_minus1"],
     }
     return F.create_map(*(x for k, v in given.items() for x in (F.lit(k), v)))
 
@@ -73,28 +75,31 @@ def slice_headers(units: DataFrame) -> DataFrame:
 
     The sets are the newest of their ids before the slice. Frames of I, P and B
     slices are read, with reordering, explicit weights and marking commands;
-    others have an error.
+    others have an error, and so have slices whose sets say what is not supported.
     """
-    slices = units.where(F.col("nal_unit_type").isin(1, 5)).withColumnRenamed("nal_idx", "at").withColumn("bits", _bits(SLICE_BYTES))
-    slices = slices.withColumn("first", X.parse(F.col("bits"), X.SLICE_START)).withColumn("pps_id", F.col("first.vals")["pps_id"])
+    slices = units.where(F.col("nal_unit_type").isin(1, 5)).withColumnRenamed("nal_idx", "at")
+    slices = made_once(slices, first=X.parse(_bits(X.SLICE_START), X.SLICE_START)["vals"]).withColumn("pps_id", F.col("first")["pps_id"])
     slices = S.newest_by_id(slices, pps(units), "pps_id", "pps").withColumn("sps_id", F.col("pps")["sps_id"])
     slices = S.newest_by_id(slices, sps(units), "sps_id", "sps")
     s, p = F.col("sps"), F.col("pps")
-    known = slice_context(F.col("nal_unit_type"), F.col("nal_ref_idc"), s, p)
-    counts = X.reference_counts(F.col("bits"), F.col("known"), p["num_ref_l0_default_minus1"], p["num_ref_l1_default_minus1"])
-    slices = slices.withColumn("known", known).withColumn("counts", counts)
-    kind = F.get(F.array(*(F.lit(k) for k in "PBI")), (F.col("first.vals")["slice_type"] % 5).cast("int"))
+    kind = F.get(F.array(*(F.lit(k) for k in "PBI")), (F.col("first")["slice_type"] % 5).cast("int"))
+    slices = slices.withColumn("kind", kind)
+    kind = F.col("kind")
     weighted = F.when(kind == "P", p["weighted_pred"] == 1).when(kind == "B", p["weighted_bipred_idc"] == 1).otherwise(F.lit(False))
-    slices = slices.withColumn("kind", kind).withColumn("weighted", weighted)
-    wide = F.map_concat("known", F.create_map(F.lit("weighs_l0"), F.col("counts.l0"), F.lit("weighs_l1"), F.col("counts.l1")))
-    read = X.parse(F.col("bits"), X.slice_table("I", False), F.col("known"))
-    for k, w in (("P", False), ("P", True), ("B", False), ("B", True)):
-        read = F.when((F.col("kind") == k) & (F.col("weighted") == w), X.parse(F.col("bits"), X.slice_table(k, w), wide)).otherwise(read)
-    slices = made_once(slices, h=read)
+    usable = s.isNotNull() & p.isNotNull() & s[UNUSABLE].isNull() & p[UNUSABLE].isNull()
+    key = F.when(usable, F.concat(kind, F.when(weighted, "w").otherwise("")))
+    known = slice_context(F.col("nal_unit_type"), F.col("nal_ref_idc"), s, p)
+    slices = made_once(slices, h=X.parse(_bits(max(X.SLICE_TABLES.values(), key=X.longest)), X.SLICE_TABLES, known, key))
     error = (
-        F.when(F.col("sps").isNull() | F.col("pps").isNull(), "no parameter set")
-        .when(~F.col("h.ok"), "header cut off")
+        F.when(F.col("first")["pps_id"].isNull(), "header cut off")
+        .when(s.isNull() | p.isNull(), "no parameter set")
+        .when(~usable, "parameter set not usable")
+        .when(kind.isNull(), "slice type is not supported")
         .when(s["frame_mbs_only"] != 1, "fields are not supported")
-        .when(F.col("kind").isNull(), "slice type is not supported")
+        .when(F.coalesce(s["chroma_format_idc"], F.lit(1)) != 1, "chroma format is not supported")
+        .when((F.coalesce(s["bit_depth_luma_minus8"], F.lit(0)) != 0) | (F.coalesce(s["bit_depth_chroma_minus8"], F.lit(0)) != 0), "bit depth is not supported")
+        .when(p["num_slice_groups_minus1"] != 0, "slice groups are not supported")
+        .when(~F.col("h.ok"), F.when(F.col("h.bad").isin(*X.RANGES), F.concat(F.lit("out of range: "), F.col("h.bad"))).otherwise("header cut off"))
+        .when(F.col("h.vals")["redundant_pic_cnt"] > 0, "redundant slices are not supported")
     )
     return slices.select("stream_id", "at", "nal_ref_idc", "nal_unit_type", "rbsp", "sps", "pps", F.col("h.vals").alias("header"), F.col("h.pos").alias("data_at"), error.alias("error"))

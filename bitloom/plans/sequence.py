@@ -71,12 +71,29 @@ def idr_periods(pics: DataFrame) -> DataFrame:
     return pics.withColumn("idr_period", F.sum(F.col("is_idr").cast("long")).over(so_far("stream_id")))
 
 
+def order_periods(pics: DataFrame) -> DataFrame:
+    """``pics`` (is_idr, resets) with idr_period, poc_period and order_period.
 
+    A picture that resets the counts (a marking command 5) is still counted
+    from what came before it, and begins the next period of output.
+    """
+    pics = idr_periods(pics)
+    resets = F.col("resets").cast("long")
+    before = F.coalesce(F.sum(resets).over(earlier("stream_id")), F.lit(0))
+    return pics.withColumn("poc_period", F.col("idr_period") + before).withColumn("order_period", F.col("idr_period") + before + resets)
+
+
+def reset_lsb(pics: DataFrame) -> Column:
+    """The count that stands for the last reference's at the start of a period that a reset began, 0 after an IDR picture."""
+    top = F.greatest(F.lit(0), -F.col("delta_poc_bottom"))
+    return F.coalesce(F.last(F.when(F.col("resets"), top), ignorenulls=True).over(earlier("stream_id", "idr_period")), F.lit(0))
 
-def poc_type0(pics: DataFrame, max_lsb: int | Column, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
-    """``pics`` with poc from poc_lsb and delta_poc_bottom: the high part moves with each wrap against the last reference."""
+
+def poc_type0(pics: DataFrame, max_lsb: int | Column, keys: tuple[str, ...] = ("stream_id", "idr_period"), start: Column | None = None) -> DataFrame:
+    """``pics`` with poc from poc_lsb and delta_poc_bottom: the high part moves with each wrap against the last reference, at first against ``start`` (0)."""
     lsb = F.col("poc_lsb")
-    before = F.coalesce(F.last(F.when(F.col("is_ref"), lsb), ignorenulls=True).over(earlier(*keys)), F.lit(0))
+    start = F.lit(0) if start is None else start
+    before = F.coalesce(F.last(F.when(F.col("is_ref"), lsb), ignorenulls=True).over(earlier(*keys)), start)
     max_lsb = max_lsb if isinstance(max_lsb, Column) else F.lit(max_lsb)
     half = F.shiftright(max_lsb, 1)
     wrap = F.when((lsb < before) & (before - lsb >= half), 1).when((lsb > before) & (lsb - before > half), -1).otherwise(0)
@@ -86,7 +103,7 @@ def poc_type0(pics: DataFrame, max_lsb: int | Column, keys: tuple[str, ...] = ("
     return pics.withColumn("poc", F.least(top, top + F.col("delta_poc_bottom"))).drop("_wrap")
 
 
-def frame_num_offset(pics: DataFrame, max_frame_num: int, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
+def frame_num_offset(pics: DataFrame, max_frame_num: int | Column, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
     """``pics`` with frame_num_offset: max_frame_num for each time that frame_num fell below that of the last reference."""
     before = F.coalesce(F.last(F.when(F.col("is_ref"), F.col("frame_num")), ignorenulls=True).over(earlier(*keys)), F.lit(0))
     pics = pics.withColumn("_wrap", (F.col("frame_num") < before).cast("long"))
@@ -94,26 +111,48 @@ def frame_num_offset(pics: DataFrame, max_frame_num: int, keys: tuple[str, ...]
     return pics.withColumn("frame_num_offset", turns * max_frame_num).drop("_wrap")
 
 
-def poc_type1(pics: DataFrame, max_frame_num: int, cycle: list[int], non_ref: int, top_to_bottom: int) -> DataFrame:
-    """``pics`` with poc from a cycle of expected offsets, delta_poc_0 and delta_poc_1."""
-    pics = frame_num_offset(pics, max_frame_num)
-    number = F.col("frame_num_offset") + F.col("frame_num") if cycle else F.lit(0).cast("long")
+def _long_array(values: list[int] | Column) -> Column:
+    return values if isinstance(values, Column) else F.array(*(F.lit(v).cast("long") for v in values)).cast("array<bigint>")
+
+
+def poc_type1(pics: DataFrame, max_frame_num: int | Column, cycle: list[int] | Column, non_ref: int | Column, top_to_bottom: int | Column, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
+    """``pics`` with poc from a cycle of expected offsets, delta_poc_0 and delta_poc_1; what a set gives may be a column."""
+    pics = frame_num_offset(pics, max_frame_num, keys).withColumn("_cycle", _long_array(cycle))
+    n = F.size("_cycle")
+    number = F.when(n > 0, F.col("frame_num_offset") + F.col("frame_num")).otherwise(0).cast("long")
     number = number - (~F.col("is_ref") & (number > 0)).cast("long")
-    if cycle:
-        sums = F.array(*(F.lit(sum(cycle[: i + 1])).cast("long") for i in range(len(cycle))))
-        expected = F.when(number > 0, F.floor((number - 1) / len(cycle)) * sum(cycle) + F.get(sums, ((number - 1) % len(cycle)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    else:
-        expected = F.lit(0).cast("long")
+
+    def sum_to(k: Column) -> Column:
+        return F.aggregate(F.slice("_cycle", 1, k.cast("int")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    whole = F.floor((number - 1) / F.greatest(n, F.lit(1)))
+    expected = F.when(number > 0, whole * sum_to(n) + sum_to((number - 1) % F.greatest(n, F.lit(1)) + 1)).otherwise(F.lit(0).cast("long"))
     top = expected + F.when(F.col("is_ref"), 0).otherwise(non_ref) + F.col("delta_poc_0")
-    return pics.withColumn("poc", F.least(top, top + top_to_bottom + F.col("delta_poc_1"))).drop("frame_num_offset")
+    return pics.withColumn("poc", F.least(top, top + top_to_bottom + F.col("delta_poc_1"))).drop("frame_num_offset", "_cycle")
 
 
-def poc_type2(pics: DataFrame, max_frame_num: int) -> DataFrame:
+def poc_type2(pics: DataFrame, max_frame_num: int | Column, keys: tuple[str, ...] = ("stream_id", "idr_period")) -> DataFrame:
     """``pics`` with poc in decoding order: twice the running frame number, one less for non-references."""
-    pics = frame_num_offset(pics, max_frame_num)
+    pics = frame_num_offset(pics, max_frame_num, keys)
     return pics.withColumn("poc", 2 * (F.col("frame_num_offset") + F.col("frame_num")) - (~F.col("is_ref")).cast("long")).drop("frame_num_offset")
 
 
+def picture_order(pics: DataFrame) -> DataFrame:
+    """``pics`` with idr_period, order_period and poc by each picture's own poc_type and parameter set.
+
+    Columns used besides the counts: resets, poc_type, max_lsb, max_frame_num,
+    cycle, offset_for_non_ref_pic and offset_for_top_to_bottom. A picture that
+    resets has poc 0. Output goes by order_period, then by poc.
+    """
+    keys = ("stream_id", "poc_period")
+    pics = order_periods(pics)
+    pics = poc_type0(pics, F.col("max_lsb"), keys, reset_lsb(pics)).withColumnRenamed("poc", "_poc_0")
+    pics = poc_type1(pics, F.col("max_frame_num"), F.col("cycle"), F.col("offset_for_non_ref_pic"), F.col("offset_for_top_to_bottom"), keys).withColumnRenamed("poc", "_poc_1")
+    pics = poc_type2(pics, F.col("max_frame_num"), keys)
+    poc = F.when(F.col("resets"), F.lit(0).cast("long")).when(F.col("poc_type") == 0, F.col("_poc_0")).when(F.col("poc_type") == 1, F.col("_poc_1")).otherwise(F.col("poc"))
+    return pics.withColumn("poc", poc).drop("_poc_0", "_poc_1", "poc_period")
+
+
 def qp_chain(blocks: DataFrame, start: Column, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """``blocks`` with qp: the start plus all deltas so far, modulo 52; a PCM block sets it to 0."""
     reset = F.coalesce(F.sum(F.col("is_pcm").cast("long")).over(earlier(*keys)), F.lit(0))
@@ -142,11 +181,11 @@ def _by(refs: Column, keep: Column | None, *keys) -> Column:
     return F.transform(F.array_sort(F.transform(chosen, lambda r: F.struct(*(k(r).alias(f"k{i}") for i, k in enumerate(keys)), r.alias("r")))), lambda x: x["r"])
 
 
-def pic_num(frame_num: Column, current: Column, max_frame_num: int) -> Column:
+def pic_num(frame_num: Column, current: Column, max_frame_num: int | Column) -> Column:
     return F.when(frame_num > current, frame_num - max_frame_num).otherwise(frame_num)
 
 
-def list_p(refs: Column, current: Column, max_frame_num: int) -> Column:
+def list_p(refs: Column, current: Column, max_frame_num: int | Column) -> Column:
     """Initial list of a P picture: short-term entries by falling picture number, then long-term ones by index."""
     short = _by(refs, F.filter(refs, lambda r: r["long_term"].isNull()), lambda r: -pic_num(r["frame_num"], current, max_frame_num))
     return F.concat(short, _by(refs, F.filter(refs, lambda r: r["long_term"].isNotNull()), lambda r: r["long_term"]))
@@ -163,7 +202,7 @@ def lists_b(refs: Column, poc: Column) -> tuple[Column, Column]:
     return l0, F.when((F.size(l1) > 1) & (l0 == l1), swapped).otherwise(l1)
 
 
-def modify_list(entries: Column, operations: Column, current: Column, max_frame_num: int, active: Column) -> Column:
+def modify_list(entries: Column, operations: Column, current: Column, max_frame_num: int | Column, active: Column) -> Column:
     """``entries`` after modification commands, cut to ``active``.
 
     operations: array<struct<op, v>>; 0 and 1 subtract and add v + 1 to the

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
 from bitloom.functions import syntax as X
-from bitloom.operators import frames
+from bitloom.operators import batches, frames
 from bitloom.plans import catalog, pcm
 from bitloom.plans import sequence as S
 from bitloom.plans.catalog import table
@@ -52,13 +52,13 @@ def emulation_roundtrip(spark, sf_dir):
     return rows.select("p_partkey", F.hex(annexb.unescape(F.col("escaped"))).alias("payload"), bad.alias("bad"))
 
 
-@query("""SELECT lang AS stream_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INT AS nal_idx, md5(encode(text) || '\\x80'::BLOB) AS digest
-FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT stream_id, (row_number() OVER (PARTITION BY stream_id ORDER BY doc_id) - 1)::INT AS nal_idx, md5(encode(text) || '\\x80'::BLOB) AS digest
+FROM (SELECT *, lang || '/' || (doc_id // 256) AS stream_id FROM documents WHERE text IS NOT NULL)""")
 def nal_split(spark, sf_dir):
-    """Documents as the units of one stream for each language, joined with start codes and split again."""
+    """Documents as the units of one stream for each language and range of 256 ids, joined with start codes and split again."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     unit = F.concat(F.unhex(F.lit("000001")), F.encode("text", "UTF-8"), F.unhex(F.lit("80")))
-    streams = annexb.streams_of(docs.select(F.col("lang").alias("stream_id"), F.col("doc_id").alias("nal_idx"), unit.alias("unit")))
+    streams = annexb.streams_of(docs.select(F.concat("lang", F.lit("/"), F.floor(F.col("doc_id") / 256)).alias("stream_id"), F.col("doc_id").alias("nal_idx"), unit.alias("unit")))
     return annexb.nal_units(streams).select("stream_id", "nal_idx", F.md5("nal").alias("digest"))
 
 
@@ -267,22 +267,25 @@ def frame_compare(spark, sf_dir):
     return frames.compare(parts.drop("off"), other)
 
 
-# The flagship: parts as macroblocks of one stream for each brand, written, split, parsed and decoded.
-WIDTH, SKIPPED = 8, 2
+# The flagship: parts as macroblocks of one stream for each brand and range of keys, written, split, parsed and decoded.
+WIDTH, SKIPPED, SLICES = 8, 2, 3
+#: Keys of a range, which bounds a stream.
+PARTS = 4096
 
 
 def pcm_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     def plane(n: int, start: Column, step: Column) -> Column:
-        return pcm.samples_to_bytes(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: 1 + (start + i * step) % 255))
+        return batches.sample_bytes(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: 1 + (start + i * step) % 255))
 
     key = F.col("p_partkey")
-    mb = (F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("stream_id"), mb.alias("mb"), plane(256, F.col("p_size") * 3, key % 7).alias("y"), plane(64, key, F.lit(1)).alias("u"), plane(64, key * 3, F.lit(5)).alias("v"))
+    stream = F.concat("p_brand", F.lit("/"), F.floor(key / PARTS))
+    mb = (F.row_number().over(W.partitionBy(stream).orderBy("p_partkey")) - 1).cast("long")
+    parts = table(spark, sf_dir, "part").select(stream.alias("stream_id"), mb.alias("mb"), plane(256, F.col("p_size") * 3, key % 7).alias("y"), plane(64, key, F.lit(1)).alias("u"), plane(64, key * 3, F.lit(5)).alias("v"))
     grey = [F.unhex(F.lit("80" * n)).alias(p) for p, n in (("y", 256), ("u", 64), ("v", 64))]
     ends = parts.groupBy("stream_id").agg(F.count("*").alias("n"))
     missing = F.pmod(-F.col("n"), F.lit(WIDTH))
     filler = ends.where(missing > 0).select("stream_id", F.explode(F.sequence(F.col("n"), F.col("n") + missing - 1)).alias("mb"), *grey)
-    return pcm.encode(parts.unionByName(filler), WIDTH, SKIPPED)
+    return pcm.encode(parts.unionByName(filler), WIDTH, SKIPPED, SLICES)
 
 
 def _sql_plane(plane: str, n: int, start: str, step: str) -> str:
@@ -290,7 +293,7 @@ def _sql_plane(plane: str, n: int, start: str, step: str) -> str:
 
 
 @query(f"""
-WITH p AS (SELECT p_brand AS stream_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS mb, p_partkey, p_size FROM part),
+WITH p AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY p_partkey) - 1 AS mb, p_partkey, p_size FROM (SELECT p_brand || '/' || (p_partkey // {PARTS}) AS stream_id, p_partkey, p_size FROM part)),
 n AS (SELECT stream_id, count(*) AS n FROM p GROUP BY 1),
 m AS (SELECT * FROM p UNION ALL SELECT stream_id, unnest(range(n, (n + {WIDTH - 1}) // {WIDTH} * {WIDTH})), NULL, NULL FROM n),
 s AS ({_sql_plane("y", 256, "p_size * 3", "(p_partkey % 7)")} UNION ALL {_sql_plane("u", 64, "p_partkey", "1")} UNION ALL {_sql_plane("v", 64, "p_partkey * 3", "5")})

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_planes_crops_and_files(spark):
-    blocks = pcm.decode(stream_catalog.pcm_streams(spark, SF)).where("stream_id = 'Brand#1'")
+    blocks = pcm.decode(stream_catalog.pcm_streams(spark, SF)).where("stream_id = 'Brand#1/0'")
     width = stream_catalog.WIDTH
     rows = blocks.collect()
     height = 1 + max(r["mb"] for r in rows) // width
