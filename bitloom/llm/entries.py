@@ -44,7 +44,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = source_mix.mix(read(spark, sf_dir, "documents"))
     taken = F.col("mix_size") * F.size("mix_copies")
-    return mix.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
+    copies = F.array_join(F.transform("mix_copies", lambda c: F.concat_ws(":", c["epoch"], c["shard"], c["place"])), ",")
+    return mix.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), copies.alias("copies"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,35 @@ def test_shards_are_written(spark, tmp_path):
     path = f"file://{tmp_path}/mix"
     m.write_shards(df, path, shards=4, files_per_shard=2)
     assert rows(spark.read.parquet(path).select("doc_id")) == rows(m.mixed(df, shards=4).select("doc_id"))
+
+
+def test_splitting_tree_in_groups_of_sources(spark):
+    quotas = {i: (i * 37) % 90 for i in range(60)}
+    df = spark.createDataFrame(list(quotas.items()), "_bitloom_no bigint, quota bigint")
+    per_source, per_shard = defaultdict(int), defaultdict(int)
+    for r in m._split(df, 7, 1, m.Scratch(spark, "test"), group=8).collect():
+        assert r["quota"] >= 0
+        per_source[r["_bitloom_no"]] += r["quota"]
+        per_shard[r["shard"]] += r["quota"]
+    assert per_source == quotas
+    assert all(abs(n - sum(quotas.values()) / 7) <= 3 for n in per_shard.values())
+
+
+def test_copies_follow_the_tree(spark):
+    """Whole blocks go to one shard, the shards' sizes are even, and reading the edges range by range takes no other documents."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mix = m.mix(df, shards=5)
+    shards = mix.select(F.explode("mix_copies.shard").alias("s")).groupBy("s").count().collect()
+    assert {r["s"] for r in shards} == set(range(5))
+    even = sum(r["count"] for r in shards) / 5
+    assert all(0.7 * even < r["count"] < 1.3 * even for r in shards)
+    assert rows(mix) == rows(m.mix(df, shards=5, edge=1))
+
+
+def test_the_mix_is_shuffled_within_its_shards(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = m.mix(df, shards=2).select("doc_id", F.explode("mix_copies").alias("c")).select("doc_id", "c.*").collect()
+    got = [[r["doc_id"] for r in part] for part in m.mixed(df, shards=2, files=3).rdd.glom().collect()]
+    assert len(got) == 6
+    for i, part in enumerate(got):
+        assert part == [r["doc_id"] for r in sorted(want, key=lambda r: r["place"]) if r["shard"] * 3 + r["place"] % 3 == i]
