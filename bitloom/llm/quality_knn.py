@@ -10,7 +10,8 @@ The labelled sample is bounded by ``LABELLED`` rows, chosen by a hash of the
 id, so the vectors that are broadcast are at most LABELLED times DIMENSIONS
 numbers and the driver holds that sample's features only. Every document is
 compared with all labelled vectors, exactly, in blocks of ``BLOCK`` documents;
-its score is the mean label of its K nearest, weighted by similarity. Documents
+its score is the mean label of its K nearest, and of all as near as the Kth,
+weighted by similarity. Documents
 are scored where they are read: nothing is shuffled.
 """
 
@@ -52,30 +53,47 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(text: str) -> np.ndarray | None:
-    """Sums of the hashed features of a text; None if it has no word."""
+    """Sums of the hashed features of a text; None if it has no word.
+
+    A long text is read in pieces; what n-grams, words and repeats need of the
+    piece before is carried over, so the sums do not depend on the cuts.
+    """
     out = np.zeros(WIDTH, dtype=np.float32)
     n_words = repeated = 0
+    shapes = recent = np.empty(0, dtype=np.uint32)
+    part, length = np.uint32(0), 0  # of the word that the last cut went through, if any
     for at in range(0, len(text), ng.PIECE):
         c = ng.codes(text[at : at + ng.PIECE])
         space = ng.spaces()[c]
         letter = ng.letters()[c]
         shape = np.where(letter, np.where(ng.uppers()[c], 2, 1), np.where(space, np.where(c == 10, 4, 3), np.where(ng.digits()[c], 5, c + np.uint32(16)))).astype(np.uint32)
         out[: 1 << SHAPE_BITS] += np.bincount(ng.hashed(shape, 1, SHAPE_BITS), minlength=1 << SHAPE_BITS)
+        shape = np.r_[shapes, shape]
         out[1 << SHAPE_BITS : N_SHAPE] += np.bincount(ng.hashed(shape, 3, SHAPE_BITS), minlength=1 << SHAPE_BITS)
-        start = np.flatnonzero(~space & np.r_[True, space[:-1]])
-        if not len(start):
-            continue
+        shapes = shape[-2:]
         # A word's hash is a sum of its characters, each weighted by its place.
-        own = np.zeros(len(c), dtype=np.int64)
-        own[start] = np.diff(np.r_[0, start])
-        place = (np.arange(len(c)) - np.cumsum(own)) & 63
-        word = np.add.reduceat(np.where(space, np.uint32(0), c * _POWER[place]).astype(np.uint32), start, dtype=np.uint32)
+        start = np.flatnonzero(~space & np.r_[not length, space[:-1]])
+        first = np.full(len(c), -length)
+        first[start] = start
+        first = np.maximum.accumulate(first)
+        bounds = np.r_[0, start] if length else start
+        if not len(bounds):
+            continue
+        place = (np.arange(len(c)) - first) & 63
+        word = np.add.reduceat(np.where(space, np.uint32(0), c * _POWER[place]).astype(np.uint32), bounds, dtype=np.uint32)
+        word[:1] += part
+        part, length = np.uint32(0), 0
+        if not space[-1] and at + ng.PIECE < len(text):
+            part, length = word[-1], len(c) - int(first[-1])
+            word = word[:-1]
         out[N_SHAPE : N_SHAPE + N_WORD] += np.bincount(ng.hashed(word, 1, WORD_BITS), minlength=N_WORD)
+        n_words += len(word)
+        word = np.r_[recent, word]
         again = np.zeros(len(word), dtype=bool)
         for lag in (1, 2, 3, 4):
             again[lag:] |= word[lag:] == word[:-lag]
-        n_words += len(word)
-        repeated += int(again.sum())
+        repeated += int(again[len(recent) :].sum())
+        recent = word[-4:]
     if not n_words:
         return None
     out[N_SHAPE + N_WORD :] = np.exp(-(((REPEATS - repeated / n_words) / 0.08) ** 2))
@@ -83,8 +101,9 @@ def features(text: str) -> np.ndarray | None:
 
 
 def _scaled(rows: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Each part damped, weighted and brought to its share of the length."""
-    rows = np.log1p(rows) * rarity
+    """Each part damped, weighted and brought to its share of the length, in place."""
+    np.log1p(rows, out=rows)
+    rows *= rarity
     for part, share in ((slice(0, N_SHAPE), "shape"), (slice(N_SHAPE, N_SHAPE + N_WORD), "words"), (slice(N_SHAPE + N_WORD, WIDTH), "repeats")):
         length = np.linalg.norm(rows[:, part], axis=1, keepdims=True)
         rows[:, part] *= SHARES[share] / np.maximum(length, 1e-9)
@@ -96,32 +115,41 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, label -> the places and sums of the features that are not zero, and the label; no places for a text without words."""
     for batch in batches:
-        rows = [features(t.as_py() or "") for t in batch.column(0)]
-        packed = [None if r is None else r.tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1)], names=["features", "label"])
+        at, sums = [], []
+        for text in batch.column(0):
+            row = features(text.as_py() or "")
+            there = np.empty(0, dtype=np.int64) if row is None else np.flatnonzero(row)
+            at.append(there.astype(np.uint16).tobytes())
+            sums.append(b"" if row is None else row[there].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(sums, pa.binary()), batch.column(1)], names=["at", "sums", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, dimensions: int = DIMENSIONS) -> dict:
     """The model from at most ``labelled`` labelled rows that are not held out.
 
-    A doc_id with several labels has their mean. Rows with a null id or label
-    are not used; labels without a document and labelled texts without words
-    teach nothing about the space.
+    A doc_id with several labels has their mean, one with several texts the
+    least of them. Rows with a null id or label are not used; labels without a
+    document and labelled texts without words teach nothing about the space.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("_bitloom_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("_bitloom_text")).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
-    got = texts.select("_bitloom_text", "_bitloom_label").mapInArrow(_sample_features, "features binary, label double").toPandas()
-    wordless = got["features"].isna()
-    none = float(got["label"][wordless].mean()) if wordless.any() else 0.5
-    got = got[~wordless]
-    if not len(got):
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("_bitloom_text")).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("_bitloom_text").alias("_bitloom_text"), F.first("_bitloom_label").alias("_bitloom_label"))
+    got = texts.select("_bitloom_text", "_bitloom_label").mapInArrow(_sample_features, "at binary, sums binary, label double").toArrow()
+    got = sorted(zip(got["label"].to_pylist(), got["at"].to_pylist(), got["sums"].to_pylist()))  # whatever the order of the tasks
+    wordless = [label for label, at, _ in got if not at]
+    none = sum(wordless) / len(wordless) if wordless else 0.5
+    got = [g for g in got if g[1]]
+    if not got:
         return {"wordless": none, "vectors": None}
-    rows = np.stack([np.frombuffer(bytes(f), dtype=np.float32) for f in got["features"]])
-    order = np.lexsort((got["label"].to_numpy(), rows @ np.arange(WIDTH, dtype=np.float32)))  # whatever the order of the tasks
-    rows, label = rows[order], got["label"].to_numpy(dtype=np.float32)[order]
-    rarity = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
+    label = np.array([g[0] for g in got], dtype=np.float32)
+    rows = np.zeros((len(got), WIDTH), dtype=np.float32)
+    for row, (_, at, sums) in zip(rows, got):
+        row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(sums, dtype=np.float32)
+    del got
+    rarity = np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))).astype(np.float32) + 1
     rarity[N_SHAPE + N_WORD :] = 1
     scaled = _scaled(rows, rarity)
     # Truncated decomposition by subspace iteration from a fixed start.
@@ -134,12 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, dimensions
 
 
 def _vote(model: dict, rows: np.ndarray, k: int) -> np.ndarray:
+    """Mean labels of the k nearest, and of all that are as near as the kth, weighted by similarity. Cosines count to six decimals."""
     vectors, label = model["vectors"], model["labels"]
-    near = _unit(_scaled(rows, model["rarity"]) @ model["latent"]) @ vectors.T
+    near = np.round(_unit(_scaled(rows, model["rarity"]) @ model["latent"]) @ vectors.T, 6)
     k = min(k, len(label))
-    top = np.argpartition(near, len(label) - k, axis=1)[:, len(label) - k :]
-    weight = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** SHARPNESS
-    return (weight * label[top]).sum(axis=1) / weight.sum(axis=1)
+    least = np.partition(near, len(label) - k, axis=1)[:, len(label) - k, None]
+    row, at = np.nonzero(near >= least)
+    weight = np.maximum(near[row, at].astype(np.float64), 1e-6) ** SHARPNESS
+    return np.bincount(row, weight * label[at], len(rows)) / np.bincount(row, weight, len(rows))
 
 
 def _score(model_of, k: int):
