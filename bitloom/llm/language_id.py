@@ -4,8 +4,10 @@ A text is lower-cased and everything but letters becomes one space; its 1- to
 3-grams are hashed to ``2 ** BITS`` features. Training adds up the features of
 all labelled documents, in each task first, so that a row for each language and
 feature leaves a task. The log-probability matrix has languages times features
-numbers, whatever the corpus, and is broadcast. Scoring takes the matrix rows
-of all n-grams of a slice of documents at once and sums them by document.
+numbers, whatever the corpus, and is broadcast, ``LANGS`` languages (64 MB) at
+a time: with more the documents go through one block of languages after the
+other and carry the best so far. Scoring takes the matrix rows of all n-grams
+of a slice of documents at once and sums them by document.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm import _ngrams as ng
-from bitloom.llm._scratch import schema
+from bitloom.llm._scratch import Scratch, schema
 
 BITS = 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 FOLDS = 5
 UNKNOWN = "und"
+#: Languages of one broadcast matrix.
+LANGS = 512
 #: Characters of documents scored together.
 SLICE = 500_000
 
@@ -34,21 +38,23 @@ def in_fold(doc_id: Column, folds: int = FOLDS, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
-def _normal(text: str) -> np.ndarray:
-    """Codes of the letters in lower case, with a single space for anything between, before and after."""
-    c = ng.codes(" " + text.lower() + " ")
-    letter = ng.letters()[c]
-    keep = letter | np.r_[True, letter[:-1]]
-    return np.where(letter, c, np.uint32(32))[keep]
-
-
-def _pieces(text: str) -> list[str]:
-    return [text[i : i + ng.PIECE] for i in range(0, len(text), ng.PIECE)]
+def _normal(text: str) -> Iterator[np.ndarray]:
+    """Codes of the letters in lower case, with a single space for anything between, before and after, piece by piece."""
+    text, inside = f" {text.lower()} ", True
+    for at in range(0, len(text), ng.PIECE):
+        c = ng.codes(text[at : at + ng.PIECE])
+        letter = ng.letters()[c]
+        keep = letter | np.r_[inside, letter[:-1]]
+        inside = letter[-1]
+        yield np.where(letter, c, np.uint32(32))[keep]
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features, their documents' positions), some documents or one piece of a long one at a time."""
-    held, owner, size = [], [], 0
+    """(features, their documents' positions), some documents or a part of a long one at a time.
+
+    A part begins with the last codes of the one before, so that no n-gram is lost.
+    """
+    held, owner, size, carried = [], [], 0, 0
 
     def flush():
         values, doc = np.concatenate(held), np.repeat(owner, [len(h) for h in held])
@@ -56,20 +62,20 @@ def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for n in ORDERS:
             h = ng.hashed(values, n, BITS)
             own = (doc[: len(h)] == doc[n - 1 :]) & ((values[: len(h)] != 32) if n == 1 else True)
+            own[: max(0, carried - n + 1)] = False  # counted with the part before
             features.append(h[own])
             docs.append(doc[: len(h)][own])
         return np.concatenate(features), np.concatenate(docs)
 
     for i, text in enumerate(texts):
-        for piece in _pieces(text):
-            values = _normal(piece)
-            if len(values) > 1:
-                held.append(values)
-                owner.append(i)
-                size += len(values)
+        for values in _normal(text):
+            held.append(values)
+            owner.append(i)
+            size += len(values)
             if size >= SLICE:
                 yield flush()
-                held, owner, size = [], [], 0
+                tail = np.concatenate([h for h, o in zip(held, owner) if o == i])[1 - max(ORDERS) :]
+                held, owner, size, carried = [tail], [i], 0, len(tail)
     if held:
         yield flush()
 
@@ -95,56 +101,79 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log prior, log probability of each feature and language) from the text and lang of all rows of ``docs`` with a lang.
-
-    Null texts count as empty. With no labelled row there is no language.
-    """
+def train(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lang, feature, n) from the text and lang of all rows of ``docs`` with a lang; feature -1 counts documents. Null texts count as empty."""
     rows = docs.where(F.col("lang").isNotNull()).select(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string"))
-    sums = rows.mapInArrow(_count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(sums["lang"].unique())
-    counts, prior = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
-    at = sums["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int)
-    feature, n = sums["feature"].to_numpy(), sums["n"].to_numpy()
-    counts[feature[feature >= 0], at[feature >= 0]] = n[feature >= 0]
-    prior[at[feature < 0]] = n[feature < 0]
+    return scratch.keep(rows.mapInArrow(_count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "sums")
+
+
+def matrix(sums: DataFrame, langs: list[str], n_docs: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log prior, log probability of each feature and language) of some of the languages."""
+    got = sums.where(F.col("lang").isin(langs) & (F.col("feature") >= 0)).toArrow()
+    at = {x: i for i, x in enumerate(langs)}
+    counts = np.zeros((1 << BITS, len(langs)))
+    counts[got["feature"].to_numpy(), np.fromiter((at[x] for x in got["lang"].to_pylist()), dtype=np.int64, count=len(got))] = got["n"].to_numpy()
     log_prob = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * (1 << BITS))
-    return langs, np.log(np.maximum(prior, 1) / max(1, prior.sum())), log_prob.astype(np.float32)
+    prior = np.array([n_docs[x] for x in langs], dtype=np.float64)
+    return langs, np.log(prior / max(1, sum(n_docs.values()))), log_prob.astype(np.float32)
+
 
+def _predict(model, carried: bool, last: bool):
+    """doc_id, held_out, text and, if carried, lang_pred, top (its log probability) and mass (the sum of all over it) so far -> the same after this block, without text after the last."""
 
-def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, log_prob = model.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             total, seen = np.zeros((len(texts), len(langs))), np.zeros(len(texts), dtype=bool)
             for features, owner in _slices(texts):
+                if not len(owner):
+                    continue
                 # n-grams come by order, each time by document, so a document is a run of equal owners.
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                if langs:
-                    np.add.at(total, owner[starts], np.add.reduceat(log_prob[features], starts, axis=0, dtype=np.float64))
+                np.add.at(total, owner[starts], np.add.reduceat(log_prob[features], starts, axis=0, dtype=np.float64))
                 seen[owner[starts]] = True
-            known = seen & bool(langs)
             total += prior
-            best = total.argmax(axis=1) if langs else np.zeros(len(texts), dtype=int)
-            top = total.max(axis=1, keepdims=True) if langs else 0
-            score = np.where(known, 1 / np.exp(total - top).sum(axis=1) if langs else 0.0, 0.0)
-            names = [langs[b] if k else UNKNOWN for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            top = total.max(axis=1)
+            mass = np.exp(total - top[:, None]).sum(axis=1)
+            names = [langs[b] if k else UNKNOWN for b, k in zip(total.argmax(axis=1), seen)]
+            if carried:
+                old, before, sums = batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                best = np.maximum(top, before)
+                mass = mass * np.exp(top - best) + sums * np.exp(before - best)
+                names = [o if b >= t else n for o, n, b, t in zip(old, names, before, top)]
+                top = best
+            out = {"doc_id": batch.column(0), "held_out": batch.column(1), "text": batch.column(2), "lang_pred": pa.array(names, pa.string()), "top": pa.array(top), "mass": pa.array(mass)}
+            if last:
+                del out["text"]
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
 
-def identify(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def identify(docs: DataFrame, folds: int = FOLDS, block: int = LANGS) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the posterior) for every row of ``docs``, learnt from those not held out.
 
     Held out are the ids whose crc32 as text is divisible by ``folds``, and null
     ids. lang_pred is ``und`` with score 0 for texts that are null or have no
-    letter, and for all if no row is labelled. Repeated rows count as often as
-    they stand, in training too; other columns are ignored.
+    letter, and for all if no row is labelled; of languages that are equally
+    probable it is the first by name. Repeated rows count as often as they
+    stand, in training too; other columns are ignored.
     """
-    learnt = train(docs.where(~in_fold(F.col("doc_id"), folds)))
-    model = docs.sparkSession.sparkContext.broadcast(learnt)
-    kind = schema([docs.schema["doc_id"]], "held_out boolean, lang_pred string, score double")
-    rows = docs.select("doc_id", F.col("text").cast("string"), in_fold(F.col("doc_id"), folds).alias("held_out"))
-    return rows.mapInArrow(_predict(model), kind)
+    scratch = Scratch(docs.sparkSession, "languages")
+    sums = train(docs.where(~in_fold(F.col("doc_id"), folds)), scratch)
+    n_docs = {r["lang"]: r["n"] for r in sums.where("feature = -1").collect()}
+    langs = sorted(n_docs)
+    rows = docs.select("doc_id", in_fold(F.col("doc_id"), folds).alias("held_out"), F.col("text").cast("string").alias("text"))
+    if not langs:
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for at in range(0, len(langs), block):
+        last = at + block >= len(langs)
+        model = docs.sparkSession.sparkContext.broadcast(matrix(sums, langs[at : at + block], n_docs))
+        kind = schema([docs.schema["doc_id"]], f"held_out boolean, {'' if last else 'text string, '}lang_pred string, top double, mass double")
+        rows = rows.mapInArrow(_predict(model, at > 0, last), kind)
+        if not last:
+            rows = scratch.keep(rows, f"block-{at}")
+            scratch.drop(f"block-{at - block}")
+    scratch.drop("sums")
+    return rows.select("doc_id", "held_out", "lang_pred", F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(1 / F.col("mass")).alias("score"))
