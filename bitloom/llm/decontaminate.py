@@ -10,24 +10,28 @@ Join
     window's shingles, ordered by how rare they are in the corpus, the first is
     a sufficient prefix. Shingles are single words here: the rarest word of
     each window is its prefix token, with its position in the window. A
-    document word that is a prefix token proposes the windows that have it
-    there; a window is passed over if it would begin before the first word or
-    end after the last (the length and position bounds), and all others are
-    verified word by word.
+    document word that is a prefix token proposes a place for a window for
+    each position that it has in one (13 at most, however many windows share
+    the token). A place is passed over if it would begin before the first word
+    or end after the last (the length and position bounds); at all others the
+    words are looked up by hash and verified one by one.
 
 Scale
-    Word frequencies cover all documents, but only words of the benchmark are
-    counted, added up before their shuffle. Documents are read twice and never
-    shuffled; one long text needs memory in proportion to itself. The windows
-    are broadcast in blocks of at most ``BLOCK_BYTES`` of item text: with a
-    larger benchmark the documents pass through one block after the other and
-    carry the words hit so far.
+    Rarity is counted in one scan of all documents, for the ``BUCKETS`` hash
+    buckets that hold words of the benchmark, added up before the shuffle; a
+    shared bucket makes a word look more frequent, never a window be missed.
+    Documents are not shuffled. Windows are offsets into an array of word
+    numbers, some 40 bytes a word of the benchmark, and are broadcast in blocks
+    of at most ``BLOCK_BYTES`` of item text. With a larger benchmark the
+    documents pass through one block after the other, written to the shared
+    folder in between, and carry the words hit so far.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ from bitloom.llm._scratch import Scratch, schema
 WINDOW = 13
 #: Item text that one broadcast holds at most.
 BLOCK_BYTES = 16 * 1024 * 1024
+#: Hash buckets in which words are counted.
+BUCKETS = 1 << 22
 #: contaminated: at least one word in so many is hit.
 ONE_IN = 20
 
@@ -51,47 +57,112 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split() if text else []
 
 
-def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    n = min(window, len(words))
-    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
+def _buckets(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) % np.uint32(BUCKETS)
 
 
-def _vocabulary_counts(vocabulary):
+def _item_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [_buckets(words_of(text.as_py())) for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)), pa.int64())], names=["bucket"])
+
+
+def _bucket_counts(buckets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = vocabulary.value, Counter()
+        known = np.zeros(BUCKETS, dtype=bool)
+        known[buckets.value] = True
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):
-                counts.update(filter(known.__contains__, words_of(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                at = _buckets(words_of(text.as_py()))
+                np.add.at(counts, at[known[at]], 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
 
     return run
 
 
-def _index(items: list[tuple[str, str]], counts: dict[bytes, int], window: int) -> dict:
-    """Prefix token -> list of (position in window, window, numbers of its items)."""
-    owners: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            owners.setdefault(w, set()).add(item)
-    index: dict[bytes, list] = {}
-    for w, own in owners.items():
-        at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-        if counts.get(w[at], 0):  # else no document has it
-            index.setdefault(w[at], []).append((at, list(w), sorted(own)))
-    return index
-
-
-def _hits(words: list[bytes], index: dict) -> tuple[np.ndarray, set[str]]:
-    """Whether each word is hit, and the items with occurring windows."""
-    hit, items = np.zeros(len(words), dtype=bool), set()
-    for i, word in enumerate(words):
-        if word in index:
-            for at, window, own in index[word]:
-                start = i - at
-                if start >= 0 and words[start : start + len(window)] == window:
-                    hit[start : start + len(window)] = True
-                    items.update(own)
-    return hit, items
+class _Index:
+    """The windows of a block of items.
+
+    ``words`` numbers the block's words and ``text`` holds the items one after
+    the other as such numbers. For each length of a window: which positions a
+    word has in windows whose rarest it is, as bits, and the windows' hashes,
+    sorted, with their offsets in ``text`` and their items.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, str]], counts: np.ndarray, window: int):
+        self.words: dict[bytes, int] = {}
+        self.names: list[str] = []
+        text, starts, lengths = array("i"), [], []
+        for item, said in items:
+            own = words_of(said)
+            if own:
+                starts.append(len(text))
+                lengths.append(len(own))
+                self.names.append(item)
+                text.extend(self.words.setdefault(w, len(self.words)) for w in own)
+        self.text = np.frombuffer(text, dtype=np.int32) if text else np.empty(0, dtype=np.int32)
+        rarity = np.fromiter((counts[crc32(w) % BUCKETS] for w in self.words), dtype=np.int64, count=len(self.words))
+        # Ties between words of one count go to the lower number.
+        rank = np.empty(len(rarity), dtype=np.int64)
+        rank[np.argsort(rarity, kind="stable")] = np.arange(len(rarity))
+        starts, lengths = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        self.groups = []
+        for n in np.unique(np.minimum(lengths, window)).tolist():
+            own = np.flatnonzero((lengths >= window) if n == window else (lengths == n))
+            each = lengths[own] - n + 1
+            item = np.repeat(own, each)
+            at = np.repeat(starts[own] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())
+            hashes, bits = np.empty(len(at), dtype=np.uint64), np.zeros(len(rarity), dtype=np.uint16)
+            there = np.empty(len(at), dtype=bool)
+            for cut in range(0, len(at), 1 << 16):
+                words = self.text[at[cut : cut + (1 << 16), None] + np.arange(n)]
+                hashes[cut : cut + len(words)] = _hash(words)
+                rarest = rank[words].argmin(axis=1)
+                token = words[np.arange(len(words)), rarest]
+                there[cut : cut + len(words)] = rarity[token] > 0  # else no document has the window
+                np.bitwise_or.at(bits, token, (1 << rarest).astype(np.uint16))
+            order = np.flatnonzero(there)
+            order = order[np.argsort(hashes[order], kind="stable")]
+            self.groups.append((n, bits, hashes[order], at[order].astype(np.int32), item[order].astype(np.int32)))
+
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Whether each word is hit, and the items with occurring windows."""
+        hit, items = np.zeros(len(words), dtype=bool), set()
+        known = self.words.get
+        own = np.fromiter((known(w, -1) for w in words), dtype=np.int32, count=len(words))
+        some = np.flatnonzero(own >= 0)
+        for n, bits, hashes, offsets, owners in self.groups:
+            tokens = bits[own[some]]
+            at = some[tokens > 0]
+            if not len(at):
+                continue
+            row, position = np.nonzero((bits[own[at]][:, None] >> np.arange(n, dtype=np.uint16)) & 1)
+            start = at[row] - position
+            start = np.unique(start[(start >= 0) & (start + n <= len(words))])
+            for cut in range(0, len(start), 1 << 16):
+                begin = start[cut : cut + (1 << 16)]
+                said = own[begin[:, None] + np.arange(n)]
+                key = _hash(said)
+                low, high = np.searchsorted(hashes, key, "left"), np.searchsorted(hashes, key, "right")
+                row = np.repeat(np.arange(len(begin)), high - low)
+                if not len(row):
+                    continue
+                entry = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - high, high - low)
+                same = (self.text[offsets[entry][:, None].astype(np.int64) + np.arange(n)] == said[row]).all(axis=1)
+                items.update(owners[entry[same]].tolist())
+                for i in np.unique(begin[row[same]]).tolist():
+                    hit[i : i + n] = True
+        return hit, {self.names[i] for i in items}
+
+
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+
+
+def _hash(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word numbers."""
+    return ((words.astype(np.uint64) + np.uint64(1)) * _POWERS[: words.shape[1]]).sum(axis=1, dtype=np.uint64)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -107,7 +178,7 @@ def _find(index, carried: bool):
             before = zip(batch.column(1), batch.column(2)) if carried else None
             for text in batch.column(3 if carried else 0):
                 words = words_of(text.as_py())
-                hit, own = _hits(words, known)
+                hit, own = known.hits(words)
                 if carried:
                     old_spans, old_items = next(before)
                     for span in old_spans.as_py():
@@ -135,18 +206,23 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
     # Blocks of items by hash, half full on average; one block at a time goes through the driver.
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + 2 * total // block_bytes if total > block_bytes else 1
+    buckets = items.select("text").mapInArrow(_item_buckets, "bucket bigint").distinct().toArrow()["bucket"].to_numpy()
+    buckets = spark.sparkContext.broadcast(buckets)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(_bucket_counts(buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("int"))
 
     rows = docs.select(F.col("text").cast("string").alias("_bitloom_text"), *docs.columns)
     added = schema([], "_bitloom_n bigint, _bitloom_spans array<struct<start:bigint,end:bigint>>, _bitloom_items array<string>")
     kind = T.StructType([*added.fields, *rows.schema.fields])
     for block in range(n_blocks):
-        own = [(r["item"] or "", r["text"]) for r in items.where(F.col("block") == block).select("item", "text").toLocalIterator()]
-        known = spark.sparkContext.broadcast({w for _, text in own for w in words_of(text)})
-        counted = docs.select(F.col("text").cast("string")).mapInArrow(_vocabulary_counts(known), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = {bytes(r["word"]): r["n"] for r in counted.collect()}  # at most a block's vocabulary
-        index = spark.sparkContext.broadcast(_index(own, counts, window))
+        own = ((r["item"] or "", r["text"]) for r in items.where(F.col("block") == block).select("item", "text").toLocalIterator())
+        index = spark.sparkContext.broadcast(_Index(own, counts, window))
         rows = rows.mapInArrow(_find(index, carried=block > 0), kind)
+        if block < n_blocks - 1:  # one block at a time in the workers' memory too
+            rows = scratch.keep(rows, f"block-{block}")
+            scratch.drop(f"block-{block - 1}")
     return rows.drop("_bitloom_text")
 
 

@@ -51,3 +51,20 @@ def test_drop_contaminated_judges_each_row(spark):
     kept = d.drop_contaminated(clashing(table), items)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in table.collect() if r["doc_id"] not in bad)
     assert kept.columns == clashing(table).columns
+
+
+def test_windows_that_share_their_rarest_word(spark):
+    """A word that many windows have as their rarest is a few places to look up, not a list to walk; all are found."""
+    import random
+
+    rng = random.Random(5)
+    common = [f"w{i}" for i in range(30)]
+    items = [(f"i{n}", " ".join([*rng.choices(common, k=6), "rare", *rng.choices(common, k=6)])) for n in range(400)] + [("short", "rare w1"), ("twin", "rare w1"), (None, "only here")]
+    table = [(n, " ".join([*rng.choices(common, k=20), text, *rng.choices(common, k=20)])) for n, (_, text) in enumerate(items[:50])] + [(900, "rare " * 50), (901, "w3 rare w1"), (902, "only here")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    documents = docs(spark, table)
+    named = benchmark.where("item_id is not null")
+    assert rows(d.digests(d.find_windows(documents, named))) == duck(d.oracle_sql(), documents=documents, benchmark=named)
+    found = {r["doc_id"]: r["item_ids"] for r in d.find_windows(documents, benchmark).collect()}
+    assert all(items[n][0] in found[n] for n in range(50)) and found[901] == ["short", "twin"] and found[902] == []
+    assert rows(d.find_windows(documents, benchmark, block_bytes=2000)) == rows(d.find_windows(documents, benchmark))
