@@ -8,9 +8,11 @@ its next bit, until every shard fits or holds a single row.
 
 Sizes are added up per cell of ``STEP`` bits below the current depth, map-side
 first, so a round shuffles a row per cell and task, not per document, and only
-rows of buckets that are still too large enter the next round. The directory
-has about two entries per ``limit`` bytes of input; it is broadcast only after
-a count against ``BROADCAST_ROWS`` and joined by shuffle otherwise.
+rows of buckets that are still too large enter the next round. A round's
+directory has an entry for each prefix of the depth that its deepest bucket
+needs, most often two or four for each shard. An entry takes some 400 bytes at
+most; it is broadcast only after a count against ``BROADCAST_ROWS`` and joined
+by shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ STEP = 8
 LEVEL_BITS = 60
 #: Salts: rows equal in id and text are told apart by 60 more bits.
 LEVELS = 3
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 SALT = "_bitloom_salt"
 
 
@@ -69,6 +71,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     if limit < 1:
         raise ValueError("the limit must be positive")
     docs = docs.drop("n_bytes", "shard_id", "shard_bytes", "oversize")
+    columns = docs.columns
     scratch = Scratch(docs.sparkSession, "shards")
     pending = scratch.keep(docs.select(_hash(0).alias(_key(0)), n_bytes(F.col("text")).alias("n_bytes")), "sizes")
     total = pending.agg(F.sum("n_bytes")).first()[0] or 0
@@ -87,41 +90,42 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("rows") == 1) | (F.lit(end) & (F.col("depth") == step)))
         fits = prefixes.select("path", "cell", "depth", "prefix").join(fits, ["path", "depth", "prefix"])
         chosen = fits.groupBy("path", "cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s"))
-        placed = cells.select("path", "cell").join(chosen, ["path", "cell"], "left")
-        placed = placed.select(F.concat("path", "cell").alias("cell"), F.concat("path", "s.prefix").alias("shard_id"), F.col("s.shard_bytes").alias("shard_bytes"))
-        placed = scratch.keep(placed, f"placed-{path_bits}")
+        placed = scratch.keep(cells.select("path", "cell").join(chosen, ["path", "cell"], "left"), f"placed-{path_bits}")
+        depth = placed.agg(F.max("s.depth")).first()[0] or 0
+        entries = placed.where("s is not null").select(F.concat("path", F.substring("cell", 1, depth)).alias("entry"), F.concat("path", "s.prefix").alias("shard_id"), F.col("s.shard_bytes").alias("shard_bytes"))
+        rounds.append((path_bits + depth, scratch.keep(entries.distinct(), f"entries-{path_bits}")))
         path_bits += step
-        rounds.append((path_bits, placed.where("shard_id is not null")))
-        open_ = placed.where("shard_id is null").select(F.col("cell").alias("_bitloom_path"))
+        open_ = placed.where("s is null").select(F.concat("path", "cell").alias("_bitloom_path"))
         if open_.isEmpty():
             break
         if path_bits % LEVEL_BITS:
             pending = pending.withColumn("_bitloom_path", _path(path_bits)).join(_small(open_), "_bitloom_path", "left_semi").drop("_bitloom_path")
         else:  # the rows that are still together are hashed again
-            pending = _hashed(docs, path_bits // LEVEL_BITS, open_).withColumn("n_bytes", n_bytes(F.col("text")))
-            pending = pending.select(*(_key(i) for i in range(path_bits // LEVEL_BITS + 1)), "n_bytes")
+            level = path_bits // LEVEL_BITS
+            open_ = scratch.keep(open_, f"open-{level}")
+            rows = _open(docs, level, open_)
+            if level == LEVELS - 1:
+                # Equal rows are numbered once, in a table that every later step and any retry reads.
+                rows = scratch.keep(rows.withColumn(SALT, F.monotonically_increasing_id()), "salted")
+                docs = _open(docs, level, open_, "left_anti").withColumn(SALT, F.lit(None).cast("long")).unionByName(rows)
+            pending = rows.select(*(_hash(i).alias(_key(i)) for i in range(level + 1)), n_bytes(F.col("text")).alias("n_bytes"))
         pending = scratch.keep(pending, f"pending-{path_bits}")
 
-    out = docs
-    if path_bits > 2 * LEVEL_BITS:
-        out = out.withColumn(SALT, F.monotonically_increasing_id())
     levels = -(-path_bits // LEVEL_BITS)
-    out = out.select("*", *(_hash(i).alias(_key(i)) for i in range(levels)), n_bytes(F.col("text")).alias("n_bytes"))
+    out = docs.select("*", *(_hash(i).alias(_key(i)) for i in range(levels)), n_bytes(F.col("text")).alias("n_bytes"))
     found_id, found_bytes = F.lit(None).cast("string"), F.lit(None).cast("long")
-    for depth, placed in rounds:
-        cell, shard_id, shard_bytes = (f"_bitloom_{x}{depth}" for x in "csb")
-        out = out.withColumn(cell, _path(depth)).join(_small(placed.toDF(cell, shard_id, shard_bytes)), cell, "left")
+    for no, (depth, entries) in enumerate(rounds):
+        entry, shard_id, shard_bytes = (f"_bitloom_{x}{no}" for x in "esb")
+        out = out.withColumn(entry, _path(depth)).join(_small(entries.toDF(entry, shard_id, shard_bytes)), entry, "left")
         found_id, found_bytes = F.coalesce(found_id, shard_id), F.coalesce(found_bytes, shard_bytes)
-    return out.select(*docs.columns, "n_bytes", found_id.alias("shard_id"), found_bytes.alias("shard_bytes"), (found_bytes > limit).alias("oversize"))
+    scratch.drop(*(t for t in scratch.tables if t.split("-")[0] not in ("salted", "open", "entries")))
+    return out.select(*columns, "n_bytes", found_id.alias("shard_id"), found_bytes.alias("shard_bytes"), (found_bytes > limit).alias("oversize"))
 
 
-def _hashed(docs: DataFrame, level: int, open_: DataFrame) -> DataFrame:
-    """Rows whose first ``level`` hashes are open paths, with their hash of that level too; a level is hashed only for rows that are open up to it."""
-    rows = docs.withColumn(SALT, F.monotonically_increasing_id()).withColumn(_key(0), _hash(0))
-    for i in range(1, level + 1):
-        known = open_.select(F.substring("_bitloom_path", 1, i * LEVEL_BITS).alias("_bitloom_path")).distinct()
-        rows = rows.withColumn("_bitloom_path", _path(i * LEVEL_BITS)).join(_small(known), "_bitloom_path", "left_semi").withColumn(_key(i), _hash(i))
-    return rows
+def _open(docs: DataFrame, level: int, open_: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose first ``level`` hashes are open paths, or with left_anti all others."""
+    hashes = [_hash(i).alias(_key(i)) for i in range(level)]
+    return docs.select("*", *hashes).withColumn("_bitloom_path", _path(level * LEVEL_BITS)).join(_small(open_), "_bitloom_path", how).select(*docs.columns)
 
 
 def _key(level: int) -> str:

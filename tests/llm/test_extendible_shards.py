@@ -34,3 +34,14 @@ def test_empty_table_and_bad_limit(spark):
     assert e.shard(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         e.shard(docs(spark, []), 0)
+
+
+def test_equal_rows_are_numbered_once(spark):
+    """Rows equal in id and text part by a number that is given once, whatever the order of the input's tasks."""
+    df = docs(spark, [(7, "same text")] * 200 + [(i, "x" * i) for i in range(100)]).repartition(7)
+    got = e.shard(df, 100).collect()
+    assert len(got) == 300 and all(r["shard_id"] is not None for r in got)
+    sums = {}
+    for r in got:
+        sums[r["shard_id"]] = sums.get(r["shard_id"], 0) + r["n_bytes"]
+    assert max(sums.values()) <= 100 and all(r["shard_bytes"] == sums[r["shard_id"]] for r in got)
