@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm._scratch import Scratch
+from bitloom.llm._scratch import Scratch, schema
 
 SEED = 42
 SHINGLE = 3
@@ -208,7 +208,7 @@ def _compare(threshold: int):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp bigint) of every row of ``docs``; no shuffle."""
-    return docs.select(F.col("doc_id"), F.col("text").cast("string")).mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.select(F.col("doc_id"), F.col("text").cast("string")).mapInArrow(_fingerprints, schema([docs.schema["doc_id"]], "fp bigint"))
 
 
 def links(prints: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
@@ -267,6 +267,17 @@ def components(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFram
     return labels
 
 
+def _classes(prints: DataFrame, first, scratch: Scratch, threshold: int) -> DataFrame:
+    """(fp, first): for each fingerprint of ``prints`` the least of what ``first`` aggregates over its class."""
+    distinct = scratch.keep(prints.groupBy("fp").agg(first.alias("first")), "distinct")
+    pairs = links(distinct, scratch, threshold)
+    # Nodes are fingerprints; a class is named by the smallest of its fingerprints.
+    labels = components(distinct.select(F.col("fp").alias("v")), pairs, scratch)
+    named = labels.select(F.col("v").alias("fp"), "label").join(distinct, "fp")
+    names = scratch.keep(named.groupBy("label").agg(F.min("first").alias("first")), "names")
+    return scratch.keep(labels.select(F.col("v").alias("fp"), "label").join(names, "label").select("fp", "first"), "classes")
+
+
 def simhash_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -279,31 +290,36 @@ def simhash_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs), "prints")
-    distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    pairs = links(distinct, scratch, threshold)
-    # Nodes are fingerprints; a class is named by the smallest doc_id of its fingerprints.
-    labels = components(distinct.select(F.col("fp").alias("v")), pairs, scratch)
-    named = labels.select(F.col("v").alias("fp"), "label").join(distinct, "fp")
-    names = scratch.keep(named.groupBy("label").agg(F.min("first").alias("component_id")), "names")
-    classes = scratch.keep(labels.select(F.col("v").alias("fp"), "label").join(names, "label").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = _classes(prints, F.min("doc_id"), scratch, threshold)
+    scratch.drop_all_but("prints", "classes")
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose document stays: of each class the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each class of texts one row.
 
-    Rows repeated under one doc_id are one document: of them one row stays, and
-    it stays if any of their texts is the first of its class. Rows without a
-    doc_id cannot be told apart and all stay.
+    It is the row with the smallest doc_id, null last, and of rows repeated
+    under that id the one whose text has the smallest XXH64; of rows equal in
+    both any one. Each row is judged by its own text: a doc_id with texts in
+    two classes may keep a row of each. Null and empty texts are one class.
+    Other columns are not looked at; an empty table stays empty.
     """
-    classes = simhash_classes(docs, threshold)
-    ids = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n"))
-    ids = Scratch(docs.sparkSession, "keep-one").keep(ids.where("n > 1 or not first"), "ids")
-    gone = ids.where("not first").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = ids.where("first").select("doc_id")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    text = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct("doc_id", text.alias("text")).alias("doc_id"), "text")
+    prints = scratch.keep(fingerprints(rows), "prints").select("doc_id.doc_id", F.col("doc_id.text").alias("text"), "fp")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text")
+    classes = _classes(prints, F.min(row), scratch, threshold)
+    judged = prints.join(classes, "fp").select("doc_id", "text", (row == F.col("first")).alias("stays"))
+    judged = judged.groupBy("doc_id", "text").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    # Those that go or are repeated; all other rows only meet this list.
+    listed = scratch.keep(judged.select(F.col("doc_id").alias("_bitloom_id"), F.col("text").alias("_bitloom_hash"), F.col("stays").alias("_bitloom_stays")), "listed")
+    scratch.drop_all_but("listed")
+    same = F.col("doc_id").eqNullSafe(F.col("_bitloom_id")) & (text == F.col("_bitloom_hash"))
+    kept = docs.join(listed, same, "left_anti")
+    repeated = listed.where("_bitloom_stays")
     if repeated.isEmpty():
         return kept
-    # Only the repeated documents are shuffled to find one row of each.
-    once = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    # Only rows that are repeated are shuffled to find one of each.
+    once = docs.join(repeated, same, "left_semi").withColumn("_bitloom_hash", text).dropDuplicates(["doc_id", "_bitloom_hash"])
+    return kept.unionByName(once.drop("_bitloom_hash"))
