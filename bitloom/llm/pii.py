@@ -84,6 +84,8 @@ def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
+#: What confirms a match of a kind.
+CHECKS = {"email": "pattern", "ip": "range", "card": "luhn", "phone": "length", "iban": "mod97"}
 CONFIRM: dict[str, Callable[[Column], Column]] = {
     "email": lambda m: F.lit(True),
     "ip": lambda m: F.forall(F.split(m, r"\."), lambda part: F.rlike(part, F.lit("^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))),
@@ -93,18 +95,25 @@ CONFIRM: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _near(words: str) -> str:
+    """A pattern of words that begin in a lower-cased context."""
+    return f"(?:^|[^a-z0-9])(?:{words})"
+
+
 def _spans(kind: str, text: Column, matches: Column) -> Column:
-    """array<struct<kind, start, end, score>> of a kind's confirmed matches.
+    """array<struct<kind, start, end, score, confirmed_by>> of a kind's confirmed matches.
 
-    The context of a match is what stands between it and its neighbours of the
-    same kind, ``CONTEXT`` code points on either side at most.
+    The context of a match is the ``CONTEXT`` code points on either side, at
+    most as far as its second neighbour of the same kind.
     """
     kinds = "array<struct<start:int,end:int,match:string,around:string>>"
 
     def measured(v: Column) -> Column:
         def part(match: Column, i: Column) -> Column:
-            piece = F.get(v["pieces"], i)
-            around = F.concat_ws(" ", F.right(piece, F.lit(CONTEXT)), F.left(F.get(v["pieces"], i + 1), F.lit(CONTEXT)))
+            piece, n, nothing = F.get(v["pieces"], i), F.lit(CONTEXT), F.lit("")
+            before = F.concat(F.right(F.coalesce(F.get(v["pieces"], i - 1), nothing), n), F.right(F.coalesce(F.get(v["matches"], i - 1), nothing), n), F.right(piece, n))
+            after = F.concat(F.left(F.get(v["pieces"], i + 1), n), F.left(F.coalesce(F.get(v["matches"], i + 1), nothing), n), F.left(F.coalesce(F.get(v["pieces"], i + 2), nothing), n))
+            around = F.concat_ws(" ", F.right(before, n), F.left(after, n))
             return F.struct(F.length(piece).alias("gap"), F.length(match).alias("own"), match.alias("match"), F.lower(around).alias("around"))
 
         return F.transform(v["matches"], part)
@@ -134,9 +143,9 @@ def _spans(kind: str, text: Column, matches: Column) -> Column:
     confirmed = F.filter(let(placed, parts=parts), lambda s: CONFIRM[kind](s["match"]))
 
     def scored(s: Column) -> Column:
-        near = F.rlike(s["around"], F.lit(rf"\b(?:{FOR[kind]})")).cast("int") * 0.3 - F.rlike(s["around"], F.lit(rf"\b(?:{AGAINST[kind]})")).cast("int") * 0.3
+        near = F.rlike(s["around"], F.lit(_near(FOR[kind]))).cast("int") * 0.3 - F.rlike(s["around"], F.lit(_near(AGAINST[kind]))).cast("int") * 0.3
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(SCORES[kind]) + near))
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.cast("double").alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.cast("double").alias("score"), F.lit(CHECKS[kind]).alias("confirmed_by"))
 
     out = F.transform(confirmed, scored)
     return out if kind in BASE_KINDS else F.filter(out, lambda s: s["score"] >= LEAST)
@@ -156,13 +165,13 @@ def _found(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     found = {k: f"_bitloom_{k}" for k in KINDS}
     rows = rows.select("*", *(F.when(needs[k], F.regexp_extract_all(text, F.lit(PATTERNS[k]), 0)).otherwise(none).alias(found[k]) for k in KINDS))
-    no_span = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    no_span = F.array().cast("array<struct<kind:string,start:int,end:int,score:double,confirmed_by:string>>")
     spans = [F.when(F.size(found[k]) > 0, _spans(k, text, F.col(found[k]))).otherwise(no_span) for k in KINDS]
     return rows.withColumn("_bitloom_pii", F.concat(*spans)).drop(*found.values())
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id and pii, an array of (kind, start, end, score) by kind, then start, for every row of ``docs``.
+    """doc_id and pii, an array of (kind, start, end, score, confirmed_by) by kind, then start, for every row of ``docs``.
 
     Offsets count code points of text from 0, end exclusive. Null and empty
     texts have an empty array. Rows are handled one by one, so repeated rows
@@ -193,7 +202,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """The contract's columns from the result of ``find_pii``."""
+    """The contract's columns from the result of ``find_pii``; n_pii counts all spans, scores has theirs in the same order, to one decimal."""
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -203,7 +212,8 @@ def digests(found: DataFrame) -> DataFrame:
 
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.format_string("%.1f", s["score"])), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_pii"), scores.alias("scores"))
 
 
 def oracle_sql() -> str:
@@ -226,21 +236,25 @@ def oracle_sql() -> str:
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": f"length({compact}) BETWEEN 15 AND 34 AND array_to_string(list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN (ord(c) - 55)::VARCHAR ELSE c END), '')::HUGEINT % 97 = 1",
     }
+    n = CONTEXT
+    before = f"right(right(coalesce(gs[i - 1], ''), {n}) || right(coalesce(ms[i - 1], ''), {n}) || right(gs[i], {n}), {n})"
+    after = f"left(left(gs[i + 1], {n}) || left(coalesce(ms[i + 1], ''), {n}) || left(coalesce(gs[i + 2], ''), {n}), {n})"
     parts = []
     for no, kind in enumerate(KINDS):
+        score = f"least(1, greatest(0, {SCORES[kind]} + 0.3 * regexp_matches(a, '{_near(FOR[kind])}')::INT - 0.3 * regexp_matches(a, '{_near(AGAINST[kind])}')::INT))::DOUBLE"
         parts.append(f"""
-  SELECT doc_id, {no} AS k, '{kind}' AS kind, s, e FROM (
-    SELECT doc_id, m, e - length(m) AS s, e FROM (
-      SELECT doc_id, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i: list_sum(list_transform(gs[:i], lambda g: length(g))) + list_sum(list_transform(ms[:i], lambda y: length(y)))))::BIGINT AS e FROM (
+  SELECT * FROM (SELECT doc_id, {no} AS k, '{kind}' AS kind, s, e, {score} AS score FROM (
+    SELECT doc_id, m, e - length(m) AS s, e, a FROM (
+      SELECT doc_id, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i: lower({before} || ' ' || {after}))) AS a, unnest(list_transform(ms, lambda x, i: list_sum(list_transform(gs[:i], lambda g: length(g))) + list_sum(list_transform(ms[:i], lambda y: length(y)))))::BIGINT AS e FROM (
         SELECT doc_id, regexp_extract_all(text, '{plain[kind]}') AS ms, string_split_regex(text, '{plain[kind]}') AS gs FROM documents WHERE text IS NOT NULL)))
-  WHERE {confirm[kind]}""")
+  WHERE {confirm[kind]}) WHERE {no} < 4 OR score >= {LEAST}""")
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
     return f"""
 WITH f AS ({" UNION ALL ".join(parts)}),
 g AS (
   SELECT doc_id, {counts},
          coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4), '') AS base,
-         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans, count(*) AS n_pii, string_agg(printf('%.1f', score), ',' ORDER BY k, s) AS scores
   FROM f GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_pii, 0) AS n_pii, coalesce(scores, '') AS scores
 FROM documents d LEFT JOIN g USING (doc_id)"""

@@ -55,6 +55,19 @@ def test_context_moves_scores(spark):
     table = docs(spark, [(1, f"credit card {CARD}"), (2, f"tracking {CARD}"), (3, f"xx {CARD}")])
     score = {r["doc_id"]: r["pii"][0]["score"] for r in pii.find_pii(table).collect()}
     assert score[1] > score[3] > score[2]
+    # A label before two matches in a row counts for both; what confirmed them goes with them.
+    both = pii.find_pii(docs(spark, [(1, f"credit card: {CARD}, {CARD}"), (2, f"{IBAN} serial part"), (3, f"{IBAN}")])).collect()
+    spans = {r["doc_id"]: r["pii"] for r in both}
+    assert [round(s["score"], 1) for s in spans[1]] == [1.0, 1.0] and {s["confirmed_by"] for s in spans[1]} == {"luhn"}
+    assert [s["kind"] for s in spans[2]] == [] and [s["confirmed_by"] for s in spans[3]] == ["mod97"]
+
+
+def test_planted_documents_are_found(spark):
+    """Every document of the tables in which one of the base kinds' plain patterns confirms a match is found, no other."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["doc_id"] for r in table.collect() if sum(plain(r["text"])[0])}
+    found = {r["doc_id"] for r in pii.digests(pii.find_pii(table)).where("n_pii > 0").collect()}
+    assert want and want <= found and len(found - want) <= 0.02 * len(want)
 
 
 def test_redact_repeats_nulls_and_empty_tables(spark):
