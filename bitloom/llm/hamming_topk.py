@@ -14,7 +14,10 @@ with the smallest ids can be in any answer, so the others are cut by a rank
 that Spark limits before its shuffle. A candidate is taken only under the first
 of its nearest segments, so it is verified once, and goes on only if it is no
 farther than the kth so far. Everything is a join on (segment, value): nothing
-is compared with all rows.
+is compared with all rows. A round r makes at most C(width, r) probes for each
+open query and segment, 2^width over all rounds, about as many as there are
+rows; only a query whose kth neighbour is half the code away gets that far. A
+hot (segment, value) is a plain equi-join, whose skewed side Spark splits.
 """
 
 from __future__ import annotations
