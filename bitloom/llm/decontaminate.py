@@ -21,8 +21,8 @@ Scale
     buckets that hold words of the benchmark, added up before the shuffle; a
     shared bucket makes a word look more frequent, never a window be missed.
     Documents are not shuffled. Windows are offsets into an array of word
-    numbers, some 40 bytes a word of the benchmark, and are broadcast in blocks
-    of at most ``BLOCK_BYTES`` of item text. With a larger benchmark the
+    numbers, some 20 bytes a word of the benchmark (70 while they are made on
+    the driver), and are broadcast in blocks of at most ``BLOCK_BYTES`` of item text. With a larger benchmark the
     documents pass through one block after the other, written to the shared
     folder in between, and carry the words hit so far.
 """
