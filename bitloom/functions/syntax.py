@@ -120,6 +120,26 @@ def parse(bits: Column, table: list[Element] | dict[str, list[Element]], given:
     return run(bits, given, F.lit("") if key is None else key)
 
 
+def scaling_lists(vals: Column) -> Column:
+    """The twelve scaling lists of a set's map, in coded order: null where absent, empty where the first value is 0, else filled up with the last value."""
+
+    @F.arrow_udf("array<array<bigint>>")
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows.to_pylist():
+            known, lists = dict(row or ()), []
+            for i in range(12):
+                values = []
+                while known.get(f"list_{i}_{len(values)}"):
+                    values.append(known[f"list_{i}_{len(values)}"])
+                size = 16 if i < 6 else 64
+                lists.append(values + values[-1:] * (size - len(values)) if known.get(f"list_{i}") else None)
+            out.append(lists)
+        return pa.array(out, pa.list_(pa.list_(pa.int64())))
+
+    return run(vals)
+
+
 def _put_ue(k: int) -> str:
     code = bin(k + 1)[2:]
     return "0" * (len(code) - 1) + code

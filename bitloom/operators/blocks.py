@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bitloom.functions.let import clamp, let
+from bitloom.functions.syntax import scaling_lists
 
 
 def zigzag(n: int) -> list[int]:
@@ -205,24 +206,16 @@ def default_list(i: int) -> list[int]:
     return DEFAULT_8X8_INTRA if i % 2 == 0 else DEFAULT_8X8_INTER
 
 
-def _values_of(vals: Column, i: int):
-    return lambda j: F.nullif(vals[F.concat(F.lit(f"list_{i}_"), j.cast("string"))], F.lit(0).cast("long"))
-
-
 def parsed_lists(vals: Column, n: int = 12) -> list[Column]:
     """The scaling lists of a parameter set read by its syntax table, null where absent.
 
     A first value of 0 stands for the default list; a later one repeats the value before it to the end.
     """
+    lists = scaling_lists(vals)
     out = []
     for i in range(n):
-        default = default_list(i)
-        places = F.sequence(F.lit(0), F.lit(len(default) - 1))
-
-        values = F.transform(places, _values_of(vals, i))
-        run = F.slice(F.aggregate(values, F.array(F.lit(8).cast("long")), lambda s, v: F.array_append(s, F.coalesce(v, F.element_at(s, -1)))), 2, len(default))
-        used = F.when(vals[f"list_{i}_0"] == 0, F.array(*map(F.lit, default)).cast("array<bigint>")).otherwise(run)
-        out.append(F.when(vals[f"list_{i}"] == 1, used))
+        default = F.array(*map(F.lit, default_list(i))).cast("array<bigint>")
+        out.append(F.when(F.size(F.get(lists, F.lit(i))) == 0, default).otherwise(F.get(lists, F.lit(i))))
     return out
 
 
