@@ -19,7 +19,8 @@ Shorter texts are encoded whole. Where the tokenizer is a byte-level BPE whose
 merges are in the order of its ids, and a text has only printable ASCII, common
 white space and Latin letters, on whose classes all versions of Unicode agree,
 they are counted by tiktoken over the ranks in the same .json file, which
-applies the same rules several times as fast.
+applies the same rules three times as fast. The first ``GUARD`` of them in every
+Arrow batch are counted by both, and a difference ends the job.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MARGIN = 64
 LIMIT = 1024
 #: Characters encoded in one call, which bounds the memory of the encodings.
 BATCH_CHARS = 262_144
+#: Texts of each Arrow batch that are counted by tiktoken and by tokenizers.
+GUARD = 8
 
 _loaded: dict[str, object] = {}
 
@@ -139,13 +142,21 @@ def ranked(tokenizer):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _agreed(tokenizer, fast, text: str) -> int:
+    """The tokens of a text by both libraries."""
+    counts = len(fast.encode(text, allowed_special="all")), len(tokenizer.encode(text, add_special_tokens=False))
+    if counts[0] != counts[1]:
+        raise ValueError(f"the ranks give {counts[0]} tokens and the library {counts[1]} for a text of {len(text)} characters")
+    return counts[1]
+
+
 def _count(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         fast = ranked(tokenizer)
         for batch in batches:
             sizes, counts, widenings = [], [0] * batch.num_rows, [0] * batch.num_rows
-            held, chars = [], 0
+            held, chars, guarded = [], 0, 0
 
             def flush():
                 for (j, _), encoding in zip(held, tokenizer.encode_batch_fast([t for _, t in held], add_special_tokens=False)):
@@ -157,7 +168,8 @@ def _count(path: str, chunk: int, overlap: int):
                 if len(text) > chunk:
                     counts[i], widenings[i] = count_long(tokenizer, text, chunk, overlap)
                 elif fast and _PLAIN.fullmatch(text):
-                    counts[i] = len(fast.encode(text, allowed_special="all"))
+                    guarded += 1
+                    counts[i] = _agreed(tokenizer, fast, text) if guarded <= GUARD else len(fast.encode(text, allowed_special="all"))
                 else:
                     held.append((i, text))
                     chars += len(text)

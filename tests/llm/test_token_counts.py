@@ -43,6 +43,15 @@ def test_ranks_count_as_the_library_does(tokenizer):
     assert t.ranked(t.load(t.tokenizer_path("word_bpe_49k.json"))) is None
 
 
+def test_a_difference_between_the_libraries_ends_the_job(tokenizer):
+    import tiktoken
+
+    bytes_only = tiktoken.Encoding("bytes", pat_str=r"[\s\S]", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    assert t._agreed(tokenizer, t.ranked(tokenizer), "some words") == whole(tokenizer, "some words")
+    with pytest.raises(ValueError, match="the ranks give 10 tokens"):
+        t._agreed(tokenizer, bytes_only, "some words")
+
+
 def test_table_counts(spark, tokenizer):
     odd = [(1, None), (2, ""), (3, "hi there <|endoftext|> you"), (3, "hi there <|endoftext|> you"), (None, "é"), (5, "word " * 30_000), (6, "z" * 70_000)]
     table = docs(spark, odd).unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
