@@ -50,3 +50,15 @@ def compare(decoded: DataFrame, expected: DataFrame) -> DataFrame:
     missing = (F.col("in_a") == 0) | (F.col("in_b") == 0)
     verdict = F.when(missing, "missing").when(F.col("first").isNotNull() | (F.col("in_a") != F.col("in_b")), "different").otherwise("equal")
     return sums.select("stream_id", "frame_idx", verdict.alias("verdict"), F.when(~missing, F.col("first")).alias("first_mb"))
+
+
+def first_difference(decoded: DataFrame, expected: DataFrame) -> DataFrame:
+    """stream_id, frame_idx, plane, y, x, decoded and expected of the first sample of each frame that differs, in the order of planes and rows.
+
+    Both tables have stream_id, frame_idx, plane, y, x and sample. A sample that
+    one of them lacks differs. One full outer join; a frame is then a minimum.
+    """
+    key = ["stream_id", "frame_idx", "plane", "y", "x"]
+    both = decoded.select(*key, F.col("sample").alias("decoded")).join(expected.select(*key, F.col("sample").alias("expected")), key, "full")
+    other = both.where(~F.col("decoded").eqNullSafe(F.col("expected")))
+    return other.groupBy("stream_id", "frame_idx").agg(F.min(F.struct("plane", "y", "x", "decoded", "expected")).alias("first")).select("stream_id", "frame_idx", "first.*")

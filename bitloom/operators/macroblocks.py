@@ -27,6 +27,37 @@ RUN_CODES = {
     6: ["11", "000", "001", "011", "010", "101", "100"],
     7: ["111", "110", "101", "100", "011", "010", "001"],
 }
+# Codes of the total of zeros 0, 1, 2, ... by the number of coefficients, for blocks of 15 or 16 and for the chroma DC blocks of 4 and of 8.
+ZERO_CODES = {
+    16: {
+        1: ["1", "011", "010", "0011", "0010", "00011", "00010", "000011", "000010", "0000011", "0000010", "00000011", "00000010", "000000011", "000000010", "000000001"],
+        2: ["111", "110", "101", "100", "011", "0101", "0100", "0011", "0010", "00011", "00010", "000011", "000010", "000001", "000000"],
+        3: ["0101", "111", "110", "101", "0100", "0011", "100", "011", "0010", "00011", "00010", "000001", "00001", "000000"],
+        4: ["00011", "111", "0101", "0100", "110", "101", "100", "0011", "011", "0010", "00010", "00001", "00000"],
+        5: ["0101", "0100", "0011", "111", "110", "101", "100", "011", "0010", "00001", "0001", "00000"],
+        6: ["000001", "00001", "111", "110", "101", "100", "011", "010", "0001", "001", "000000"],
+        7: ["000001", "00001", "101", "100", "011", "11", "010", "0001", "001", "000000"],
+        8: ["000001", "0001", "00001", "011", "11", "10", "010", "001", "000000"],
+        9: ["000001", "000000", "0001", "11", "10", "001", "01", "00001"],
+        10: ["00001", "00000", "001", "11", "10", "01", "0001"],
+        11: ["0000", "0001", "001", "010", "1", "011"],
+        12: ["0000", "0001", "01", "1", "001"],
+        13: ["000", "001", "1", "01"],
+        14: ["00", "01", "1"],
+        15: ["0", "1"],
+    },
+    4: {1: ["1", "01", "001", "000"], 2: ["1", "01", "00"], 3: ["1", "0"]},
+    8: {
+        1: ["1", "010", "011", "0010", "0011", "0001", "00001", "00000"],
+        2: ["000", "01", "001", "100", "101", "110", "111"],
+        3: ["000", "001", "01", "10", "110", "111"],
+        4: ["110", "00", "01", "10", "111"],
+        5: ["00", "01", "10", "11"],
+        6: ["00", "01", "1"],
+        7: ["0", "1"],
+    },
+}
+ZERO_BITS = 9
 DC = 2
 
 
@@ -193,3 +224,61 @@ def slice_quantisers(pps: Column, qp_delta: Column) -> Column:
     """struct<slice_qp, cb, cr>: a slice's first quantiser and the offsets of the chroma planes; Cr's is Cb's where the set has none of its own."""
     cb = pps["chroma_qp_offset"]
     return F.struct((26 + pps["init_qp_minus26"] + qp_delta).alias("slice_qp"), cb.alias("cb"), F.coalesce(pps["second_chroma_qp_offset"], cb).alias("cr"))
+
+
+def zero_codes(spark: SparkSession) -> DataFrame:
+    """(size, coefficients, ahead, total_zeros, length): what each of the next ``ZERO_BITS`` bits begins with; at most 12,800 rows."""
+    rows = [(size, n, code, zeros, len(code)) for size, table in ZERO_CODES.items() for n, codes in table.items() for zeros, code in enumerate(codes)]
+    codes = spark.createDataFrame(rows, "size int, coefficients int, code string, total_zeros int, length int")
+    rest = F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), ZERO_BITS - F.col("length")).cast("int") - 1))
+    first = F.conv(F.rpad("code", ZERO_BITS, "0"), 2, 10).cast("int")
+    return codes.select("*", rest.alias("rest")).select("size", "coefficients", F.lpad(F.bin(first + F.col("rest")), ZERO_BITS, "0").alias("ahead"), "total_zeros", "length")
+
+
+def with_zeros(rows: DataFrame) -> DataFrame:
+    """``rows`` (size, coefficients, bits, pos) with total_zeros and its code's length, null for no code, one that is cut off, or no coefficients; full blocks have no code and no zeros.
+
+    An equi-join with the table of all continuations, whose size is fixed.
+    """
+    left = F.length("bits") - F.col("pos")
+    ahead = F.rpad(F.substring(F.col("bits"), F.col("pos") + 1, F.lit(ZERO_BITS)), ZERO_BITS, "0")
+    found = rows.withColumn("ahead", ahead).join(F.broadcast(zero_codes(rows.sparkSession)), ["size", "coefficients", "ahead"], "left")
+    full, whole = F.col("coefficients") == F.col("size"), F.col("length") <= left
+    return found.withColumns({c: F.when(full, 0).when(whole, F.col(c)) for c in ("total_zeros", "length")}).drop("ahead")
+
+
+def level_increments(levels: Column, limit: int = 4) -> Column:
+    """array<struct<first, rest>>: context increments of the first and the further bins of each level's size, the last coefficient first; ``limit`` is 3 for chroma DC."""
+
+    def step(state: Column, level: Column) -> Column:
+        first = F.when(state["more"] > 0, 0).otherwise(F.least(F.lit(4), 1 + state["ones"]))
+        made = F.struct(first.alias("first"), (5 + F.least(F.lit(limit), state["more"])).alias("rest"))
+        one, more = (F.abs(level) == 1).cast("int"), (F.abs(level) > 1).cast("int")
+        return F.struct((state["more"] + more).alias("more"), (state["ones"] + one).alias("ones"), F.concat(state["made"], F.array(made)).alias("made"))
+
+    start = F.struct(F.lit(0).alias("more"), F.lit(0).alias("ones"), F.array().cast("array<struct<first:int,rest:int>>").alias("made"))
+    return F.aggregate(levels, start, step, lambda s: s["made"])
+
+
+def luma_pattern_increments(own: Column, left: Column, above: Column) -> Column:
+    """Context increments of the four luma bits of a coded-block pattern: 1 for a left and 2 for an upper 8x8 block that is there and not coded.
+
+    ``left`` and ``above`` are the neighbours' luma patterns: 0 for skipped
+    ones, 15 for raw ones, null for missing ones. ``own`` is the pattern itself,
+    of which each bit sees the ones before it.
+    """
+
+    def missed(pattern: Column, bit: int) -> Column:
+        return F.when(F.shiftright(pattern, bit).bitwiseAND(1) == 0, 1).otherwise(0)
+
+    sides = [(missed(left, 1), missed(above, 2)), (missed(own, 0), missed(above, 3)), (missed(left, 3), missed(own, 0)), (missed(own, 2), missed(own, 1))]
+    return F.array(*(a + 2 * b for a, b in sides))
+
+
+def chroma_pattern_increments(left: Column, above: Column) -> Column:
+    """Context increments of the two chroma bins from the neighbours' chroma patterns: 0 for skipped, 2 for raw, null for missing ones."""
+
+    def at_least(n: int) -> Column:
+        return F.when(left >= n, 1).otherwise(0) + F.when(above >= n, 2).otherwise(0)
+
+    return F.array(at_least(1), at_least(2) + 4)
