@@ -162,6 +162,45 @@ def runs(bits: Column, pos: Column, coefficients: Column, zeros: Column) -> Colu
     return F.when(coefficients > 0, done).otherwise(F.array().cast("array<int>"))
 
 
+def levels(bits: Column, pos: Column, coefficients: Column, ones: Column) -> Column:
+    """struct<pos, levels> of a block's levels, the last coefficient first: ``ones`` signs, then codes whose suffix grows with the levels; null if a code is cut off.
+
+    The signs of ones are bits; a code is zeros, a one and a suffix.
+    """
+
+    def power(n: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1), n)
+
+    def step(state: Column, i: Column) -> Column:
+        def sized(v: Column) -> Column:
+            size = F.when((v["zeros"] == 14) & (state["suffix"] == 0), 4).when(v["zeros"] >= 15, v["zeros"] - 3).otherwise(state["suffix"])
+            return let(lambda w: coded(v["zeros"], w["size"]), size=size.cast("int"))
+
+        def coded(zeros: Column, size: Column) -> Column:
+            at = state["pos"] + zeros + 1
+            suffix = F.when(size == 0, 0).when(at + size <= F.length(bits), F.conv(F.substring(bits, at + 1, size), 2, 10).cast("int"))
+            code = F.least(F.lit(15), zeros) * power(state["suffix"]) + suffix + F.when((zeros >= 15) & (state["suffix"] == 0), 15).otherwise(0)
+            code = code + F.when(zeros >= 16, power(zeros - 3) - 4096).otherwise(0) + F.when((i == 1) & (ones < 3), 2).otherwise(0)
+            return let(lambda w: kept(at + size, w["code"]), code=code)
+
+        def kept(after: Column, code: Column) -> Column:
+            level = F.when(code % 2 == 0, F.shiftright(code + 2, 1)).otherwise(F.shiftright(-code - 1, 1))
+            least = F.greatest(state["suffix"], F.lit(1))
+            grown = F.when((F.abs(level) > 3 * power(least - 1)) & (least < 6), least + 1).otherwise(least)
+            return F.struct(after.cast("int").alias("pos"), grown.cast("int").alias("suffix"), F.concat(state["levels"], F.array(level.cast("int"))).alias("levels"))
+
+        return let(sized, zeros=leading_zeros(bits, state["pos"]).cast("int"))
+
+    signs = F.transform(F.sequence(F.lit(1), ones.cast("int")), lambda i: F.when(F.substring(bits, pos + i, F.lit(1)) == "1", -1).otherwise(1))
+    none = F.array().cast("array<int>")
+    suffix = F.when((coefficients > 10) & (ones < 3), 1).otherwise(0)
+    start = F.struct((pos + ones).cast("int").alias("pos"), suffix.alias("suffix"), F.when(ones > 0, signs).otherwise(none).alias("levels"))
+    left = (coefficients - ones).cast("int")
+    read = F.aggregate(F.when(left > 0, F.sequence(F.lit(1), left)).otherwise(none), start, step)
+    whole = read["pos"].isNotNull() & (read["pos"] <= F.length(bits))
+    return let(lambda v: F.when(v["r"]["whole"], v["r"]["made"]), r=F.struct(whole.alias("whole"), F.struct(read["pos"].alias("pos"), read["levels"].alias("levels")).alias("made")))
+
+
 def placed_levels(levels: Column, before: Column, size: int) -> Column:
     """A block of ``size`` in scan order from its levels and the zeros before each, both the last coefficient first."""
 

@@ -122,3 +122,32 @@ def first_difference(spark, sf_dir):
     decoded = table(spark, sf_dir, "lineitem").select(*(F.expr(v).alias(k) for k, v in key.items()), F.col("l_quantity").cast("long").alias("sample"))
     expected = decoded.where("x % 17 <> 0").withColumn("sample", F.col("sample") + F.when(F.col("x") % 13 == 0, 1).otherwise(0))
     return frames.first_difference(decoded, expected)
+
+
+_SQL_WORD = "lpad(bin((l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 15485863) % 1048576), 20, '0') || lpad(bin(l_partkey % 4096), 12, '0') || repeat('1', 20)"
+
+
+def _sql_level(rows: str, no: int) -> str:
+    """Reads level ``no`` (0 to 2) of rows with bits, ones, pos and suffix: a sign while no < ones, else a code."""
+    first = f"(CASE WHEN {no} = ones AND ones < 3 THEN 2 ELSE 0 END)"
+    sized = f"""(SELECT *, CASE WHEN {no} < ones THEN 0 WHEN zeros = 14 AND suffix = 0 THEN 4 WHEN zeros >= 15 THEN zeros - 3 ELSE suffix END AS size FROM (SELECT *, instr(substr(bits, pos + 1), '1') - 1 AS zeros FROM {rows}))"""
+    value = "list_sum(list_transform(range(size), lambda j: substr(bits, pos + zeros + 2 + j, 1)::INT * 2 ** (size - 1 - j)))"
+    code = f"(SELECT *, (least(15, zeros) * 2 ** suffix + coalesce({value}, 0) + CASE WHEN zeros >= 15 AND suffix = 0 THEN 15 ELSE 0 END + CASE WHEN zeros >= 16 THEN 2 ** (zeros - 3) - 4096 ELSE 0 END + {first})::BIGINT AS code FROM {sized})"
+    level = f"CASE WHEN {no} < ones THEN 1 - 2 * substr(bits, pos + 1, 1)::INT WHEN code % 2 = 0 THEN (code + 2) / 2 ELSE -(code + 1) / 2 END::BIGINT"
+    read = f"(SELECT * EXCLUDE (pos), pos + CASE WHEN {no} < ones THEN 1 ELSE zeros + 1 + size END AS pos, {level} AS v{no} FROM {code})"
+    grown = f"CASE WHEN {no} < ones THEN suffix WHEN abs(v{no}) > 3 * 2 ** (greatest(suffix, 1) - 1) THEN greatest(suffix, 1) + 1 ELSE greatest(suffix, 1) END"
+    return f"(SELECT * EXCLUDE (suffix, zeros, size, code), {grown} AS suffix FROM {read})"
+
+
+_SQL_LEVELS = f"(SELECT l_orderkey * 8 + l_linenumber AS key, {_SQL_WORD} AS bits, l_linenumber % 4 AS ones, 0 AS pos, 0 AS suffix FROM lineitem)"
+for _no in range(3):
+    _SQL_LEVELS = _sql_level(_SQL_LEVELS, _no)
+
+
+@query(f"SELECT key, CASE WHEN pos <= 52 THEN concat_ws(',', v0, v1, v2) END AS levels, CASE WHEN pos <= 52 THEN pos END::BIGINT AS pos FROM {_SQL_LEVELS}")
+def level_codes(spark, sf_dir):
+    """Three levels read from the start of bit strings, none to three of them ones."""
+    parts = F.lpad(F.bin((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 15485863) % 1048576), 20, "0"), F.lpad(F.bin(F.col("l_partkey") % 4096), 12, "0")
+    rows = table(spark, sf_dir, "lineitem").select(F.expr(KEY), F.concat(*parts, F.lit("1" * 20)).alias("bits"), (F.col("l_linenumber") % 4).alias("ones"))
+    made = rows.select("key", M.levels(F.col("bits"), F.lit(0), F.lit(3), F.col("ones")).alias("m"))
+    return made.select("key", joined(F.col("m.levels")).alias("levels"), F.col("m.pos").cast("long").alias("pos"))

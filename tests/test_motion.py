@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from bitloom.operators import frames, motion
@@ -70,3 +72,39 @@ def test_first_difference_with_missing_samples(spark):
     other = one.where("not (frame_idx = 0 and plane = 1 and y = 0 and x = 1)").withColumn("sample", F.when((F.col("plane") == 1) & (F.col("y") == 1), 2).otherwise(F.col("sample")))
     assert [tuple(r) for r in frames.first_difference(one, other).collect()] == [("s", 0, 1, 0, 1, 1, None)]
     assert frames.first_difference(one, one).count() == 0
+
+
+def level_bits(levels, ones):
+    """Codes by looking for the shortest prefix that can hold each level."""
+    out = "".join("01"[v < 0] for v in levels[:ones])
+    suffix = int(len(levels) > 10 and ones < 3)
+    for no, level in enumerate(levels[ones:]):
+        code = (2 * level - 2 if level > 0 else -2 * level - 1) - (2 if no == 0 and ones < 3 else 0)
+        for zeros in range(26):
+            size = 4 if zeros == 14 and suffix == 0 else zeros - 3 if zeros >= 15 else suffix
+            base = (min(15, zeros) << suffix) + (15 if zeros >= 15 and suffix == 0 else 0) + ((1 << zeros - 3) - 4096 if zeros >= 16 else 0)
+            if base <= code < base + (1 << size):
+                break
+        out += "0" * zeros + "1" + (f"{code - base:0{size}b}" if size else "")
+        suffix = max(suffix, 1)
+        suffix += abs(level) > 3 << suffix - 1 and suffix < 6
+    return out
+
+
+def test_levels_come_back(spark):
+    rng, rows = random.Random(8), []
+    for no in range(400):
+        ones, n = rng.randint(0, 3), rng.randint(1, 16)
+        ones = min(ones, n)
+        size = rng.choice([2, 9, 40, 3000, 40000])
+        levels = [rng.choice([-1, 1]) for _ in range(ones)] + [rng.choice([-1, 1]) * rng.randint(1, size) for _ in range(n - ones)]
+        if ones < 3 and n > ones and abs(levels[ones]) == 1:
+            levels[ones] *= 2  # it would be one of the ones
+        bits = level_bits(levels, ones)
+        rows += [(no, "10" + bits + "011", 2, n, ones, levels), (1000 + no, "10" + bits[:-1], 2, n, ones, None)]
+    table = spark.createDataFrame(rows, "no int, bits string, pos int, n int, ones int, want array<int>")
+    made = table.select("*", M.levels(F.col("bits"), F.col("pos"), F.col("n"), F.col("ones")).alias("m"))
+    for r in made.collect():
+        assert (r["m"] and (r["m"]["levels"], r["m"]["pos"])) == (r["want"] and (r["want"], len(r["bits"]) - 3))
+    empty = table.limit(1).select(M.levels(F.col("bits"), F.col("pos"), F.lit(0), F.lit(0)).alias("m")).first()["m"]
+    assert (empty["pos"], empty["levels"]) == (2, [])
