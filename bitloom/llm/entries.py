@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import chat_format, decontaminate, extendible_shards, hamming_topk, language_id, pii, quality_knn, simhash_dedup, source_mix, token_counts
+from bitloom.llm import chat_format, decontaminate, extendible_shards, hamming_topk, hard_negatives, language_id, pii, quality_knn, sequence_packing, simhash_dedup, source_mix, token_counts, vector_codes
 from bitloom.llm._scratch import read
 
 #: Every row whose id is divisible by this is a query of the top-k search.
 QUERY_EVERY = 50
+#: Rows of the hard-negative query whose id is divisible by this get the next label of ten.
+RELABEL_EVERY = 7
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +64,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_classes(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(*vector_codes.compress(read(spark, sf_dir, "embeddings")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % RELABEL_EVERY == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_packing.digests(sequence_packing.pack(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op2_token_counts, op3_pii, op4_sharding, op5_decontamination, op6_chat_format, op7_source_mix, op8_language_id, op9_hamming_topk, op10_simhash_dedup)
+    own = (op1_quality, op2_token_counts, op3_pii, op4_sharding, op5_decontamination, op6_chat_format, op7_source_mix, op8_language_id, op9_hamming_topk, op10_simhash_dedup, op11_vector_codes, op12_hard_negatives, op13_sequence_packing)
     return {f.__name__: f for f in own}
 
 
@@ -74,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontaminate.oracle_sql(),
         "op6_chat_format": chat_format.oracle_sql(),
         "op9_hamming_topk": hamming_topk.oracle_sql(QUERY_EVERY),
+        "op11_vector_codes": vector_codes.oracle_sql(),
+        "op12_hard_negatives": hard_negatives.oracle_sql(QUERY_EVERY, RELABEL_EVERY),
     }

@@ -78,14 +78,13 @@ def _starts(encoding, places) -> Iterator[tuple[int, int]]:
             yield encoding.token_to_chars(i)[0], i
 
 
-def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
-    """(tokens, widenings) of a text by overlapping chunks."""
-    total = widened = 0
+def spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[object, int, int, int]]:
+    """(encoding of a chunk, its first token that counts, the one after its last, widenings on the way to the next) along a text."""
     # The current chunk is text[base:end]; from the true boundary ``splice`` on, after ``skipped`` of its tokens, it counts.
     base, end, splice, skipped = 0, min(len(text), chunk), 0, 0
     encoding = tokenizer.encode(text[base:end], add_special_tokens=False)
     while end < len(text):
-        wide, common = overlap, None
+        wide, common, widened = overlap, None, 0
         while common is None:
             at = max(splice, end - wide)
             stop = min(len(text), end + max(chunk, end - at))
@@ -108,10 +107,18 @@ def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP)
             if common is None:
                 wide *= 2
                 widened += 1
-        total += common[2] - skipped
+        yield encoding, skipped, common[2], widened
         splice, skipped = common[:2]
         base, end, encoding = at, stop, following
-    return total + len(encoding) - skipped, widened
+    yield encoding, skipped, len(encoding), 0
+
+
+def count_long(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+    """(tokens, widenings) of a text by overlapping chunks."""
+    total = widened = 0
+    for _, first, after, widenings in spliced(tokenizer, text, chunk, overlap):
+        total, widened = total + after - first, widened + widenings
+    return total, widened
 
 
 #: Texts in which no character's class is in doubt.
