@@ -1,16 +1,17 @@
 """The decoded picture buffer of one IDR period as a small state machine, and its grouped application.
 
 Everything that ordering by count cannot say is here: marking commands,
-long-term references and output by bumping with a limited buffer. A period is
-folded in order of arrival; a group is a period, so a stream has as many groups
-as IDR pictures, and the state is at most the buffer's sixteen pictures.
+long-term references and output by bumping with a limited buffer. Periods are
+dealt over the tasks and sorted, and one fold runs over all of a task's periods
+as their rows come, with a state of at most the buffer's sixteen pictures.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,17 +127,31 @@ def bump_order(pics: DataFrame, size: int, max_frame_num: int, references: int)
     a period), what is still waiting is not put out. Ids are of any type.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        buffer, out = Buffer(size, max_frame_num, references), []
-        for i, r in enumerate(rows.itertuples(index=False)):
-            commands = [(c["op"], c["a"], c["b"]) for c in r.commands] if r.commands is not None else []
-            out += buffer.put(Picture(r.at, r.frame_num, r.poc, bool(r.is_ref)), commands, idr=i == 0, long_term=bool(r.long_term))
-        if not bool(rows["no_output"].iloc[-1]):
-            out += buffer.flush()
-        return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "idr_period": rows["idr_period"].iloc[0], "at": out, "bump_idx": range(len(out))})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, buffer, place, drops, kinds = None, None, 0, False, None
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out) if out else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["stream_id", "idr_period", "at", "bump_idx"])
+
+        for batch in batches:
+            kinds = [*(batch.schema.field(i).type for i in range(3)), pa.int32()]
+            out: list[tuple] = []
+            for stream, period, at, frame_num, poc, is_ref, commands, long_term, no_output in zip(*(c.to_pylist() for c in batch.columns)):
+                first = (stream, period) != key
+                if first:
+                    if buffer and not drops:
+                        out += [(*key, p, place + i) for i, p in enumerate(buffer.flush())]
+                    key, buffer, place = (stream, period), Buffer(size, max_frame_num, references), 0
+                put = buffer.put(Picture(at, frame_num, poc, bool(is_ref)), [(c["op"], c["a"], c["b"]) for c in commands or ()], idr=first, long_term=long_term)
+                out += [(*key, p, place + i) for i, p in enumerate(put)]
+                place, drops = place + len(put), no_output
+            yield told(out)
+        if buffer and not drops:
+            yield told([(*key, p, place + i) for i, p in enumerate(buffer.flush())])
 
     columns = ("stream_id", "idr_period", "at", "frame_num", "poc", "is_ref", "commands")
     flags = (F.coalesce(F.col(c), F.lit(False)).alias(c) if c in pics.columns else F.lit(False).alias(c) for c in ("long_term", "no_output"))
     kind = T.StructType([*(pics.schema[c] for c in ("stream_id", "idr_period", "at")), T.StructField("bump_idx", T.IntegerType())])
-    return pics.select(*columns, *flags).groupBy("stream_id", "idr_period").applyInPandas(fold, kind)
+    rows = pics.select(*columns, *flags).repartition("stream_id", "idr_period").sortWithinPartitions("stream_id", "idr_period", "at")
+    return rows.mapInArrow(fold, kind)
