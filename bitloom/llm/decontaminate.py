@@ -82,13 +82,22 @@ def _bucket_counts(buckets):
     return run
 
 
+def _places(n: int) -> type:
+    """The narrowest type with a bit for each position of a window of ``n`` words."""
+    for kind in (np.uint16, np.uint32, np.uint64):
+        if n <= np.iinfo(kind).bits:
+            return kind
+    raise ValueError("windows have at most 64 words")
+
+
 class _Index:
     """The windows of a block of items.
 
     ``words`` numbers the block's words and ``text`` holds the items one after
     the other as such numbers. For each length of a window: which positions a
     word has in windows whose rarest it is, as bits, and the windows' hashes,
-    sorted, with their offsets in ``text`` and their items.
+    sorted, each distinct window once, with its offset in ``text`` and the range of
+    its items.
     """
 
     def __init__(self, items: Iterable[tuple[str, str]], counts: np.ndarray, window: int):
@@ -114,7 +123,7 @@ class _Index:
             each = lengths[own] - n + 1
             item = np.repeat(own, each)
             at = np.repeat(starts[own] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())
-            hashes, bits = np.empty(len(at), dtype=np.uint64), np.zeros(len(rarity), dtype=np.uint16)
+            hashes, bits = np.empty(len(at), dtype=np.uint64), np.zeros(len(rarity), dtype=_places(n))
             there = np.empty(len(at), dtype=bool)
             for cut in range(0, len(at), 1 << 16):
                 words = self.text[at[cut : cut + (1 << 16), None] + np.arange(n)]
@@ -122,10 +131,18 @@ class _Index:
                 rarest = rank[words].argmin(axis=1)
                 token = words[np.arange(len(words)), rarest]
                 there[cut : cut + len(words)] = rarity[token] > 0  # else no document has the window
-                np.bitwise_or.at(bits, token, (1 << rarest).astype(np.uint16))
+                np.bitwise_or.at(bits, token, np.left_shift(1, rarest, dtype=bits.dtype, casting="unsafe"))
             order = np.flatnonzero(there)
             order = order[np.argsort(hashes[order], kind="stable")]
-            self.groups.append((n, bits, hashes[order], at[order].astype(np.int32), item[order].astype(np.int32)))
+            # Equal windows stand next to each other: each is kept once, with the range of its owners.
+            hashes, at, first = hashes[order], at[order], np.ones(len(order), dtype=bool)
+            first[1:] = hashes[1:] != hashes[:-1]
+            same = np.flatnonzero(~first)
+            for cut in range(0, len(same), 1 << 16):
+                k = same[cut : cut + (1 << 16)]
+                first[k] = (self.text[at[k, None] + np.arange(n)] != self.text[at[k - 1, None] + np.arange(n)]).any(axis=1)
+            owned = np.append(np.flatnonzero(first), len(order)).astype(np.int32)
+            self.groups.append((n, bits, hashes[first], at[first].astype(np.int32), owned, item[order].astype(np.int32)))
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Whether each word is hit, and the items with occurring windows."""
@@ -133,14 +150,15 @@ class _Index:
         known = self.words.get
         own = np.fromiter((known(w, -1) for w in words), dtype=np.int32, count=len(words))
         some = np.flatnonzero(own >= 0)
-        for n, bits, hashes, offsets, owners in self.groups:
+        for n, bits, hashes, offsets, owned, owners in self.groups:
             tokens = bits[own[some]]
             at = some[tokens > 0]
             if not len(at):
                 continue
-            row, position = np.nonzero((bits[own[at]][:, None] >> np.arange(n, dtype=np.uint16)) & 1)
+            row, position = np.nonzero((bits[own[at]][:, None] >> np.arange(n, dtype=bits.dtype)) & bits.dtype.type(1))
             start = at[row] - position
             start = np.unique(start[(start >= 0) & (start + n <= len(words))])
+            seen = []
             for cut in range(0, len(start), 1 << 16):
                 begin = start[cut : cut + (1 << 16)]
                 said = own[begin[:, None] + np.arange(n)]
@@ -151,9 +169,11 @@ class _Index:
                     continue
                 entry = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - high, high - low)
                 same = (self.text[offsets[entry][:, None].astype(np.int64) + np.arange(n)] == said[row]).all(axis=1)
-                items.update(owners[entry[same]].tolist())
+                seen.append(np.unique(entry[same]))
                 for i in np.unique(begin[row[same]]).tolist():
                     hit[i : i + n] = True
+            for window in np.unique(np.concatenate(seen)).tolist() if seen else ():
+                items.update(owners[owned[window] : owned[window + 1]].tolist())
         return hit, {self.names[i] for i in items}
 
 

@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from bitloom.llm import decontaminate as d
 
 from .helpers import SF, clashing, docs, duck, rows
@@ -68,3 +71,25 @@ def test_windows_that_share_their_rarest_word(spark):
     found = {r["doc_id"]: r["item_ids"] for r in d.find_windows(documents, benchmark).collect()}
     assert all(items[n][0] in found[n] for n in range(50)) and found[901] == ["short", "twin"] and found[902] == []
     assert rows(d.find_windows(documents, benchmark, block_bytes=2000)) == rows(d.find_windows(documents, benchmark))
+
+
+def test_windows_longer_than_sixteen_words(spark):
+    """The rarest word of a window may stand at any of its places."""
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([("a", " ".join(words))], "item_id string, text string")
+    for window in (20, 33, 40):
+        found = d.find_windows(docs(spark, [(1, " ".join(words)), (2, " ".join(words[:19]) + " w1 w2")]), items, window=window)
+        got = {r.doc_id: r.n_hit for r in d.digests(found).collect()}
+        assert got == {1: 40, 2: 0}
+    with pytest.raises(ValueError):
+        d._places(65)
+
+
+def test_a_window_of_many_items_is_kept_once():
+    shared = " ".join(f"s{i}" for i in range(13))
+    items = [(f"i{k}", f"{shared} own{k}") for k in range(3000)]
+    index = d._Index(items, np.ones(d.BUCKETS, np.int64), 13)
+    (n, _, hashes, _, owned, owners) = index.groups[0]
+    assert len(owners) == 6000 and len(hashes) == 3001 and np.diff(owned).max() == 3000
+    hit, found = index.hits(d.words_of(f"{shared} x " * 200))
+    assert len(found) == 3000 and hit.sum() == 13 * 200
