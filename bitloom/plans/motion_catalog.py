@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitloom.operators import frames, motion
+from bitloom.operators import compensation, frames, motion
 from bitloom.operators import macroblocks as M
 from bitloom.plans.catalog import joined, table
 from bitloom.plans.stream_catalog import query
@@ -151,3 +151,49 @@ def level_codes(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.expr(KEY), F.concat(*parts, F.lit("1" * 20)).alias("bits"), (F.col("l_linenumber") % 4).alias("ones"))
     made = rows.select("key", M.levels(F.col("bits"), F.lit(0), F.lit(3), F.col("ones")).alias("m"))
     return made.select("key", joined(F.col("m.levels")).alias("levels"), F.col("m.pos").cast("long").alias("pos"))
+
+
+# Blocks of seven sizes, one for each order, that show pictures of 128 by 64 samples, a tile for each part; vectors reach beyond all borders.
+_SQL_SHOWN = """(SELECT o_orderkey AS block_id, (o_custkey % n)::BIGINT AS ref0, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % n)::BIGINT END AS ref1, (o_orderkey % 8 * 16)::INT AS x, (o_orderkey // 8 % 4 * 16)::INT AS y,
+  ([16, 16, 8, 8, 8, 4, 4])[(o_orderkey % 7 + 1)::INT] AS w, ([16, 8, 16, 8, 4, 8, 4])[(o_orderkey % 7 + 1)::INT] AS h,
+  (o_custkey % 701 - 350)::INT AS x0, (o_orderkey % 523 - 261)::INT AS y0, (o_custkey % 97 - 48)::INT AS x1, (o_orderkey % 89 - 44)::INT AS y1, o_orderkey % 5 = 0 AS weighs FROM orders, (SELECT count(*) // 32 AS n FROM part))"""
+_SQL_GRID = ", ".join(
+    f"((ref * 32 + (yy // 16) * 8 + xx // 16 + 1) * (yy % 16 + 3) + xx % 16 * 7 + (yy % 16) * (xx % 16)) % 256 AS g{i}{j}".replace("yy", f"greatest(0, least(63, iy + {i - 2}))").replace("xx", f"greatest(0, least(127, ix + {j - 2}))") for i in range(6) for j in range(6)
+)
+
+
+def _sql_six(v: list[str]) -> str:
+    return f"({v[0]} - 5 * {v[1]} + 20 * {v[2]} + 20 * {v[3]} - 5 * {v[4]} + {v[5]})"
+
+
+_CELLS = [[f"g{i}{j}" for j in range(6)] for i in range(6)]
+_SQL_HALVES = ", ".join(
+    f"greatest(0, least(255, ({v} + {r}) >> {s})) AS {k}"
+    for k, v, r, s in (("b", _sql_six(_CELLS[2]), 16, 5), ("s", _sql_six(_CELLS[3]), 16, 5), ("h", _sql_six([r[2] for r in _CELLS]), 16, 5), ("m", _sql_six([r[3] for r in _CELLS]), 16, 5), ("j", _sql_six([_sql_six(r) for r in _CELLS]), 512, 10))
+)
+_SQL_PLACES = "[g22, (g22+b+1)>>1, b, (g23+b+1)>>1, (g22+h+1)>>1, (b+h+1)>>1, (b+j+1)>>1, (b+m+1)>>1, h, (h+j+1)>>1, j, (j+m+1)>>1, (g32+h+1)>>1, (h+s+1)>>1, (j+s+1)>>1, (m+s+1)>>1]"
+
+
+@query(f"""WITH blocks AS {_SQL_SHOWN}, lists AS (
+  SELECT block_id, 0 AS list, ref0 AS ref, x, y, w, h AS hh, x0 AS vx, y0 AS vy, weighs FROM blocks UNION ALL SELECT block_id, 1, ref1, x, y, w, h, x1, y1, weighs FROM blocks WHERE ref1 IS NOT NULL),
+places AS (SELECT block_id, list, ref, i, weighs, (x + i % w + (vx >> 2))::BIGINT AS ix, (y + i // w + (vy >> 2))::BIGINT AS iy, (vy & 3) * 4 + (vx & 3) AS place FROM lists, range(256) t(i) WHERE i < w * hh),
+halves AS (SELECT *, {_SQL_HALVES} FROM (SELECT *, {_SQL_GRID} FROM places)),
+p AS (SELECT block_id, i, weighs, max(v) FILTER (list = 0) AS a, max(v) FILTER (list = 1) AS b FROM (SELECT *, ({_SQL_PLACES})[place + 1] AS v FROM halves) GROUP BY ALL)
+SELECT 'parts' AS stream_id, block_id, md5(string_agg(printf('%02X', (CASE WHEN NOT weighs THEN CASE WHEN b IS NULL THEN a ELSE (a + b + 1) >> 1 END
+  WHEN b IS NULL THEN greatest(0, least(255, ((a * 5 + 4) >> 3) - 3)) ELSE greatest(0, least(255, ((a * 5 + b * 4 + 8) >> 4) + 1)) END)::INT), '' ORDER BY i)) AS digest FROM p GROUP BY block_id""")
+def motion_blocks(spark, sf_dir):
+    """Blocks predicted from one or two reference pictures, a fifth of them weighted."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    number = F.col("p_partkey") - 1
+    cells = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex(((F.col("p_partkey") * (F.floor(i / 16) + 3) + i % 16 * 7 + F.floor(i / 16) * (i % 16)) % 256).cast("long")), 2, "0"))
+    tiles = parts.select(F.lit("parts").alias("stream_id"), F.floor(number / 32).alias("picture_id"), (number % 8).alias("tx"), F.floor(number % 32 / 8).alias("ty"), F.unhex(F.array_join(cells, "")).alias("samples"))
+    n = parts.agg(F.floor(F.count("*") / 32).alias("n"))
+    o, c, kind = F.col("o_orderkey"), F.col("o_custkey"), (F.col("o_orderkey") % 7 + 1).cast("int")
+    sizes = {k: F.element_at(F.array(*map(F.lit, v)), kind) for k, v in (("w", (16, 16, 8, 8, 8, 4, 4)), ("h", (16, 8, 16, 8, 4, 8, 4)))}
+    two, weighs = o % 3 == 0, o % 5 == 0
+    blocks = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(F.broadcast(n)).select(
+        F.lit("parts").alias("stream_id"), o.alias("block_id"), F.lit(128).alias("width"), F.lit(64).alias("height"), (o % 8 * 16).alias("x"), (F.floor(o / 8) % 4 * 16).alias("y"), *(v.alias(k) for k, v in sizes.items()),
+        (c % F.col("n")).alias("ref0"), F.when(two, o % F.col("n")).alias("ref1"), (c % 701 - 350).alias("x0"), (o % 523 - 261).alias("y0"), (c % 97 - 48).alias("x1"), (o % 89 - 44).alias("y1"),
+        *(F.when(weighs, v).alias(k) for k, v in (("w0", 5), ("w1", 4), ("o0", -3), ("o1", 4), ("log_denominator", 3))),
+    )
+    return compensation.compensate(blocks, tiles).select("stream_id", "block_id", F.md5(F.hex("samples").cast("binary")).alias("digest"))
