@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitloom.operators import compensation, frames, motion
+from bitloom.operators import colocated, compensation, frames, motion
 from bitloom.operators import macroblocks as M
 from bitloom.plans.catalog import joined, table
+from bitloom.plans import sequence as S
+from bitloom.plans import stream_catalog
 from bitloom.plans.stream_catalog import query
 
 KEY = "l_orderkey * 8 + l_linenumber AS key"
@@ -197,3 +199,46 @@ def motion_blocks(spark, sf_dir):
         *(F.when(weighs, v).alias(k) for k, v in (("w0", 5), ("w1", 4), ("o0", -3), ("o1", 4), ("log_denominator", 3))),
     )
     return compensation.compensate(blocks, tiles).select("stream_id", "block_id", F.md5(F.hex("samples").cast("binary")).alias("digest"))
+
+
+# From slices to vectors: every event is a picture of 16 blocks in two slices, whose second has the lists the other way round; every other picture is in direct mode.
+_SQL_FIELD = f"""WITH {stream_catalog._STORES}, l AS (
+  SELECT stream_id, at, list(ra ORDER BY CASE WHEN long_term THEN 2 WHEN rpoc <= poc THEN 0 ELSE 1 END, CASE WHEN long_term THEN ra % 16 WHEN rpoc <= poc THEN -rpoc ELSE rpoc END, ra) AS l0,
+         list(ra ORDER BY CASE WHEN long_term THEN 2 WHEN rpoc <= poc THEN 1 ELSE 0 END, CASE WHEN long_term THEN ra % 16 WHEN rpoc <= poc THEN -rpoc ELSE rpoc END, ra) AS l1 FROM s GROUP BY 1, 2),
+m AS (SELECT stream_id, at, l0, CASE WHEN l0 = l1 AND len(l1) > 1 THEN list_concat([l1[2], l1[1]], l1[3:]) ELSE l1 END AS l1 FROM l),
+sl AS (SELECT pe.stream_id, pe.at, pe.is_ref, z.slice_id, pe.at * 7 % 101 AS poc, CASE WHEN z.slice_id = 0 THEN l0 ELSE l1 END AS a, CASE WHEN z.slice_id = 0 THEN l1 ELSE l0 END AS b FROM pe LEFT JOIN m USING (stream_id, at), range(2) z(slice_id)),
+bl AS (SELECT sl.*, b.i % 4 AS bx, b.i // 4 AS byy, (at + i) % 5 = 0 AS intra, (at + i) % 4 - 1 AS ref0, (at * 3 + i) % 4 - 1 AS ref1, at * i % 201 - 100 AS x0, (at + 7 * i) % 101 - 50 AS y0, at * i % 151 - 75 AS x1, (at + 11 * i) % 71 - 35 AS y1
+       FROM sl JOIN range(16) b(i) ON b.i // 8 = sl.slice_id),
+f AS (SELECT stream_id, at AS shown, bx, byy, intra, poc AS count, CASE WHEN ref0 < 0 AND ref1 >= 0 THEN x1 ELSE x0 END AS x, CASE WHEN ref0 < 0 AND ref1 >= 0 THEN y1 ELSE y0 END AS y,
+        coalesce((CASE WHEN ref0 < 0 AND ref1 >= 0 THEN b[ref1 + 1] ELSE a[greatest(ref0, 0) + 1] END) * 7 % 101, poc) AS r FROM bl WHERE is_ref),
+w AS (SELECT bl.stream_id, bl.at, bl.slice_id, bl.bx, bl.byy, bl.poc AS now, list_transform(coalesce(bl.a, []), lambda e: e * 7 % 101) AS counts, p.is_ref AS kept, coalesce(f.intra, true) AS intra, f.x, f.y, f.r, f.count
+      FROM bl LEFT JOIN pe p ON p.stream_id = bl.stream_id AND p.at = bl.b[1] LEFT JOIN f ON f.stream_id = bl.stream_id AND f.shown = bl.b[1] AND f.bx = bl.bx // 2 * 3 AND f.byy = bl.byy // 2 * 3 WHERE bl.at % 2 = 1),
+d AS (SELECT *, greatest(-128, least(127, count - r)) AS td, greatest(-128, least(127, now - r)) AS tb FROM w),
+e AS (SELECT *, greatest(-1024, least(1023, floor((tb * trunc((16384 + abs(td) // 2) / td) + 32) / 64))) AS scale FROM d),
+g AS (SELECT *, CASE WHEN td = 0 THEN x ELSE floor((scale * x + 128) / 256) END AS sx, CASE WHEN td = 0 THEN y ELSE floor((scale * y + 128) / 256) END AS sy FROM e)
+SELECT stream_id, at AS picture_id, slice_id, bx, byy AS block_row, CASE WHEN kept THEN 'temporal' ELSE 'spatial' END AS mode, CASE WHEN kept THEN CASE WHEN intra THEN 0 ELSE coalesce(list_position(counts, r), 1) - 1 END END::BIGINT AS ref0,
+  CASE WHEN kept THEN CASE WHEN intra THEN 0 ELSE sx END END::BIGINT AS x0, CASE WHEN kept THEN CASE WHEN intra THEN 0 ELSE sy END END::BIGINT AS y0,
+  CASE WHEN kept THEN CASE WHEN intra OR td = 0 THEN 0 ELSE sx - x END END::BIGINT AS x1, CASE WHEN kept THEN CASE WHEN intra OR td = 0 THEN 0 ELSE sy - y END END::BIGINT AS y1 FROM g"""
+
+
+@query(_SQL_FIELD)
+def colocated_vectors(spark, sf_dir):
+    """From slices and their lists to the vectors of blocks in temporal direct mode, by the motion that reference pictures left."""
+    pics = stream_catalog.events(spark, sf_dir).select("stream_id", "at", "is_ref")
+    stores = stream_catalog._stores(spark, sf_dir)
+    lists = S.lists_b(F.col("refs"), F.col("poc"))
+    stores = stores.select("stream_id", "at", "poc", *(x.alias(k) for k, x in zip(("l0", "l1"), lists))).join(pics, ["stream_id", "at"])
+
+    def one(number: int, a: str, b: str):
+        counts = {k: F.transform(c, lambda r: r["poc"].cast("long")) for k, c in (("counts0", a), ("counts1", b))}
+        return F.struct(F.lit(number).cast("long").alias("slice_id"), *(v.alias(k) for k, v in counts.items()), F.get(F.col(b), F.lit(0))["at"].alias("first1"))
+
+    slices = stores.select("stream_id", F.col("at").alias("picture_id"), "poc", "is_ref", F.inline(F.array(one(0, "l0", "l1"), one(1, "l1", "l0"))))
+    at, i = F.col("picture_id"), F.col("i")
+    blocks = pics.select("stream_id", F.col("at").alias("picture_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("i"))
+    blocks = blocks.select(
+        "stream_id", "picture_id", F.floor(i / 8).alias("slice_id"), (i % 4).alias("bx"), F.floor(i / 4).alias("by"), ((at + i) % 5 == 0).alias("intra"), ((at + i) % 4 - 1).alias("ref0"), ((at * 3 + i) % 4 - 1).alias("ref1"),
+        (at * i % 201 - 100).alias("x0"), ((at + 7 * i) % 101 - 50).alias("y0"), (at * i % 151 - 75).alias("x1"), ((at + 11 * i) % 71 - 35).alias("y1"),
+    )
+    wanted = blocks.where(at % 2 == 1).select("stream_id", "picture_id", "slice_id", "bx", "by")
+    return colocated.temporal_vectors(wanted, slices, colocated.motion_field(blocks, slices)).withColumnRenamed("by", "block_row")
