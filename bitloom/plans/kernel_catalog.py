@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
 from bitloom.functions import syntax as X
-from bitloom.operators import blocks, deblock, dpb, intra8, macroblocks, prediction
+from bitloom.operators import blocks, deblock, dpb, intra8, macroblocks, prediction, residuals
 from bitloom.plans import catalog, generate, pcm, stream_catalog
 from bitloom.plans import sequence as S
 from bitloom.plans.catalog import joined, samples, sql_lines, sql_samples, table
@@ -173,7 +173,61 @@ def residual_block(spark, sf_dir):
     rows = catalog.lines(spark, sf_dir, 16)
     z = F.when(F.col("key") % 4 == 0, F.concat(F.slice("c", 1, 1), F.array_repeat(F.lit(0), 15))).otherwise(F.col("c"))
     rows = rows.select("key", "qp", z.alias("z"))
-    return rows.select("key", "qp", joined(blocks.residual_4x4(F.col("z"), F.col("qp"), F.array_repeat(F.lit(16), 16), F.array_repeat(F.lit(100), 16))).alias("result"))
+    return rows.select("key", "qp", joined(residuals.block_samples(F.col("z"), F.col("qp"), F.array_repeat(F.lit(16), 16), F.array_repeat(F.lit(100), 16))).alias("result"))
+
+
+# Whole macroblocks, one for each part: luma of three kinds and a chroma plane, block by block.
+_ZIGZAG_8 = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+_NORMS_8 = [[20, 18, 32, 19, 25, 24], [22, 19, 35, 21, 28, 26], [26, 23, 42, 24, 33, 31], [28, 25, 45, 26, 35, 33], [32, 28, 51, 30, 40, 38], [36, 32, 58, 34, 46, 43]]
+_CLASSES_8 = [0, 3, 4, 3, 0, 3, 4, 3, 3, 1, 5, 1, 3, 1, 5, 1, 4, 5, 2, 5, 4, 5, 2, 5, 3, 1, 5, 1, 3, 1, 5, 1] * 2
+_SQL_LEVELS = """(SELECT p_partkey AS p, p_size AS qp, list_transform(range(320), lambda i: (CASE WHEN (p_partkey + i * 7) % 5 = 0 THEN (p_partkey * (i % 11 + 3) + i * i) % 61 - 30 ELSE 0 END)::BIGINT) AS v FROM part)"""
+_PLACE_4, _PLACE_8 = ([z.index(i) for i in range(len(z))] for z in (_ZIGZAG, _ZIGZAG_8))
+
+
+def _sql_scale(value: str, place: str, eight: bool = False) -> str:
+    norm, shift = (f"{_NORMS_8}[qp % 6 + 1][{_CLASSES_8}[{place} + 1] + 1]", 6) if eight else (f"{_NORMS}[qp % 6 + 1][{_CLASSES}[{place} + 1] + 1]", 4)
+    return f"(CASE WHEN qp >= {6 * shift} THEN {value} * 16 * {norm} * (2 ** (qp // 6 - {shift}))::BIGINT ELSE floor(({value} * 16 * {norm} + 2 ** ({shift - 1} - qp // 6)) / 2 ** ({shift} - qp // 6))::BIGINT END)::BIGINT"
+
+
+_SQL_PLAIN = f"SELECT p * 64 + b AS key, qp, list_transform(range(16), lambda i: {_sql_scale(f'v[b * 16 + {_PLACE_4}[i + 1] + 1]', 'i')}) AS c FROM {_SQL_LEVELS}, range(16) t(b) WHERE p % 3 = 0"
+_SQL_DC = f"""SELECT p, qp, v, list_transform(string_split(result, ','), lambda f: CASE WHEN qp >= 36 THEN f::BIGINT * 16 * {_NORMS}[qp % 6 + 1][1] * (2 ** (qp // 6 - 6))::BIGINT ELSE floor((f::BIGINT * 16 * {_NORMS}[qp % 6 + 1][1] + 2 ** (5 - qp // 6)) / 2 ** (6 - qp // 6))::BIGINT END) AS d
+FROM (SELECT key AS p, result FROM ({catalog._sql_both_ways(4, catalog._sql_hadamard).replace(sql_lines(16), f"(SELECT p AS key, qp, list_transform({_PLACE_4}, lambda i: v[i + 1]) AS c FROM {_SQL_LEVELS} WHERE p % 3 = 2)")})) JOIN {_SQL_LEVELS} USING (p)"""
+_SQL_APART = f"SELECT p * 64 + b AS key, qp, list_transform(range(16), lambda i: CASE WHEN i = 0 THEN d[(b // 8 * 2 + b // 2 % 2) * 4 + b // 4 % 2 * 2 + b % 2 + 1] ELSE {_sql_scale(f'v[16 + b * 15 + {_PLACE_4}[i + 1]]', 'i')} END) AS c FROM ({_SQL_DC}), range(16) t(b)"
+_SQL_CHROMA = f"""SELECT p * 64 + 16 + b AS key, qp, list_transform(range(16), lambda i: CASE WHEN i = 0 THEN floor((v[257] + CASE WHEN b % 2 = 0 THEN 1 ELSE -1 END * v[258] + CASE WHEN b < 2 THEN 1 ELSE -1 END * v[259] + CASE WHEN b IN (0, 3) THEN 1 ELSE -1 END * v[260])
+  * 16 * {_NORMS}[qp % 6 + 1][1] * (2 ** (qp // 6))::BIGINT / 32)::BIGINT ELSE {_sql_scale(f'v[260 + b * 15 + {_PLACE_4}[i + 1]]', 'i')} END) AS c FROM (SELECT p, (qp + 7) % 40 AS qp, v FROM {_SQL_LEVELS}), range(4) t(b)"""
+_SQL_EIGHT = f"SELECT p * 64 + b AS key, qp, list_transform(range(64), lambda i: {_sql_scale(f'v[b * 64 + {_PLACE_8}[i + 1] + 1]', 'i', True)}) AS c FROM {_SQL_LEVELS}, range(4) t(b) WHERE p % 3 = 1"
+
+
+@query(
+    catalog._sql_both_ways(4, catalog._sql_line_4, "({0} + 32) >> 6").replace(sql_lines(16), f"({_SQL_PLAIN} UNION ALL {_SQL_APART} UNION ALL {_SQL_CHROMA})")
+    + " UNION ALL "
+    + catalog._sql_both_ways(8, catalog._sql_line_8, "({0} + 32) >> 6").replace(sql_lines(64), f"({_SQL_EIGHT})")
+)
+def macroblock_residuals(spark, sf_dir):
+    """Residuals of macroblocks of all three kinds and of a chroma plane, a row for each block."""
+    p = F.col("p_partkey")
+    level = F.transform(F.sequence(F.lit(0), F.lit(319)), lambda i: F.when((p + i * 7) % 5 == 0, (p * (i % 11 + 3) + i * i) % 61 - 30).otherwise(0).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, residuals.KINDS)), (p % 3 + 1).cast("int"))
+    flat = F.array_repeat(F.lit(16), 16), F.array_repeat(F.lit(16), 64)
+    rows = made_once(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("qp")), v=level)
+    rows = rows.select("p_partkey", "qp", residuals.macroblock_residual(kind, F.slice("v", 1, 256), F.col("qp"), *flat).alias("luma"), residuals.chroma_residual(F.slice("v", 257, 64), (F.col("qp") + 7) % 40, flat[0]).alias("chroma"))
+
+    def block(plane: str, b: Column, n: Column, column: Column, row: Column, side: int) -> Column:
+        return joined(F.transform(F.sequence(F.lit(0), n * n - 1), lambda i: F.get(F.col(plane), (row * n + F.floor(i / n)).cast("int") * side + (column * n + i % n).cast("int"))))
+
+    eight = p % 3 == 1
+    numbers = F.sequence(F.lit(0), F.when(eight, 3).otherwise(15))
+
+    def luma(b: Column) -> Column:
+        n = F.when(eight, 8).otherwise(4)
+        column = F.when(eight, b % 2).otherwise(F.floor(b / 4) % 2 * 2 + b % 2)
+        row = F.when(eight, F.floor(b / 2)).otherwise(F.floor(b / 8) * 2 + F.floor(b / 2) % 2)
+        return F.struct((p * 64 + b).alias("key"), F.col("qp").alias("qp"), block("luma", b, n, column, row, 16).alias("result"))
+
+    def chroma(b: Column) -> Column:
+        return F.struct((p * 64 + 16 + b).alias("key"), ((F.col("qp") + 7) % 40).alias("qp"), block("chroma", b, F.lit(4), b % 2, F.floor(b / 2), 8).alias("result"))
+
+    return rows.select(F.explode(F.concat(F.transform(numbers, luma), F.transform(F.sequence(F.lit(0), F.lit(3)), chroma))).alias("r")).select("r.*")
 
 
 @query(f"""SELECT key, len(list_filter(c, lambda x: x <> 0))::BIGINT AS coefficients, list_max(list_transform(c[2:], lambda x: abs(x))) > 0 AS has_ac,
@@ -348,10 +402,10 @@ def modified_lists(spark, sf_dir):
 
 @catalog.query(None)
 def bumped_output(spark, sf_dir):
-    """Output by bumping from a buffer of four with marking commands; a state machine, so without SQL: tests hold it against a plain version."""
+    """Output by bumping from a buffer of four with marking commands 1 to 6; a state machine, so without SQL: tests hold it against a plain version."""
     pics = S.idr_periods(stream_catalog.events(spark, sf_dir)).withColumn("poc", F.col("at") * 7 % 101)
-    command = F.struct(F.when(F.col("at") % 6 == 1, 4).otherwise(F.col("at") % 6).cast("int").alias("op"), (F.col("at") % 3).cast("int").alias("a"), (F.col("at") % 2).cast("int").alias("b"))
-    commands = F.when((F.col("at") % 4 == 0) & (F.col("at") % 6 != 0), F.array(command))
+    command = F.struct((F.floor(F.col("at") / 4) % 7).cast("int").alias("op"), (F.col("at") % 3).cast("int").alias("a"), (F.col("at") % 2).cast("int").alias("b"))
+    commands = F.when((F.col("at") % 4 == 0) & (F.floor(F.col("at") / 4) % 7 != 0), F.array(command))
     pics = pics.withColumn("stream_id", F.concat(F.lit("user "), "stream_id")).withColumn("commands", commands).withColumn("long_term", F.col("is_idr") & (F.col("at") % 2 == 0))
     return dpb.bump_order(pics, 4, 16, 3)
 

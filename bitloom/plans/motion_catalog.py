@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitloom.operators import colocated, compensation, frames, motion
+from bitloom.operators import bitmaps, colocated, compensation, frames, motion
 from bitloom.operators import macroblocks as M
 from bitloom.plans.catalog import joined, table
 from bitloom.plans import sequence as S
@@ -242,3 +242,26 @@ def colocated_vectors(spark, sf_dir):
     )
     wanted = blocks.where(at % 2 == 1).select("stream_id", "picture_id", "slice_id", "bx", "by")
     return colocated.temporal_vectors(wanted, slices, colocated.motion_field(blocks, slices)).withColumnRenamed("by", "block_row")
+
+
+# Pictures of 480 macroblocks for each supplier, in three slices, every seventh complete and every tenth of two maps.
+_SQL_COVERED = """(SELECT l_suppkey AS picture_id, l_linenumber % 3 AS slice_id, CASE WHEN l_suppkey % 10 = 0 THEN 32500 ELSE 0 END + l_orderkey % 600 - 30 AS mb FROM lineitem
+  UNION ALL SELECT l_suppkey, 3, i FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey % 7 = 0), range(480) t(i))"""
+_SQL_SIZE = "CASE WHEN picture_id % 10 = 0 THEN 33000 ELSE 480 END"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT *, {_SQL_SIZE} AS size FROM {_SQL_COVERED} WHERE mb >= 0 AND mb < {_SQL_SIZE}),
+n AS (SELECT picture_id, count(DISTINCT mb) AS covered, count(*) - count(DISTINCT mb) AS overlapping FROM b GROUP BY 1),
+g AS (SELECT p.picture_id, min(i) AS first_gap FROM (SELECT DISTINCT picture_id, {_SQL_SIZE} AS size FROM {_SQL_COVERED}) p JOIN range(33000) t(i) ON i < p.size LEFT JOIN (SELECT DISTINCT picture_id, mb FROM b) x ON x.picture_id = p.picture_id AND x.mb = i WHERE x.mb IS NULL GROUP BY 1)
+SELECT 'suppliers' AS stream_id, p.picture_id, p.size::BIGINT AS size, coalesce(covered, 0) AS covered, coalesce(overlapping, 0) AS overlapping, first_gap
+FROM (SELECT DISTINCT picture_id, {_SQL_SIZE} AS size FROM {_SQL_COVERED}) p LEFT JOIN n USING (picture_id) LEFT JOIN g USING (picture_id)""")
+def coverage_bitmaps(spark, sf_dir):
+    """Macroblocks of pictures that are there, that overlap, and the first that is missing."""
+    lines = table(spark, sf_dir, "lineitem")
+    far = F.when(F.col("l_suppkey") % 10 == 0, 32500).otherwise(0)
+    some = lines.select(F.col("l_suppkey").alias("picture_id"), (F.col("l_linenumber") % 3).alias("slice_id"), (far + F.col("l_orderkey") % 600 - 30).alias("mb"))
+    pictures = some.select("picture_id").distinct()
+    whole = pictures.where("picture_id % 7 = 0").select("picture_id", F.lit(3).alias("slice_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(479).cast("long"))).alias("mb"))
+    blocks = some.unionByName(whole).withColumn("stream_id", F.lit("suppliers"))
+    sizes = pictures.select(F.lit("suppliers").alias("stream_id"), "picture_id", F.when(F.col("picture_id") % 10 == 0, 33000).otherwise(480).cast("long").alias("size"))
+    return bitmaps.coverage(blocks, sizes)
