@@ -1,9 +1,9 @@
-"""Header syntax as data: a table of elements that is read from a payload, or written, row by row.
+"""Header syntax as data: a table of elements that is read from a payload, or written.
 
 Each element has a name, a kind, a length and a condition on an element before
 it. A header of 250 elements is a long interpreted expression but a short loop,
-so whole Arrow batches of headers go through one small function; what comes
-before and after (finding units, sets by id, slices by stream) is DataFrame
+so whole Arrow batches of headers go through one small function, which takes an
+element of all rows at a time (``columnar``); what comes before and after (finding units, sets by id, slices by stream) is DataFrame
 work. An element takes 64 bits at most, so ``longest`` bounds a table's bytes.
 
 Kinds: u (n bits), v (as many bits as another element says), ue, se, one (no
@@ -16,10 +16,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bitloom.functions import columnar
+
 
 class Element(NamedTuple):
     name: str
@@ -106,15 +109,20 @@ def parse(bits: Column, table: list[Element] | dict[str, list[Element]], given:
 
     @F.arrow_udf("struct<pos:int,vals:map<string,bigint>,ok:boolean,bad:string>")
     def run(rows: pa.Array, known: pa.Array, keys: pa.Array) -> pa.Array:
-        out = []
-        for text, pairs, k in zip(rows.to_pylist(), known.to_pylist(), keys.to_pylist()):
-            if text is None or k not in tables:
-                out.append(None)
-                continue
-            vals = {name: v for name, v in pairs or () if v is not None}
-            pos, ok, bad = _read(text, tables[k], vals)
-            out.append({"pos": pos, "vals": list(vals.items()), "ok": ok, "bad": bad})
-        return pa.array(out, _PARSED)
+        names = np.array(keys.to_pylist(), object)
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        parts, places = [], []
+        for k, elements in tables.items():
+            at = np.flatnonzero(there & (names == k))
+            if len(at):
+                chosen = pa.array(at)
+                parts.append(columnar.read(rows.take(chosen), elements, known.take(chosen), RANGES))
+                places.append(at)
+        if not parts:
+            return pa.nulls(len(rows), _PARSED)
+        order = np.full(len(rows), -1)
+        order[np.concatenate(places)] = np.arange(sum(map(len, places)))
+        return pa.concat_arrays([p.cast(_PARSED) for p in parts]).take(pa.array(order, mask=order < 0))
 
     given = F.create_map().cast("map<string,bigint>") if given is None else given
     return run(bits, given, F.lit("") if key is None else key)
@@ -176,8 +184,16 @@ def write(vals: Column, table: list[Element] | dict[str, list[Element]], key: Co
 
     @F.arrow_udf("string")
     def run(rows: pa.Array, keys: pa.Array) -> pa.Array:
-        pairs = zip(rows.to_pylist(), keys.to_pylist())
-        return pa.array([_put(tables[k], {n: v for n, v in row if v is not None}) if row is not None and k in tables else None for row, k in pairs], pa.string())
+        names = np.array(keys.to_pylist(), object)
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        order, parts, done = np.full(len(rows), -1), [pa.array([], pa.string())], 0
+        for k, elements in tables.items():
+            at = np.flatnonzero(there & (names == k))
+            if len(at):
+                parts.append(columnar.write(rows.take(pa.array(at)), elements))
+                order[at] = np.arange(done, done + len(at))
+                done += len(at)
+        return pa.concat_arrays(parts).take(pa.array(order, mask=order < 0))
 
     return run(vals, F.lit("") if key is None else key)
 
