@@ -358,3 +358,47 @@ def slice_header_roundtrip(spark, sf_dir):
     rows = rows.select("key", "small", B.trailing(X.write(as_map(known | vals), syntax)).alias("bits"))
     rows = made_once(rows, p=X.parse(F.col("bits"), syntax, as_map(known))).where("p.ok")
     return rows.select("key", "small", *(F.col("p.vals")[k].alias(k) for k in vals if k not in ("pps_id", "first_mb")))
+
+
+# Headers as bits that the SQL writes out field by field, in the order of the standard, without the syntax tables.
+def _sql_ue(value: str) -> str:
+    return f"(repeat('0', length(bin({value} + 1)) - 1) || bin({value} + 1))"
+
+
+def _sql_se(value: str) -> str:
+    return _sql_ue(f"(CASE WHEN ({value}) > 0 THEN 2 * ({value}) - 1 ELSE -2 * ({value}) END)::BIGINT")
+
+
+def _sql_u(value: str, n: int) -> str:
+    return f"lpad(bin(({value})::BIGINT), {n}, '0')"
+
+
+_SQL_SPS_BITS = " || ".join([
+    "'01001101' || '00000000' || '00101000'", _sql_ue("p_partkey % 32"), _sql_ue("p_size % 13"), "'010' || '0'", _sql_se("p_size - 25"), "'1' || '011'", _sql_se("p_partkey % 1000 - 500"), _sql_se("-(p_partkey % 7)"),
+    _sql_ue("p_size % 16"), "'0'", _sql_ue("p_partkey"), _sql_ue("p_size"), "'1' || '0'", f"CASE WHEN p_partkey % 2 = 1 THEN '1' || {_sql_ue('p_size % 5')} || '1' || '1' || {_sql_ue('p_size % 3')} ELSE '0' END",
+    "'1' || '0' || '0' || '0' || '0' || '1' || repeat('0', 32)", _sql_u("p_partkey * 2000003 % 4294967296", 32), "'0' || '0' || '0' || '0' || '0'",
+])
+
+
+@query(f"SELECT p_partkey, {_SQL_SPS_BITS} AS bits FROM part")
+def sps_bits(spark, sf_dir):
+    """Sequence sets as bits."""
+    vals = _SPS_VALUES | {k: f"CASE WHEN p_partkey % 2 = 1 THEN {e} END" for k, e in _SPS_CROP.items()}
+    given = F.create_map(*(x for k, v in vals.items() for x in (F.lit(k), F.expr(v).cast("long"))))
+    return table(spark, sf_dir, "part").select("p_partkey", X.write(given, X.SPS).alias("bits"))
+
+
+_SQL_SLICE_BITS = " || ".join([
+    _sql_ue("middle"), "'00111'", _sql_ue("small"), _sql_u("large % 256", 8), _sql_u("middle % 256", 8), _sql_se("small - 4"), "bin(large % 2) || '1' || '010' || '1'",
+    "'1' || '1'", _sql_ue("middle"), "'011'", _sql_ue("small"), "'00100' || '0'", "'00110' || '1' || '0' || '0' || '1'", _sql_se("large % 256 - 128"), _sql_se("-small"), "'0' || '0' || '1' || '1' || '1' || '1'", _sql_se("small"),
+    "'1' || '010'", _sql_ue("middle"), "'00100'", _sql_ue("small"), "'011' || '1'", _sql_ue("small % 3"), _sql_se("middle % 51 - 25"), "'1'", _sql_se("small - 4"), _sql_se("4 - small"),
+])
+
+
+@query(f"SELECT key, {_SQL_SLICE_BITS} AS bits FROM (SELECT l_orderkey * 8 + l_linenumber AS key, l_linenumber::BIGINT AS small, l_suppkey::BIGINT AS middle, l_partkey::BIGINT AS large FROM lineitem)")
+def slice_header_bits(spark, sf_dir):
+    """Headers of weighted B slices with reordering and marking commands as bits."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), *(F.col(c).cast("long").alias(k) for k, c in (("small", "l_linenumber"), ("middle", "l_suppkey"), ("large", "l_partkey"))))
+    vals = {k: F.lit(v) for k, v in _SLICE_GIVEN.items()} | {k: F.expr(e) for k, e in _SLICE_VALUES.items()}
+    given = F.create_map(*(x for k, v in vals.items() for x in (F.lit(k), v.cast("long"))))
+    return rows.select("key", X.write(given, X.SLICE_TABLES["Bw"]).alias("bits"))
