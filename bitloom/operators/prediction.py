@@ -33,6 +33,11 @@ def _edge(top: Column, left: Column, corner: Column):
     return at
 
 
+def with_upper_right(top: Column, there: Column) -> Column:
+    """The eight samples above a block; where those above and to the right are missing, the fourth stands in for them."""
+    return F.when(there, top).otherwise(F.concat(F.slice(top, 1, 4), F.array_repeat(top[3], 4)))
+
+
 def intra_4x4(mode: str, top: Column, left: Column, corner: Column, has_top: Column | bool = True, has_left: Column | bool = True) -> Column:
     """A 4x4 prediction, row by row. ``top`` has eight samples, ``left`` four; modes by their direction. Only dc does without an edge."""
     e = _edge(top, left, corner)

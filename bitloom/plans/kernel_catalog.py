@@ -52,6 +52,17 @@ def intra_dc_edges(spark, sf_dir):
     return samples(spark, sf_dir, 16).select("p_partkey", *(v[0].cast("long").alias(k) for k, v in made.items()), quarters.alias("chroma"))
 
 
+_SQL_STOOD_IN = f"(SELECT p_partkey, l, m, CASE WHEN p_partkey % 3 = 0 THEN t ELSE [t[1], t[2], t[3], t[4], t[4], t[4], t[4], t[4]] END AS t FROM {sql_samples(8)})"
+
+
+@query(f"""SELECT p_partkey, {", ".join(f"array_to_string([{', '.join(catalog._sql_intra_4x4(m))}], ',') AS {m}" for m in ("down_left", "vertical_left"))} FROM {_SQL_STOOD_IN}""")
+def intra4x4_upper_right(spark, sf_dir):
+    """The modes that look above and to the right, where there is nothing for two blocks of three."""
+    top = prediction.with_upper_right(F.col("top"), F.col("p_partkey") % 3 == 0)
+    rows = made_once(samples(spark, sf_dir, 8), above=top)
+    return rows.select("p_partkey", *(joined(prediction.intra_4x4(m, F.col("above"), F.col("beside"), F.col("corner"))).alias(m) for m in ("down_left", "vertical_left")))
+
+
 def _sql_tap(v: list[str]) -> str:
     return f"({v[0]} - 5 * {v[1]} + 20 * {v[2]} + 20 * {v[3]} - 5 * {v[4]} + {v[5]})"
 
