@@ -7,7 +7,7 @@ it runs where the bytes are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LATIN = "ISO-8859-1"
@@ -18,17 +18,24 @@ def read_streams(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), "content")
 
 
-def nal_units(streams: DataFrame) -> DataFrame:
+def nal_units(streams: DataFrame, counts: Observation | None = None) -> DataFrame:
     """(stream_id, content) -> stream_id, nal_idx (from 0), nal.
 
     A start code is two zero bytes or more and a one. What comes before the
     first is dropped, so are zeros at the end of a unit and empty units. A null
     content has no units. Runs of zeros are matched from their first zero only,
     so a long one is read once.
+
+    ``counts`` is filled in the same pass, when the result is first written or
+    collected: streams, start_codes, units and empty (start codes without a unit).
     """
     text = F.decode("content", LATIN)
     pieces = F.split(text, r"(?<!\x00)\x00{2,}+\x01")
     units = F.filter(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: F.regexp_replace(p, r"(?<!\x00)\x00++\z", "")), lambda p: p != "")
+    if counts is not None:
+        streams = streams.select("stream_id", "content", F.coalesce(F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(0)).alias("codes"), F.coalesce(F.size(units), F.lit(0)).alias("kept"))
+        found = F.coalesce(F.sum("codes"), F.lit(0)), F.coalesce(F.sum("kept"), F.lit(0))
+        streams = streams.observe(counts, F.count("*").alias("streams"), found[0].alias("start_codes"), found[1].alias("units"), (found[0] - found[1]).alias("empty"))
     return streams.select("stream_id", F.posexplode(units).alias("nal_idx", "unit")).select("stream_id", "nal_idx", F.encode("unit", LATIN).alias("nal"))
 
 
@@ -70,10 +77,16 @@ def byte_at(data: Column, i: int | Column) -> Column:
     return F.conv(F.hex(F.substring(data, at, F.lit(1))), 16, 10).cast("int")
 
 
-def headers(units: DataFrame) -> DataFrame:
-    """nal_units with nal_ref_idc, nal_unit_type and rbsp; units with the forbidden bit set have an error."""
+def headers(units: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """nal_units with nal_ref_idc, nal_unit_type and rbsp; units with the forbidden bit set have an error.
+
+    ``counts`` is filled in the same pass: units, forbidden, sets, slices, and bare (units of a header alone).
+    """
     fields = nal_header(byte_at(F.col("nal"), 0))
     units = units.select("*", *(v.alias(k) for k, v in fields.items()))
+    if counts is not None:
+        kind = F.col("nal_unit_type")
+        units = units.observe(counts, F.count("*").alias("units"), F.count_if(F.col("forbidden") == 1).alias("forbidden"), F.count_if(kind.isin(7, 8)).alias("sets"), F.count_if(kind.isin(1, 5)).alias("slices"), F.count_if(F.length("nal") == 1).alias("bare"))
     rbsp = unescape(F.substring(F.col("nal"), F.lit(2), F.length("nal")))
     return units.select("stream_id", "nal_idx", "nal_ref_idc", "nal_unit_type", rbsp.alias("rbsp"), F.when(F.col("forbidden") == 1, "forbidden bit set").alias("error"))
 
