@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitloom.operators import bitmaps, colocated, compensation, frames, motion
+from bitloom.operators import bitmaps, colocated, compensation, frames, motion, wavefront
 from bitloom.operators import macroblocks as M
 from bitloom.plans.catalog import joined, table
 from bitloom.plans import sequence as S
@@ -265,3 +266,43 @@ def coverage_bitmaps(spark, sf_dir):
     blocks = some.unionByName(whole).withColumn("stream_id", F.lit("suppliers"))
     sizes = pictures.select(F.lit("suppliers").alias("stream_id"), "picture_id", F.when(F.col("picture_id") % 10 == 0, 33000).otherwise(480).cast("long").alias("size"))
     return bitmaps.coverage(blocks, sizes)
+
+
+# Slices that are one row or one column of macroblocks, where a prediction is what comes before it: sums of differences since what has no motion or, down a column, another reference.
+_SQL_LINES = """(SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY o, l, p) - 1 AS mb FROM (
+  SELECT l_suppkey AS slice_id, l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey % 2 = 1 AS down, CASE l_partkey % 7 WHEN 0 THEN 'intra' WHEN 1 THEN 'skip' WHEN 2 THEN 'halves' WHEN 3 THEN 'halves' ELSE 'whole' END AS kind FROM lineitem))"""
+
+
+@query(f"""WITH mbs AS {_SQL_LINES}, parts AS (
+  SELECT slice_id, mb, 0 AS half, down, kind, CASE kind WHEN 'intra' THEN -1 WHEN 'skip' THEN 0 ELSE o % 2 END AS ref, CASE WHEN kind IN ('intra', 'skip') THEN 0 ELSE p % 41 - 20 END AS dx, CASE WHEN kind IN ('intra', 'skip') THEN 0 ELSE o % 31 - 15 END AS dy FROM mbs
+  UNION ALL SELECT slice_id, mb, 1, down, kind, l % 2, l * 3 - 10, p % 13 - 6 FROM mbs WHERE kind = 'halves'),
+marked AS (SELECT *, CASE WHEN kind IN ('intra', 'skip') OR (down AND ref <> lag(ref) OVER w) THEN 1 ELSE 0 END AS fresh FROM parts WINDOW w AS (PARTITION BY slice_id ORDER BY mb, half)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY slice_id ORDER BY mb, half) AS run FROM marked),
+moved AS (SELECT *, sum(dx) OVER w AS x, sum(dy) OVER w AS y FROM runs WINDOW w AS (PARTITION BY slice_id, run ORDER BY mb, half))
+SELECT slice_id, mb::INT AS mb, max(CASE WHEN half = 0 THEN ref END)::INT AS ref_first, max(CASE WHEN half = 0 THEN x END)::INT AS x_first, max(CASE WHEN half = 0 THEN y END)::INT AS y_first,
+  arg_max(ref, half)::INT AS ref_last, arg_max(x, half)::INT AS x_last, arg_max(y, half)::INT AS y_last FROM moved GROUP BY slice_id, mb""")
+def slice_motion(spark, sf_dir):
+    o, line, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    kind = F.expr("CASE l_partkey % 7 WHEN 0 THEN 'intra' WHEN 1 THEN 'skip' WHEN 2 THEN 'halves' WHEN 3 THEN 'halves' ELSE 'whole' END")
+    one = F.struct(o.alias("o"), line.alias("l"), p.alias("p"), kind.alias("kind"))
+    slices = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("slice_id")).agg(F.array_sort(F.collect_list(one)).alias("mbs"))
+    down = F.col("slice_id") % 2 == 1
+
+    def parts(m: Column, i: Column) -> Column:
+        first = dict(ref0=m["o"] % 2, x0=m["p"] % 41 - 20, y0=m["o"] % 31 - 15)
+        last = dict(ref0=m["l"] % 2, x0=m["l"] * 3 - 10, y0=m["p"] % 13 - 6)
+        across = F.array(wavefront.part(i, "8x16", 0, 0, 2, 4, **first), wavefront.part(i, "8x16", 2, 0, 2, 4, **last))
+        stacked = F.array(wavefront.part(i, "16x8", 0, 0, 4, 2, **first), wavefront.part(i, "16x8", 0, 2, 4, 2, **last))
+        halves = F.when(down, stacked).otherwise(across)
+        none = F.array().cast(f"array<struct<{wavefront.PART}>>")
+        return F.when(m["kind"] == "intra", none).when(m["kind"] == "skip", F.array(wavefront.part(i, "skip"))).when(m["kind"] == "halves", halves).otherwise(F.array(wavefront.part(i, "median", **first)))
+
+    mbs = F.col("mbs")
+    slices = slices.select(
+        "slice_id", F.when(down, 1).otherwise(F.size(mbs)).alias("width"), F.lit(0).alias("first_mb"), F.transform(mbs, lambda m: m["kind"] == "intra").alias("intra"),
+        F.transform(mbs, lambda m: F.lit(0)).alias("still"), F.flatten(F.transform(mbs, parts)).alias("parts"),
+    )
+    numbers = F.sequence(F.lit(0), (F.size("blocks") / 16).cast("int") - 1)
+    made = wavefront.slice_motion(slices).select("slice_id", "blocks", F.explode(numbers).alias("mb"))
+    ends = {"first": F.get("blocks", F.col("mb") * 16), "last": F.get("blocks", F.col("mb") * 16 + 15)}
+    return made.select("slice_id", "mb", *(at[c].alias(f"{c[:-1] if c[-1].isdigit() else c}_{name}") for name, at in ends.items() for c in ("ref0", "x0", "y0")))
