@@ -134,6 +134,10 @@ def read(texts: pa.Array, table: list, known: pa.Array, ranges: dict[str, tuple[
             for name in reversed(e.length.split()):
                 there, found = _column(vals, name, rows)
                 value, whole = np.where(there, found, value), whole | there
+        elif e.kind == "skip":
+            (whole, count), (_, size) = (_column(vals, name, rows) for name in e.length.split())
+            end = at + (count + 1) * size
+            value, whole = np.ones(len(rows), np.int64), whole & (end <= bits.size[rows])
         elif e.kind == "fail":
             whole = np.zeros(len(rows), bool)
         else:
@@ -219,4 +223,7 @@ def write(maps: pa.Array, table: list) -> pa.Array:
                 value = (value - _column(known, e.length, rows)[1] + 128) % 256 - 128
             code = (value if e.kind == "ue" else np.where(value > 0, 2 * value - 1, -2 * value)) + 1
             pieces.put(rows, code, 2 * _bit_length(code) - 1)
+        elif e.kind == "skip":
+            (_, count), (_, size) = (_column(known, name, rows) for name in e.length.split())
+            pieces.size[rows] += (count + 1) * size
     return pieces.as_texts()

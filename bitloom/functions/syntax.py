@@ -9,7 +9,9 @@ work. An element takes 64 bits at most, so ``longest`` bounds a table's bytes.
 Kinds: u (n bits), v (as many bits as another element says), ue, se, one (no
 bits, value 1), more (no bits, whether payload is left before the stop bit),
 either (no bits, the first of some elements that is there), scale (a signed
-step from the value of another element, modulo 256), fail (cannot be read).
+step from the value of another element, modulo 256), skip (as many values, one
+more than an element says, of as many bits as another says, which are passed
+over, and written as zeros; n values at most), fail (cannot be read).
 """
 
 from __future__ import annotations
@@ -39,14 +41,16 @@ RANGES = {
     "log2_max_poc_lsb_minus4": (0, 12), "num_ref_frames_in_cycle": (0, 255), "nal_cpb_cnt": (0, 31), "vcl_cpb_cnt": (0, 31), "num_slice_groups_minus1": (0, 7), "slice_group_map_type": (0, 6),
     "num_ref_l0_default_minus1": (0, 31), "num_ref_l1_default_minus1": (0, 31), "weighted_bipred_idc": (0, 2), "init_qp_minus26": (-62, 25), "init_qs_minus26": (-26, 25), "chroma_qp_offset": (-12, 12),
     "second_chroma_qp_offset": (-12, 12), "slice_type": (0, 9), "num_ref_l0_minus1": (0, 31), "num_ref_l1_minus1": (0, 31), "luma_log2_denominator": (0, 7), "chroma_log2_denominator": (0, 7),
-    "cabac_init_idc": (0, 2), "deblock_idc": (0, 2), "alpha_div2": (-6, 6), "beta_div2": (-6, 6),
+    "slice_group_count_minus1": (0, 139_263), "cabac_init_idc": (0, 2), "deblock_idc": (0, 2), "alpha_div2": (-6, 6), "beta_div2": (-6, 6),
 }
+#: Bits of a slice group's number at most.
+GROUP_BITS = 3
 _PARSED = pa.struct([("pos", pa.int32()), ("vals", pa.map_(pa.string(), pa.int64())), ("ok", pa.bool_()), ("bad", pa.string())])
 
 
 def longest(table: list[Element]) -> int:
     """Bytes that a table's elements take at most."""
-    return -(-sum(64 if e.kind in ("ue", "se", "scale", "v") else e.n for e in table) // 8)
+    return -(-sum(64 if e.kind in ("ue", "se", "scale", "v") else e.n * GROUP_BITS if e.kind == "skip" else e.n for e in table) // 8)
 
 
 def _applies(e: Element, vals: dict[str, int]) -> bool:
@@ -87,6 +91,11 @@ def _read(bits: str, table: list[Element], vals: dict[str, int]) -> tuple[int, b
                 value = (vals[e.length] + value) % 256 if e.kind == "scale" else value
             elif e.kind == "either":
                 value = next(vals[name] for name in e.length.split() if name in vals)
+            elif e.kind == "skip":
+                count, size = (vals[name] for name in e.length.split())
+                value, pos = 1, pos + (count + 1) * size
+                if pos > len(bits):
+                    raise EOFError
             elif e.kind == "fail":
                 raise EOFError
             else:
@@ -171,6 +180,9 @@ def _put(table: list[Element], vals: dict[str, int]) -> str:
         elif e.kind in ("se", "scale"):
             step = value if e.kind == "se" else (value - known[e.length] + 128) % 256 - 128
             out.append(_put_ue(2 * step - 1 if step > 0 else -2 * step))
+        elif e.kind == "skip":
+            count, size = (known[name] for name in e.length.split())
+            out.append("0" * ((count + 1) * size))
     return "".join(out)
 
 
@@ -314,7 +326,9 @@ PPS = [
     *(Element(f"{name}_{i}", "ue", when=("slice_group_map_type", 2, 2), also=("num_slice_groups_minus1", i + 1, 7)) for i in range(7) for name in ("top_left", "bottom_right")),
     *_u(1, "slice_group_change_direction", when=("slice_group_map_type", 3, 5)),
     *_ue("slice_group_change_rate_minus1", when=("slice_group_map_type", 3, 5)),
-    Element("slice_group_ids", "fail", when=("slice_group_map_type", 6, 6)),
+    *_ue("slice_group_count_minus1", when=("slice_group_map_type", 6, 6)),
+    *(Element("slice_group_bits", "one", bits, ("num_slice_groups_minus1", low, high), also=("slice_group_map_type", 6, 6)) for bits, low, high in ((1, 1, 1), (2, 2, 3), (3, 4, 7))),
+    Element("slice_group_ids", "skip", 139_264, ("slice_group_map_type", 6, 6), "slice_group_count_minus1 slice_group_bits"),
     *_ue("num_ref_l0_default_minus1", "num_ref_l1_default_minus1"),
     *_u(1, "weighted_pred"),
     *_u(2, "weighted_bipred_idc"),

@@ -98,7 +98,10 @@ def slice_headers(units: DataFrame) -> DataFrame:
         .when(s["frame_mbs_only"] != 1, "fields are not supported")
         .when(F.coalesce(s["chroma_format_idc"], F.lit(1)) != 1, "chroma format is not supported")
         .when((F.coalesce(s["bit_depth_luma_minus8"], F.lit(0)) != 0) | (F.coalesce(s["bit_depth_chroma_minus8"], F.lit(0)) != 0), "bit depth is not supported")
+        .when(s["gaps_allowed"] == 1, "gaps in frame numbers are not supported")
         .when(p["num_slice_groups_minus1"] != 0, "slice groups are not supported")
+        .when(p["constrained_intra"] == 1, "constrained intra prediction is not supported")
+        .when(F.col("h.bad").rlike("_too_many$"), "more commands or entries than there may be")
         .when(~F.col("h.ok"), F.when(F.col("h.bad").isin(*X.RANGES), F.concat(F.lit("out of range: "), F.col("h.bad"))).otherwise("header cut off"))
         .when(F.col("h.vals")["redundant_pic_cnt"] > 0, "redundant slices are not supported")
     )

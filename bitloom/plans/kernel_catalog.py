@@ -444,3 +444,78 @@ def y4m_files(spark, sf_dir):
     frames = y4m.planes(pcm.decode(stream_catalog.pcm_streams(spark, sf_dir)), stream_catalog.WIDTH)
     sizes = frames.groupBy("stream_id").agg(F.first("width").alias("width"), F.first("height").alias("height"))
     return y4m.files(frames).join(sizes, "stream_id").select("stream_id", F.col("width").cast("int"), F.col("height").cast("int"), F.length("content").cast("long").alias("bytes"))
+
+
+# Every reason: each brand's streams get three more units (7: a sequence set, 8: a picture set, 9: a slice) and up to two more, of which one thing is not decoded.
+_REASONS = [
+    {9: "no parameter set"},
+    {9: "parameter set not usable"},
+    {9: "slice type is not supported"},
+    {9: "fields are not supported"},
+    {9: "chroma format is not supported"},
+    {9: "bit depth is not supported"},
+    {9: "slice groups are not supported"},
+    {9: "slice groups are not supported"},
+    {9: "out of range: deblock_idc"},
+    {9: "header cut off"},
+    {9: "redundant slices are not supported"},
+    {9: "gaps in frame numbers are not supported"},
+    {9: "constrained intra prediction is not supported"},
+    {9: "arithmetic coding is not decoded"},
+    {9: "B slices are not decoded"},
+    {9: "intra macroblocks other than raw ones are not decoded"},
+    {9: "reordered or weighted references are not decoded"},
+    {9: "inter macroblocks other than skipped ones are not decoded"},
+    {9: "slices overlap or leave a gap"},
+    {9: "picture is not complete"},
+    {9: "another slice of the picture is not decoded", 10: "intra macroblocks other than raw ones are not decoded"},
+    {9: "intra macroblocks other than raw ones are not decoded", 10: "refers to a picture that is not decoded"},
+    {9: "picture is not complete", 11: "slices overlap or leave a gap"},
+    {9: "more commands or entries than there may be"},
+    {},
+]
+_SQL_REASONS = ", ".join(f"({k}, {at}, '{error}')" for k, errors in enumerate(_REASONS) for at, error in errors.items())
+_CASE = "(regexp_extract({0}, '[0-9]+', 0)::INT // 10 - 1) * 5 + regexp_extract({0}, '[0-9]+', 0)::INT % 10 - 1"
+
+
+@query(f"""SELECT stream_id, at::INT AS at, error FROM (SELECT DISTINCT p_brand || '/' || (p_partkey // 4096) AS stream_id, {_CASE.format("p_brand")} AS k FROM part)
+JOIN (VALUES {_SQL_REASONS}) r(k, at, error) USING (k)""")
+def decode_reasons(spark, sf_dir):
+    """Streams of two by two macroblocks after the brand's own, each with one thing that is not decoded; codes are written as bits."""
+    brand = F.regexp_extract("stream_id", "[0-9]+", 0).cast("int")
+    streams = stream_catalog.pcm_streams(spark, sf_dir).select("stream_id", "content", (F.floor(brand / 10) * 5 - 5 + brand % 10 - 1).cast("int").alias("k"))
+    k = F.col("k")
+
+    def pick(default: str, **other: str) -> Column:
+        out = F.lit(default)
+        for case, value in other.items():
+            out = F.when(k == int(case[1:]), F.lit(value)).otherwise(out)
+        return out
+
+    def bits(*parts: Column | str) -> Column:
+        return B.from_bits(B.trailing(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))))
+
+    one, two = "010", "011"
+    # Two by two macroblocks, set 1: profile (with chroma format, depths and flags where it is High), numbers of four bits, one reference, frames.
+    main, high = f"{66:08b}", f"{100:08b}"
+    sps = bits(
+        pick(main, c4=high, c5=high), f"{0:08b}{40:08b}", one, pick("", c4=two + "1100", c5=one + one + "100"), "111", one, pick("0", c11="1"), one, one,
+        pick("1", c3="00"), "1000",
+    )
+    groups = pick("1", c1="0001010", c6=one + "1" + "1" + "1", c7=one + "00111" + "00100" + "0101")
+    pps = bits(one + one, pick("00", c13="10"), groups, "11" + "0" + "00" + "111" + "1", pick("0", c12="1"), pick("0", c10="1"))
+    kind = pick("00110", c2="0001010", c14="00111", c15="0001000", c20="00110", c21="0001000")
+    start = F.concat(pick("1", c18=one), kind, pick(one, c0="00110"))
+    count = F.concat(F.lit("00110110"), pick("", c10=one))
+    lists = pick("00", c14="1000", c15="", c16="01" + "11" + "00100", c21="")
+    marking = pick("0", c23="1" + "001011" * 40)
+    end = F.concat(pick("", c13="1"), F.lit("1"), pick(one, c8="00100"))
+    half = (k == 19) | (k == 20) | (k == 22)
+    data = F.when(k == 17, "1" + "1" * 20).when(k.isin(15, 21), "1").when(half, two).when(k == 18, "00100").otherwise("00101")
+    slice_ = F.when(k == 9, bits(start)).otherwise(bits(start, count, lists, marking, end, data))
+    second = bits(two, "0001000", one, "00110110", "0", "1", one, "1")
+    after = bits("1", "00110", one, "01001000", "00", "0", "1", one, "00101")
+    rest = bits(two, "00110", one, "00110110", "00", "0", "1", one, two)
+    more = F.when(k == 20, annexb.unit(3, 1, second)).when(k == 21, annexb.unit(3, 1, after)).when(k == 22, F.concat(annexb.unit(0, 10, F.unhex(F.lit(""))), annexb.unit(3, 1, rest))).otherwise(F.unhex(F.lit("")))
+    content = F.concat("content", annexb.unit(3, 7, sps), annexb.unit(3, 8, pps), annexb.unit(3, 1, slice_), more)
+    return pcm.errors(streams.select("stream_id", content.alias("content"))).select("stream_id", F.col("at").cast("int").alias("at"), "error")

@@ -21,6 +21,8 @@ LUMA, CHROMA = 256, 64
 MB_BYTES = LUMA + 2 * CHROMA
 #: Code number of the raw macroblock type in an I slice.
 PCM_TYPE = 25
+#: Types of the units that end a sequence and a stream.
+ENDS = (10, 11)
 #: That code, 000011010, filled up to whole bytes, in hexadecimal.
 PCM_MARK = "0D00"
 
@@ -115,9 +117,15 @@ def _slices(streams: DataFrame) -> DataFrame:
 def _pictures(streams: DataFrame) -> DataFrame:
     """Slices whose headers could be read with picture_id, and error of their slice or else of their picture.
 
-    Windows along a stream share one shuffle, with the payloads left in it.
+    Windows along a stream share one shuffle, with the payloads left in it. Units
+    that end a sequence or a stream end the picture before them, whatever follows.
     """
-    slices = S.pictures(_slices(streams).where("size is not null and frame_num is not null"))
+    slices = _slices(streams).where("size is not null and frame_num is not null").withColumn("end", F.lit(0))
+    ends = annexb.headers(annexb.nal_units(streams)).where(F.col("nal_unit_type").isin(*ENDS)).select("stream_id", F.col("nal_idx").alias("at"), F.lit(1).alias("end"))
+    ended = F.sum("end").over(S.so_far("stream_id"))
+    slices = slices.unionByName(ends, allowMissingColumns=True).withColumn("ended", ended).where("end = 0")
+    slices = slices.withColumn("boundary", F.coalesce(F.col("ended") > F.lag("ended").over(S.along("stream_id")), F.lit(False)))
+    slices = S.pictures(slices).drop("end", "ended", "boundary")
     one = W.partitionBy("stream_id", "picture_id")
     slices = slices.withColumn("before", F.coalesce(F.sum("n").over(one.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     place = F.when(F.col("first_mb") != F.col("before"), "slices overlap or leave a gap")

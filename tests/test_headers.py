@@ -135,3 +135,21 @@ def test_batches_agree_with_expressions(spark):
         for plain, fast in pairs:
             for r in df.select(plain(F.col("c")).alias("a"), fast(F.col("c")).alias("b"), "c").collect():
                 assert r["b"] == (r["a"] if r["c"] is not None else None)
+
+
+def test_groups_by_explicit_numbers(spark):
+    """Type 6: as many numbers of a group as there are macroblocks are passed over, and what follows is read."""
+    for groups, width in ((1, 1), (2, 2), (3, 2), (4, 3), (7, 3)):
+        vals = {"num_slice_groups_minus1": groups, "slice_group_map_type": 6, "slice_group_count_minus1": 98, "chroma_qp_offset": -3, "constrained_intra": 1}
+        given = F.create_map(*(x for k, v in vals.items() for x in (F.lit(k), F.lit(v).cast("long"))))
+        bits = spark.range(1).select(X.write(given, X.PPS)).first()[0]
+        plain = spark.range(1).select(X.write(F.create_map(*(x for k, v in (vals | {"slice_group_map_type": 1}).items() for x in (F.lit(k), F.lit(v).cast("long")))), X.PPS)).first()[0]
+        ids = bits.index("0" * (99 * width))
+        assert len(bits) - len(plain) == 99 * width + 13 + 2  # the numbers, their count, and a longer code of the type
+        filled = bits[:ids] + "01" * (99 * width // 2) + bits[ids + 99 * width // 2 * 2 :]
+        for text in (bits, filled):
+            read = spark.createDataFrame([(text + "1",)], "b string").select(X.parse(F.col("b"), X.PPS).alias("p")).first()["p"]
+            assert read["ok"] and all(read["vals"][k] == v for k, v in vals.items()) and read["pos"] == len(bits)
+            assert X._read(text + "1", X.PPS, {}) == (len(bits), True, None)
+        cut = spark.createDataFrame([(bits[: ids + 99 * width - 1],)], "b string").select(X.parse(F.col("b"), X.PPS).alias("p")).first()["p"]
+        assert not cut["ok"] and cut["bad"] == "slice_group_ids"
