@@ -475,15 +475,14 @@ _REASONS = [
     {},
 ]
 _SQL_REASONS = ", ".join(f"({k}, {at}, '{error}')" for k, errors in enumerate(_REASONS) for at, error in errors.items())
-_CASE = "(regexp_extract({0}, '[0-9]+', 0)::INT // 10 - 1) * 5 + regexp_extract({0}, '[0-9]+', 0)::INT % 10 - 1"
 
 
-@query(f"""SELECT stream_id, at::INT AS at, error FROM (SELECT DISTINCT p_brand || '/' || (p_partkey // 4096) AS stream_id, {_CASE.format("p_brand")} AS k FROM part)
+@query(f"""SELECT stream_id, at::INT AS at, error FROM (SELECT DISTINCT p_brand || '/' || (p_partkey // 4096) AS stream_id, regexp_extract(p_brand, '[0-9]+', 0)::INT - 1 AS k FROM part)
 JOIN (VALUES {_SQL_REASONS}) r(k, at, error) USING (k)""")
 def decode_reasons(spark, sf_dir):
     """Streams of two by two macroblocks after the brand's own, each with one thing that is not decoded; codes are written as bits."""
     brand = F.regexp_extract("stream_id", "[0-9]+", 0).cast("int")
-    streams = stream_catalog.pcm_streams(spark, sf_dir).select("stream_id", "content", (F.floor(brand / 10) * 5 - 5 + brand % 10 - 1).cast("int").alias("k"))
+    streams = stream_catalog.pcm_streams(spark, sf_dir).select("stream_id", "content", (brand - 1).alias("k"))
     k = F.col("k")
 
     def pick(default: str, **other: str) -> Column:
