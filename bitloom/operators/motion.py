@@ -67,10 +67,17 @@ def edge_strengths(blocks: DataFrame) -> DataFrame:
     """stream_id, picture_id, bx, by, left_bs and top_bs of every 4x4 block, null where no block is beside it.
 
     ``blocks`` has stream_id, picture_id, bx, by, intra, coded and ref0, ref1
-    (pictures), x0, y0, x1, y1. Both windows are over the picture, which bounds
-    them, so the blocks are shuffled once.
+    (pictures), x0, y0, x1, y1; ``large``, if there, says that a block's
+    macroblock has transforms of 8x8, whose blocks are coded if any of their four
+    is and have no edges inside (strength 0). All windows are over the picture,
+    which bounds them, so the blocks are shuffled once.
     """
-    own = F.struct("bx", "by", "intra", "coded", *MOTION)
+    coded, large = F.col("coded"), F.lit(False)
+    if "large" in blocks.columns:
+        eight = W.partitionBy(*PICTURE, F.floor(F.col("bx") / 2), F.floor(F.col("by") / 2))
+        large = F.coalesce("large", F.lit(False))
+        coded = F.when(large, F.max("coded").over(eight)).otherwise(coded)
+    own = F.struct("bx", "by", "intra", coded.alias("coded"), large.alias("large"), *MOTION)
     rows = blocks.select(*PICTURE, own.alias("q"))
     row, column = F.col("q.by"), F.col("q.bx")
     over = W.partitionBy(*PICTURE)
@@ -80,6 +87,6 @@ def edge_strengths(blocks: DataFrame) -> DataFrame:
         q, p = F.col("q"), F.col(side)
         beside = (p[across] == q[across]) & (p[along] == q[along] - 1)
         made = deblock.strength(p["intra"] | q["intra"], q[along] % 4 == 0, p["coded"] | q["coded"], same_motion(p, q), F.lit(0), F.lit(0))
-        return F.when(beside, made).alias(f"{side}_bs")
+        return F.when(beside, F.when(q["large"] & (q[along] % 2 == 1), 0).otherwise(made)).alias(f"{side}_bs")
 
     return rows.select(*PICTURE, "q.bx", "q.by", bs("left", "bx", "by"), bs("top", "by", "bx"))

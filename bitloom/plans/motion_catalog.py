@@ -72,6 +72,21 @@ def edge_strengths(spark, sf_dir):
     return made.select("stream_id", "bx", "by", F.col("left_bs").cast("long").alias("left_bs"), F.col("top_bs").cast("long").alias("top_bs"))
 
 
+_SQL_LARGE = _SQL_SIDE.replace("AS bs FROM", "AS raw, q.large FROM")
+
+
+@query(f"""WITH plain AS (SELECT *, (bx // 4 + "by" // 4 + stream_id) % 2 = 0 AS large FROM {_SQL_BLOCKS}),
+eights AS (SELECT stream_id, bx // 2 AS ex, "by" // 2 AS ey, bool_or(coded) AS any_coded FROM plain GROUP BY ALL),
+blocks AS (SELECT p.* EXCLUDE (coded), CASE WHEN large THEN any_coded ELSE coded END AS coded FROM plain p JOIN eights e ON e.stream_id = p.stream_id AND ex = bx // 2 AND ey = "by" // 2)
+SELECT l.stream_id, l.bx, l."by", (CASE WHEN l.large AND l.bx % 2 = 1 AND l.raw IS NOT NULL THEN 0 ELSE l.raw END)::BIGINT AS left_bs, (CASE WHEN t.large AND t."by" % 2 = 1 AND t.raw IS NOT NULL THEN 0 ELSE t.raw END)::BIGINT AS top_bs
+FROM {_SQL_LARGE.format("bx", 'p.bx = q.bx - 1 AND p."by" = q."by"')} l JOIN {_SQL_LARGE.format('"by"', 'p."by" = q."by" - 1 AND p.bx = q.bx')} t USING (stream_id, bx, "by")""")
+def edge_strengths_8x8(spark, sf_dir):
+    """Boundary strengths where every other macroblock has transforms of 8x8."""
+    large = (F.floor(F.col("bx") / 4) + F.floor(F.col("by") / 4) + F.col("stream_id")) % 2 == 0
+    made = motion.edge_strengths(_blocks(spark, sf_dir).withColumn("large", large))
+    return made.select("stream_id", "bx", "by", F.col("left_bs").cast("long").alias("left_bs"), F.col("top_bs").cast("long").alias("top_bs"))
+
+
 _SQL_CODES = ", ".join(f"({size}, {n}, '{code}', {zeros})" for size, codes in M.ZERO_CODES.items() for n, row in codes.items() for zeros, code in enumerate(row))
 _SQL_BITS = "lpad(bin((l_orderkey * 7919 + l_partkey * 104729 + l_suppkey) % 4096), 12, '0')"
 
