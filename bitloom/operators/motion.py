@@ -74,7 +74,8 @@ def edge_strengths(blocks: DataFrame) -> DataFrame:
     """
     coded, large = F.col("coded"), F.lit(False)
     if "large" in blocks.columns:
-        eight = W.partitionBy(*PICTURE, F.floor(F.col("bx") / 2), F.floor(F.col("by") / 2))
+        # The peers of an order, not a smaller partition, which would have a shuffle of its own.
+        eight = W.partitionBy(*PICTURE).orderBy(F.floor(F.col("bx") / 2), F.floor(F.col("by") / 2)).rangeBetween(W.currentRow, W.currentRow)
         large = F.coalesce("large", F.lit(False))
         coded = F.when(large, F.max("coded").over(eight)).otherwise(coded)
     own = F.struct("bx", "by", "intra", coded.alias("coded"), large.alias("large"), *MOTION)
