@@ -20,13 +20,12 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(UNITS).option("multiLine", True).json(path)
 
 
-def _slice_bits(context: Column, values: Column) -> Column:
-    """The header of a slice by its kind; a table of weights where the values have one."""
-    kind = values["slice_type"] % 5
+def _key() -> Column:
+    """The table of a unit: of sets by their type, of slices by their kind, with weights where the picture set has them; null for none."""
+    kind = F.col("vals")["slice_type"] % 5
     weighted = F.when(kind == 0, F.col("pps")["weighted_pred"] == 1).when(kind == 1, F.col("pps")["weighted_bipred_idc"] == 1).otherwise(F.lit(False))
-    key = F.concat(F.get(F.array(*(F.lit(k) for k in "PBI")), kind.cast("int")), F.when(weighted, "w").otherwise(""))
-    both = F.when(F.col("nal_unit_type").isin(1, 5) & F.col("sps").isNotNull(), F.map_concat(context, values))
-    return X.write(both, X.SLICE_TABLES, key)
+    of_slice = F.concat(F.get(F.array(*(F.lit(k) for k in "PBI")), kind.cast("int")), F.when(weighted, "w").otherwise(""))
+    return F.when(F.col("nal_unit_type") == 7, "sps").when(F.col("nal_unit_type") == 8, "pps").when(F.col("nal_unit_type").isin(1, 5) & F.col("sps").isNotNull(), of_slice)
 
 
 def generate(units: DataFrame) -> DataFrame:
@@ -44,12 +43,12 @@ def generate(units: DataFrame) -> DataFrame:
     rows = S.newest_by_id(rows, pps, "pps_id", "pps").withColumn("sps_id", F.coalesce(F.col("pps")["sps_id"], F.lit(0)))
     rows = S.newest_by_id(rows, sps, "sps_id", "sps")
     context = H.slice_context(F.col("nal_unit_type"), F.col("nal_ref_idc"), F.col("sps"), F.col("pps"))
-    bits = (
-        F.when(F.col("nal_unit_type") == 7, X.write(F.col("vals"), X.SPS))
-        .when(F.col("nal_unit_type") == 8, X.write(F.col("vals"), X.PPS))
-        .when(F.col("nal_unit_type").isin(1, 5) & F.col("sps").isNotNull(), F.concat(_slice_bits(context, F.col("vals")), F.coalesce("data", F.lit(""))))
-    )
-    payload = F.when(F.col("raw_hex").isNotNull(), F.unhex("raw_hex")).otherwise(B.from_bits(B.trailing(bits)))
+    in_slice = F.col("nal_unit_type").isin(1, 5)
+    # One function for all tables, as each function gets every row.
+    values = F.when(in_slice, F.map_concat(context, "vals")).otherwise(F.col("vals"))
+    rows = rows.withColumn("written", X.write(values, {"sps": X.SPS, "pps": X.PPS, **X.SLICE_TABLES}, _key()))
+    bits = F.when(in_slice, F.concat("written", F.coalesce("data", F.lit("")))).otherwise(F.col("written"))
+    payload = F.when(F.col("raw_hex").isNotNull(), F.unhex("raw_hex")).otherwise(B.packed(B.trailing(bits)))
     written = rows.select("stream_id", F.col("at").alias("nal_idx"), annexb.unit(F.col("nal_ref_idc"), F.col("nal_unit_type"), payload).alias("unit"))
     return annexb.streams_of(written.where("unit is not null"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.functions import bits as B
 from bitloom.functions import syntax as X
 from bitloom.plans import sequence as S
 
@@ -15,8 +14,8 @@ def made_once(df: DataFrame, **made: Column) -> DataFrame:
 
 
 def _bits(table: list[X.Element]) -> Column:
-    """The bits of a payload that the table's elements can reach."""
-    return B.to_bits(F.substring("rbsp", 1, X.longest(table)))
+    """The bytes of a payload that the table's elements can reach."""
+    return F.substring("rbsp", 1, X.longest(table))
 
 
 #: Element of a map that stands for a set which cannot be used.

@@ -1,6 +1,7 @@
 """Batches of headers against the row-at-a-time reading of the same tables."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 
@@ -61,3 +62,31 @@ def test_batches_are_written_as_rows_are():
         got = columnar.write(pa.array([list(r.items()) for r in rows], MAPS), table).to_pylist()
         assert got == [X._put(table, r) for r in rows]
     assert columnar.write(pa.array([], MAPS), X.PPS).to_pylist() == []
+
+
+def test_bytes_are_read_as_their_bits():
+    rng = random.Random(9)
+    rows = [rng.randbytes(rng.randrange(0, 60)) for _ in range(300)]
+    known = pa.array([list(KNOWN.items())] * len(rows), MAPS)
+    for table in (X.PPS, X.SLICE_TABLES["Bw"]):
+        texts = pa.array(["".join(f"{b:08b}" for b in r) for r in rows], pa.string())
+        assert columnar.read(pa.array(rows, pa.binary()), table, known, X.RANGES).equals(columnar.read(texts, table, known, X.RANGES))
+
+
+def test_a_batch_of_long_payloads_is_read_in_pieces(monkeypatch):
+    rows = pa.array(["0" * 7 + "1" * 29_993] * 1_000, pa.string())
+    known = pa.array([list(KNOWN.items())] * len(rows), MAPS)
+    tracemalloc.start()
+    got = columnar.read(rows, X.SLICE_START, known, X.RANGES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1_000 and peak < 200_000_000  # of 30 MB of bits
+    monkeypatch.setattr(columnar, "cuts", lambda sizes: [(0, len(sizes))])
+    assert got.equals(columnar.read(rows.slice(0, 1_000), X.SLICE_START, known, X.RANGES))
+
+
+def test_cuts():
+    import numpy as np
+
+    assert columnar.cuts(np.array([5, 5, 1, 20, 0, 3]), rows=2, size=10) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert columnar.cuts(np.array([], int)) == []
