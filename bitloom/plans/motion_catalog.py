@@ -240,10 +240,10 @@ SELECT stream_id, at AS picture_id, slice_id, bx, byy AS block_row, CASE WHEN ke
 @query(_SQL_FIELD)
 def colocated_vectors(spark, sf_dir):
     """From slices and their lists to the vectors of blocks in temporal direct mode, by the motion that reference pictures left."""
-    pics = stream_catalog.events(spark, sf_dir).select("stream_id", "at", "is_ref")
+    pics = stream_catalog.events(spark, sf_dir).select("stream_id", "at")
     stores = stream_catalog._stores(spark, sf_dir)
     lists = S.lists_b(F.col("refs"), F.col("poc"))
-    stores = stores.select("stream_id", "at", "poc", *(x.alias(k) for k, x in zip(("l0", "l1"), lists))).join(pics, ["stream_id", "at"])
+    stores = stores.select("stream_id", "at", "poc", "is_ref", *(x.alias(k) for k, x in zip(("l0", "l1"), lists)))
 
     def one(number: int, a: str, b: str):
         counts = {k: F.transform(c, lambda r: r["poc"].cast("long")) for k, c in (("counts0", a), ("counts1", b))}

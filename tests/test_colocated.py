@@ -36,3 +36,10 @@ def test_blocks_look_at_the_corner_or_at_their_own_place(spark):
         assert got[missing] == ("spatial", None, None, None, None, None)
     own = {tuple(r)[:5]: tuple(r)[5:] for r in C.temporal_vectors(df, slices, C.motion_field(blocks, slices), by_8x8=False).collect()}
     assert own["s", 3, 0, 0, 0] == got["s", 3, 0, 0, 0] and own["s", 3, 0, 1, 0] == ("temporal", 0, 0, 0, 0, 0)
+
+
+def test_blocks_do_not_pass_through_the_driver(spark):
+    from bitloom.plans import motion_catalog
+
+    plan = motion_catalog.colocated_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
