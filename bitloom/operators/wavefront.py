@@ -2,7 +2,8 @@
 
 A vector is predicted from the blocks to the left, above and above to the right
 of it, so macroblocks with the same column plus twice the row do not need each
-other. All such macroblocks, of all slices of an Arrow batch, are one step in numpy.
+other. All such macroblocks, of all slices of a piece of an Arrow batch, are one step
+in numpy; a piece has a bounded number of macroblocks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitloom.functions.columnar import cuts
+
+#: Macroblocks whose field is held at a time, unless one slice has more: some 2 KB each. Every piece goes through all waves, so small ones cost time.
+MACROBLOCKS = 131_072
 #: Shapes of parts by number: predicted by the median, halves one above and one beside the other, skipped, spatial direct, and with a motion that is given.
 SHAPES = ("median", "16x8", "8x16", "skip", "direct", "given")
 _SHAPE = {name: no for no, name in enumerate(SHAPES)}
@@ -170,6 +175,16 @@ def _moved(batch: pa.RecordBatch) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count) * 16].astype(np.int32)), blocks)
 
 
+def _runs(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in cuts(np.asarray(batch.column("intra").value_lengths().fill_null(0)), max(batch.num_rows, 1), MACROBLOCKS):
+                piece = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), _moved(piece)], [*keep, "blocks"])
+
+    return run
+
+
 def slice_motion(slices: DataFrame) -> DataFrame:
     """``slices`` with blocks in place of parts: the motion of the 16 blocks of each macroblock, in raster order in it.
 
@@ -179,15 +194,9 @@ def slice_motion(slices: DataFrame) -> DataFrame:
     direct parts) and ``parts`` (array of ``PART``, those of a macroblock in coded
     order). Vectors wrap at 16 bits. Blocks of no part, as of intra macroblocks,
     have references of -1. A slice has at most a picture's macroblocks, so its row
-    is bounded; there is no shuffle.
+    is bounded; there is no shuffle. Pieces of a batch hold ``MACROBLOCKS`` at most.
     """
     given = ["width", "first_mb", "intra", "still", "parts"]
     keep = [f for f in slices.schema.fields if f.name not in given]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"blocks {BLOCKS}"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays([*columns, _moved(batch)], [*(f.name for f in keep), "blocks"])
-
-    return slices.mapInArrow(run, schema)
+    return slices.mapInArrow(_runs([f.name for f in keep]), schema)

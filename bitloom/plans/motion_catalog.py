@@ -317,7 +317,10 @@ def slice_motion(spark, sf_dir):
         "slice_id", F.when(down, 1).otherwise(F.size(mbs)).alias("width"), F.lit(0).alias("first_mb"), F.transform(mbs, lambda m: m["kind"] == "intra").alias("intra"),
         F.transform(mbs, lambda m: F.lit(0)).alias("still"), F.flatten(F.transform(mbs, parts)).alias("parts"),
     )
+    def ends(i: Column) -> Column:
+        both = {"first": F.get("blocks", i * 16), "last": F.get("blocks", i * 16 + 15)}
+        return F.struct(i.alias("mb"), *(at[c].alias(f"{c[:-1] if c[-1].isdigit() else c}_{name}") for name, at in both.items() for c in ("ref0", "x0", "y0")))
+
+    # What is kept of a macroblock is taken out before the rows are multiplied, so that no row has a copy of its slice's blocks.
     numbers = F.sequence(F.lit(0), (F.size("blocks") / 16).cast("int") - 1)
-    made = wavefront.slice_motion(slices).select("slice_id", "blocks", F.explode(numbers).alias("mb"))
-    ends = {"first": F.get("blocks", F.col("mb") * 16), "last": F.get("blocks", F.col("mb") * 16 + 15)}
-    return made.select("slice_id", "mb", *(at[c].alias(f"{c[:-1] if c[-1].isdigit() else c}_{name}") for name, at in ends.items() for c in ("ref0", "x0", "y0")))
+    return wavefront.slice_motion(slices).select("slice_id", F.inline(F.transform(numbers, ends)))

@@ -1,5 +1,8 @@
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from bitloom.operators import wavefront as V
 
 SHAPE = {n: i for i, n in enumerate(V.SHAPES)}
@@ -125,3 +128,23 @@ def test_empty_slices_and_no_slices(spark):
     got = {r["id"]: [tuple(b) for b in r["blocks"]] for r in V.slice_motion(slices(spark, rows)).collect()}
     assert got == {0: [], 1: [(-1, -1, 0, 0, 0, 0)] * 16, 2: [(0, -1, 0, 0, 0, 0)] * 16}
     assert V.slice_motion(slices(spark, rows).where("id < 0")).collect() == []
+
+
+def test_a_batch_of_many_slices_is_taken_in_pieces(spark, monkeypatch):
+    n = F.lit(0)
+    rows = spark.range(40, numPartitions=1).select(
+        "id", F.lit(5).alias("width"), n.alias("first_mb"), F.array_repeat(F.lit(False), 10).alias("intra"), F.array_repeat(n, 10).alias("still"),
+        F.transform(F.sequence(n, F.lit(9)), lambda i: V.part(i, "median", x0=F.col("id") - i, y0=i)).alias("parts"),
+    )
+    whole = sorted(V.slice_motion(rows).collect())
+    batch = pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in rows.collect()], pa.schema([
+        ("id", pa.int64()), ("width", pa.int32()), ("first_mb", pa.int32()), ("intra", pa.list_(pa.bool_())), ("still", pa.list_(pa.int32())),
+        ("parts", pa.list_(pa.struct([(f.split(":")[0], pa.int32()) for f in V.PART.split(",")]))),
+    ]))
+    sizes = []
+    moved = V._moved
+    monkeypatch.setattr(V, "_moved", lambda piece: sizes.append(piece.num_rows) or moved(piece))
+    monkeypatch.setattr(V, "MACROBLOCKS", 30)
+    made = [r for piece in V._runs(["id"])([batch]) for r in piece.to_pylist()]
+    assert sizes == [3] * 13 + [1]
+    assert made == [r.asDict(recursive=True) for r in whole]
