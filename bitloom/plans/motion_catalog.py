@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitloom.operators import bitmaps, colocated, compensation, frames, motion, wavefront
@@ -171,7 +172,7 @@ def level_codes(spark, sf_dir):
     return made.select("key", joined(F.col("m.levels")).alias("levels"), F.col("m.pos").cast("long").alias("pos"))
 
 
-# Blocks of seven sizes, one for each order, that show pictures of 128 by 64 samples, a tile for each part; vectors reach beyond all borders.
+# Blocks of seven sizes, one for each order, that show pictures of 128 by 64 samples, a tile for each part by its place among them, whatever their keys; vectors reach beyond all borders.
 _SQL_SHOWN = """(SELECT o_orderkey AS block_id, (o_custkey % n)::BIGINT AS ref0, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % n)::BIGINT END AS ref1, (o_orderkey % 8 * 16)::INT AS x, (o_orderkey // 8 % 4 * 16)::INT AS y,
   ([16, 16, 8, 8, 8, 4, 4])[(o_orderkey % 7 + 1)::INT] AS w, ([16, 8, 16, 8, 4, 8, 4])[(o_orderkey % 7 + 1)::INT] AS h,
   (o_custkey % 701 - 350)::INT AS x0, (o_orderkey % 523 - 261)::INT AS y0, (o_custkey % 97 - 48)::INT AS x1, (o_orderkey % 89 - 44)::INT AS y1, o_orderkey % 5 = 0 AS weighs FROM orders, (SELECT count(*) // 32 AS n FROM part))"""
@@ -192,6 +193,15 @@ _SQL_HALVES = ", ".join(
 _SQL_PLACES = "[g22, (g22+b+1)>>1, b, (g23+b+1)>>1, (g22+h+1)>>1, (b+h+1)>>1, (b+j+1)>>1, (b+m+1)>>1, h, (h+j+1)>>1, j, (j+m+1)>>1, (g32+h+1)>>1, (h+s+1)>>1, (j+s+1)>>1, (m+s+1)>>1]"
 
 
+def _numbered(parts: DataFrame) -> DataFrame:
+    """number: the parts' places from 0 by ranges of keys, whose counts are one slim row a range."""
+    ranged = parts.select("p_partkey", F.coalesce(F.floor(F.col("p_partkey") / 4096), F.lit(-1)).alias("range"))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    firsts = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("first"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("p_partkey"))
+    return ranged.select("range", (place - 1).alias("place")).join(firsts, "range").select((F.col("first") + F.col("place")).alias("number"))
+
+
 @query(f"""WITH blocks AS {_SQL_SHOWN}, lists AS (
   SELECT block_id, 0 AS list, ref0 AS ref, x, y, w, h AS hh, x0 AS vx, y0 AS vy, weighs FROM blocks UNION ALL SELECT block_id, 1, ref1, x, y, w, h, x1, y1, weighs FROM blocks WHERE ref1 IS NOT NULL),
 places AS (SELECT block_id, list, ref, i, weighs, (x + i % w + (vx >> 2))::BIGINT AS ix, (y + i // w + (vy >> 2))::BIGINT AS iy, (vy & 3) * 4 + (vx & 3) AS place FROM lists, range(256) t(i) WHERE i < w * hh),
@@ -202,9 +212,9 @@ SELECT 'parts' AS stream_id, block_id, md5(string_agg(printf('%02X', (CASE WHEN
 def motion_blocks(spark, sf_dir):
     """Blocks predicted from one or two reference pictures, a fifth of them weighted."""
     parts = table(spark, sf_dir, "part").select("p_partkey")
-    number = F.col("p_partkey") - 1
-    cells = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex(((F.col("p_partkey") * (F.floor(i / 16) + 3) + i % 16 * 7 + F.floor(i / 16) * (i % 16)) % 256).cast("long")), 2, "0"))
-    tiles = parts.select(F.lit("parts").alias("stream_id"), F.floor(number / 32).alias("picture_id"), (number % 8).alias("tx"), F.floor(number % 32 / 8).alias("ty"), F.unhex(F.array_join(cells, "")).alias("samples"))
+    number = F.col("number")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex((((number + 1) * (F.floor(i / 16) + 3) + i % 16 * 7 + F.floor(i / 16) * (i % 16)) % 256).cast("long")), 2, "0"))
+    tiles = _numbered(parts).select(F.lit("parts").alias("stream_id"), F.floor(number / 32).alias("picture_id"), (number % 8).alias("tx"), F.floor(number % 32 / 8).alias("ty"), F.unhex(F.array_join(cells, "")).alias("samples"))
     n = parts.agg(F.floor(F.count("*") / 32).alias("n"))
     o, c, kind = F.col("o_orderkey"), F.col("o_custkey"), (F.col("o_orderkey") % 7 + 1).cast("int")
     sizes = {k: F.element_at(F.array(*map(F.lit, v)), kind) for k, v in (("w", (16, 16, 8, 8, 8, 4, 4)), ("h", (16, 8, 16, 8, 4, 8, 4)))}

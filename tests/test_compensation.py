@@ -89,3 +89,18 @@ def test_chroma_blocks(spark):
 def test_no_blocks_and_no_tiles(spark):
     none = spark.createDataFrame([], "stream_id string, picture_id int, tx int, ty int, samples binary")
     assert C.compensate(spark.createDataFrame([], BLOCKS), none).collect() == []
+
+
+def test_pictures_of_parts_whose_keys_have_gaps(spark, tmp_path):
+    import duckdb
+
+    from bitloom.plans import catalog, motion_catalog
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT (i * 3000 + 17)::BIGINT AS p_partkey FROM range(64) t(i)) TO '{tmp_path}/part.parquet'")
+    con.execute(f"COPY (SELECT (i * 5 + 2)::BIGINT AS o_orderkey, (i * 7)::BIGINT AS o_custkey FROM range(40) t(i)) TO '{tmp_path}/orders.parquet'")
+    for name in ("part", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(con.execute(f"SELECT block_id, digest FROM ({catalog.SQL['motion_blocks']})").fetchall())
+    got = sorted(tuple(r) for r in motion_catalog.motion_blocks(spark, str(tmp_path)).select("block_id", "digest").collect())
+    assert len(want) == 40 and got == want
