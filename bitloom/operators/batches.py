@@ -76,6 +76,29 @@ def byte_sums(data: Column) -> Column:
     return run(data)
 
 
+def weighted_sums(values: Column) -> Column:
+    """struct<checksum, least, most> of an array<int> column: sums of values times their place from 1, modulo 97, plus 1; null for null, least and most null where it is empty."""
+
+    @F.arrow_udf("struct<checksum:bigint,least:bigint,most:bigint>")
+    def run(rows: pa.Array) -> pa.Array:
+        there = rows.is_valid().to_numpy(zero_copy_only=False)
+        sizes = np.asarray(rows.value_lengths().fill_null(0)).astype(np.int64)
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        some = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[some]
+        place = np.arange(len(flat)) - np.repeat(starts, sizes[some])
+        made = {"checksum": (np.add, flat * ((place + 1) % 97 + 1), ~there), "least": (np.minimum, flat, sizes == 0), "most": (np.maximum, flat, sizes == 0)}
+        columns = []
+        for reduce, v, missing in made.values():
+            out = np.zeros(len(rows), np.int64)
+            if len(some):
+                out[some] = reduce.reduceat(v, starts)
+            columns.append(pa.array(out, mask=missing))
+        return pa.StructArray.from_arrays(columns, list(made), mask=pa.array(~there))
+
+    return run(values)
+
+
 _SIGNS = np.array([[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -1, 1, -1]], dtype=np.int32)
 
 

@@ -16,6 +16,7 @@ from bitloom.functions import bits as B
 from bitloom.functions.let import let
 from bitloom.operators import batches, blocks, deblock, prediction
 from bitloom.plans import sequence as S
+from bitloom.plans.headers import made_once
 from bitloom.sources import annexb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,17 +256,13 @@ def _sql_big(mode: str, n: int) -> str:
     return f"SELECT p_partkey, list_sum(list_transform(v, lambda x, i: x * (i % 97 + 1)))::BIGINT AS checksum, list_min(v)::BIGINT AS least, list_max(v)::BIGINT AS most FROM ({inner})"
 
 
-def _summed(v: Column) -> list[Column]:
-    weighted = F.transform(v, lambda x, i: x.cast("long") * ((i + 1) % 97 + 1))
-    return [F.aggregate(weighted, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"), F.array_min(v).cast("long").alias("least"), F.array_max(v).cast("long").alias("most")]
-
-
 for _size, _kernel, _prefix in ((16, prediction.intra_16x16, "intra16x16"), (8, prediction.intra_chroma, "intra_chroma")):
     for _mode in ("vertical", "horizontal", "dc", "plane"):
 
         def _run(spark, sf_dir, mode=_mode, size=_size, kernel=_kernel):
-            rows = samples(spark, sf_dir, size)
-            return rows.select("p_partkey", kernel(mode, F.col("top"), F.col("beside"), F.col("corner")).alias("v")).select("p_partkey", *_summed(F.col("v")))
+            # The block is made once and summed by one function: expressions of it would predict it again for each sum.
+            rows = made_once(samples(spark, sf_dir, size), v=kernel(mode, F.col("top"), F.col("beside"), F.col("corner")))
+            return rows.select("p_partkey", batches.weighted_sums(F.col("v")).alias("s")).select("p_partkey", "s.*")
 
         query(_sql_big(_mode, _size), f"{_prefix}_{_mode}")(_run)
 

@@ -22,3 +22,21 @@ def test_no_streams(spark):
     split = Observation()
     assert annexb.nal_units(spark.createDataFrame([], "stream_id int, content binary"), split).collect() == []
     assert split.get == {"streams": 0, "start_codes": 0, "units": 0, "empty": 0}
+
+
+def test_weighted_sums_of_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from bitloom.operators import batches
+
+    rows = [list(range(120)), None, [], [7, 3]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, v array<int>").coalesce(1)
+    got = [r.s and tuple(r.s) for r in df.select("id", batches.weighted_sums(F.col("v")).alias("s")).orderBy("id").collect()]
+    assert got == [(sum(x * ((i + 1) % 97 + 1) for i, x in enumerate(rows[0])), 0, 119), None, (0, None, None), (7 * 2 + 3 * 3, 3, 7)]
+
+
+def test_predicted_blocks_are_made_once(spark):
+    from bitloom.plans import catalog
+
+    plan = catalog.QUERIES["intra16x16_horizontal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("run(") == 1
