@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +119,29 @@ def macroblock_residual(kind: Column, levels: Column, qp: Column, weights_4x4: C
     return run(kind, levels, qp.cast("int"), weights_4x4, weights_8x8)
 
 
+def block_texts(plane: Column, n: Column, side: int) -> Column:
+    """array<string>: the blocks of ``n`` by ``n``, 4 or 8, of a raster plane of ``side`` by ``side`` in coded order, their numbers joined by commas; null for null and for other sizes."""
+
+    @F.arrow_udf("array<string>")
+    def run(planes: pa.Array, sizes: pa.Array) -> pa.Array:
+        lengths = planes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        numbers = sizes.fill_null(0).to_numpy(zero_copy_only=False)
+        order, parts, done = np.full(len(planes), -1), [pa.array([], pa.list_(pa.string()))], 0
+        for size in (4, 8):
+            at = np.flatnonzero((lengths == side * side) & (numbers == size))
+            if len(at):
+                count, inner = (side // size) ** 2, np.arange(size * size)
+                places = ((_ROW[:count] * size)[:, None] + inner // size) * side + (_COLUMN[:count] * size)[:, None] + inner % size
+                values = planes.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, side * side)[:, places.ravel()]
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) * count + 1) * size * size, pa.int32()), pa.array(values.ravel()).cast(pa.string()))
+                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * count, pa.int32()), pc.binary_join(cells, ",")))
+                order[at] = np.arange(done, done + len(at))
+                done += len(at)
+        return pa.concat_arrays(parts).take(pa.array(order, mask=order < 0))
+
+    return run(plane, n.cast("int"))
+
+
 def _usable(rows: pa.Array, qps: pa.Array, size: int) -> np.ndarray:
     lengths = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return (lengths == size) & qps.is_valid().to_numpy(zero_copy_only=False)

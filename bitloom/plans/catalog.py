@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt to a few tasks for every core by a hash of their key: a small file is one task, whatever its rows cost."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def joined(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
 

@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bitloom.operators import blocks, residuals
+from bitloom.plans import kernel_catalog  # noqa: F401  (it adds to the catalog)
+from bitloom.plans.catalog import QUERIES
 
 KIND = "id int, kind string, levels array<int>, qp int, small array<int>, large array<int>"
 
@@ -41,3 +43,18 @@ def test_restored_samples_are_clipped(spark):
     rows = [(bytearray([250, 3, 7]), [10, -9, 1]), (None, [1]), (bytearray([1]), None), (bytearray([1, 2]), [1])]
     got = [r.v for r in spark.createDataFrame(rows, "p binary, r array<int>").select(residuals.restored(F.col("p"), F.col("r")).alias("v")).collect()]
     assert [v and bytes(v) for v in got] == [bytes([255, 0, 8]), None, None, None]
+
+
+def test_blocks_of_planes_are_told_in_coded_order(spark):
+    plane = list(range(256))
+    df = spark.createDataFrame([(0, plane, 4, 2), (1, plane, 8, 1), (2, None, 4, 1), (3, plane[:9], 4, 1), (4, plane, None, 1)], "id int, plane array<int>, n int, k int").repartition(1)
+    got = {r.id: r.v for r in df.select("id", residuals.block_texts(F.col("plane"), F.col("n"), 16).alias("v")).collect()}
+    for no, (n, count) in enumerate(((4, 16), (8, 4))):
+        rows = [((b >> 3 << 1 | b >> 1 & 1), (b >> 2 & 1) << 1 | b & 1) for b in range(count)]
+        assert got[no] == [",".join(str((r * n + i // n) * 16 + c * n + i % n) for i in range(n * n)) for r, c in rows]
+    assert got[2] is got[3] is got[4] is None
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark):
+    for name in ("macroblock_residuals", "scaling_matrices"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
