@@ -90,3 +90,28 @@ def test_cuts():
 
     assert columnar.cuts(np.array([5, 5, 1, 20, 0, 3]), rows=2, size=10) == [(0, 2), (2, 1), (3, 1), (4, 2)]
     assert columnar.cuts(np.array([], int)) == []
+
+
+def test_scaling_lists_of_a_batch_are_those_of_single_rows(spark):
+    """Absent lists, those of the default (first value 0), cut ones and whole ones"""
+    rng, rows = random.Random(5), [(0, None), (1, {})]
+    for no in range(2, 60):
+        made = {f"list_{i}": rng.randint(0, 1) for i in range(12) if rng.random() < 0.9}
+        for i in range(12):
+            size = 16 if i < 6 else 64
+            for j in range(rng.choice((0, 1, size // 2, size))):
+                made[f"list_{i}_{j}"] = rng.randint(0, 255) if rng.random() < 0.1 else rng.randint(1, 255)
+        rows.append((no, made))
+
+    def single(row):
+        known, lists = dict(row or ()), []
+        for i in range(12):
+            values = []
+            while known.get(f"list_{i}_{len(values)}"):
+                values.append(known[f"list_{i}_{len(values)}"])
+            lists.append(values + values[-1:] * ((16 if i < 6 else 64) - len(values)) if known.get(f"list_{i}") else None)
+        return lists
+
+    df = spark.createDataFrame(rows, "id int, vals map<string,bigint>").repartition(1)
+    got = {r.id: r.v for r in df.select("id", X.scaling_lists(df.vals).alias("v")).collect()}
+    assert got == {no: single(row) for no, row in rows}
