@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.bits import leading_zeros, u
 from bitloom.functions.let import let
+from bitloom.operators import coefficients as K
 from bitloom.operators import macroblocks as M
 
 # Codes of the number of coefficients (from the number of ones on) by the least nC of their class, -1 for chroma DC, and by trailing ones 0 to 3.
@@ -85,35 +86,14 @@ def with_tokens(rows: DataFrame) -> DataFrame:
 def read_blocks(rows: DataFrame, sizes: tuple[int, ...] = (4, 15, 16)) -> DataFrame:
     """``rows`` (nc, size, bits, pos) with block, the coefficients in scan order, and end, the position after them; null where the bits are no such block or are cut off.
 
-    ``size`` is one of ``sizes``. A token, the levels, the total of zeros and the
-    runs before each: two joins with tables of fixed size, the rest expressions.
+    ``size`` is one of ``sizes``. A token is found by a join with a table of
+    fixed size; the levels, the total of zeros and the runs before each are read
+    by one kernel.
     """
     keep = rows.columns
-    start = with_tokens(rows).withColumnRenamed("coefficients", "n")
-    fits = F.col("n") <= F.col("size")
-    start = start.withColumn("levels", F.when(fits, M.levels(F.col("bits"), F.col("pos") + F.col("length"), F.col("n"), F.col("ones"))))
-    # Blocks of 15 have the codes of those of 16, and none where all 15 are there.
-    start = start.withColumns({"given": F.struct(F.col("pos").alias("pos"), F.col("size").alias("size")), "pos": F.col("levels.pos").cast("int"), "coefficients": F.when(F.col("n") == F.col("size"), F.when(F.col("size") == 15, 16).otherwise(F.col("size"))).otherwise(F.col("n"))})
-    start = start.withColumn("size", F.when(F.col("size") == 15, 16).otherwise(F.col("size"))).drop("length")
-    found = M.with_zeros(start)
-    none = F.col("n") == 0
-    zeros = F.when(none, 0).when(F.col("n") + F.col("total_zeros") <= F.col("given.size"), F.col("total_zeros"))
-    found = found.withColumns({"zeros": zeros.cast("int"), "at": (F.col("pos") + F.when(none, 0).otherwise(F.col("length"))).cast("int")})
-    found = found.withColumn("runs", F.when(F.col("zeros").isNotNull(), runs_to(F.col("bits"), F.col("at"), F.col("n"), F.col("zeros"))))
-    out = found
-    for name in ("block", "end"):
-        made = F.when(F.col("runs.pos") <= F.length("bits"), F.col("runs.pos")) if name == "end" else _block(sizes)
-        out = out.withColumn(name, made)
-    whole = F.col("end").isNotNull()
-    out = out.withColumn("block", F.when(whole, F.col("block")))
-    return out.select(*(F.col(f"given.{c}").alias(c) if c in ("pos", "size") else F.col(c) for c in keep), "block", "end")
-
-
-def _block(sizes: tuple[int, ...]) -> Column:
-    out = F.lit(None).cast("array<int>")
-    for size in sizes:
-        out = F.when(F.col("given.size") == size, M.placed_levels(F.col("levels.levels"), F.col("runs.runs"), size)).otherwise(out)
-    return out
+    start = with_tokens(rows)
+    made = K.block(F.col("bits"), F.col("pos") + F.col("length"), F.col("size"), F.col("coefficients"), F.col("ones"), sizes)
+    return start.withColumn("made", made).select(*keep, "made.block", "made.end")
 
 
 def runs_to(bits: Column, pos: Column, coefficients: Column, zeros: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bitloom.operators import bitmaps, colocated, compensation, frames, motion, wavefront
+from bitloom.operators import coefficients as K
 from bitloom.operators import macroblocks as M
 from bitloom.plans.catalog import joined, table
 from bitloom.plans import sequence as S
@@ -168,7 +169,7 @@ def level_codes(spark, sf_dir):
     """Three levels read from the start of bit strings, none to three of them ones."""
     parts = F.lpad(F.bin((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 15485863) % 1048576), 20, "0"), F.lpad(F.bin(F.col("l_partkey") % 4096), 12, "0")
     rows = table(spark, sf_dir, "lineitem").select(F.expr(KEY), F.concat(*parts, F.lit("1" * 20)).alias("bits"), (F.col("l_linenumber") % 4).alias("ones"))
-    made = rows.select("key", M.levels(F.col("bits"), F.lit(0), F.lit(3), F.col("ones")).alias("m"))
+    made = rows.select("key", K.levels(F.col("bits"), F.lit(0), F.lit(3), F.col("ones")).alias("m"))
     return made.select("key", joined(F.col("m.levels")).alias("levels"), F.col("m.pos").cast("long").alias("pos"))
 
 

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from bitloom.operators import frames, motion
+from bitloom.operators import coefficients as K
 from bitloom.operators import macroblocks as M
 
 BLOCK = "stream_id string, picture_id int, bx int, by int, intra boolean, coded boolean, ref0 int, ref1 int, x0 int, y0 int, x1 int, y1 int"
@@ -108,3 +109,19 @@ def test_levels_come_back(spark):
         assert (r["m"] and (r["m"]["levels"], r["m"]["pos"])) == (r["want"] and (r["want"], len(r["bits"]) - 3))
     empty = table.limit(1).select(M.levels(F.col("bits"), F.col("pos"), F.lit(0), F.lit(0)).alias("m")).first()["m"]
     assert (empty["pos"], empty["levels"]) == (2, [])
+
+
+def test_levels_of_a_batch_are_those_of_single_blocks(spark):
+    """Whole codes and cut ones of random bits, with long runs of zeros, nulls and texts without bits."""
+    rng, rows = random.Random(11), [(-1, None, 0, 3, 1), (-2, "", 0, 0, 0), (-3, "1" * 20, None, 2, 0), (-4, "1" * 20, 30, 2, 0)]
+    for no in range(3000):
+        bits = "".join("0" * rng.choice((0, 1, 3, 14, 15, 16)) + "1" + f"{rng.getrandbits(30):030b}"[: rng.randint(0, 12)] + "1" for _ in range(rng.randint(1, 12)))
+        rows.append((no, bits, rng.randint(0, 4), rng.randint(0, 16), rng.randint(0, 3)))
+    table = spark.createDataFrame(rows, "no int, bits string, pos int, n int, ones int").repartition(2)
+    args = tuple(F.col(c) for c in ("bits", "pos", "n", "ones"))
+    got = {r.no: r.m for r in table.select("no", K.levels(*args).alias("m")).collect()}
+    want = {r.no: r.m for r in table.select("no", M.levels(*args).alias("m")).collect()}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    long = spark.createDataFrame([("0" * 40 + "1" * 60, 0, 1, 0)], "bits string, pos int, n int, ones int")
+    assert long.select(K.levels(*args).alias("m")).first().m is None
+    assert sum(v is not None for v in got.values()) > 500 and sum(v is None for v in got.values()) > 500
