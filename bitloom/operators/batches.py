@@ -99,6 +99,29 @@ def weighted_sums(values: Column) -> Column:
     return run(values)
 
 
+def scaling_list(deltas: Column, default: list[int]) -> Column:
+    """``blocks.scaling_list`` over whole Arrow batches: array<int> of as many values as ``default`` from an array of coded deltas."""
+    size = len(default)
+
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array) -> pa.Array:
+        sizes = np.asarray(rows.value_lengths().fill_null(0)).astype(np.int64)
+        flat = rows.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(rows)), sizes)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        steps, out = np.zeros((len(rows), size), np.int64), np.zeros((len(rows), size), np.int64)
+        steps[row[place < size], place[place < size]] = flat[place < size]
+        last, reads = np.full(len(rows), 8), np.ones(len(rows), bool)
+        for i in range(size):
+            value = np.where(reads, (last + steps[:, i]) % 256, 0)
+            reads = value != 0
+            last = out[:, i] = np.where(reads, value, last)
+        out[(8 + steps[:, 0]) % 256 == 0] = default
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size, pa.int32()), pa.array(out.ravel().astype(np.int32)))
+
+    return run(deltas)
+
+
 _SIGNS = np.array([[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -1, 1, -1]], dtype=np.int32)
 
 

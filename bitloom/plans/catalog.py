@@ -155,7 +155,7 @@ SELECT key, array_to_string(CASE WHEN (8 + ds[1]) % 256 = 0 THEN {blocks.DEFAULT
 def scaling_list_decode(spark, sf_dir):
     deltas = F.transform("c", lambda x: F.when((F.col("key") % 3 == 0) & (x > 15), -8).otherwise(x % 5))
     rows = lines(spark, sf_dir).select("key", deltas.alias("deltas")).distinct()
-    return rows.select("key", joined(blocks.scaling_list(F.col("deltas"), blocks.DEFAULT_4X4_INTRA)).alias("scaling"))
+    return rows.select("key", joined(batches.scaling_list(F.col("deltas"), blocks.DEFAULT_4X4_INTRA)).alias("scaling"))
 
 
 @query("""

@@ -40,3 +40,19 @@ def test_predicted_blocks_are_made_once(spark):
 
     plan = catalog.QUERIES["intra16x16_horizontal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and plan.count("run(") == 1
+
+
+def test_scaling_lists_of_a_batch_are_those_of_single_rows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from bitloom.operators import batches, blocks
+
+    rng = random.Random(3)
+    rows = [(0, None), (1, []), (2, [-8] + [1] * 15), (3, [248] * 20), (4, [None, 3, -11, 5]), (5, [2] * 40)]
+    rows += [(no, [rng.choice((rng.randint(-128, 127), rng.randint(-9, 3))) for _ in range(rng.randint(0, 20))]) for no in range(6, 400)]
+    df = spark.createDataFrame(rows, "id int, deltas array<int>").repartition(2)
+    args = F.col("deltas"), blocks.DEFAULT_4X4_INTRA
+    got = df.select("id", batches.scaling_list(*args).alias("v")).orderBy("id").collect()
+    assert got == df.select("id", blocks.scaling_list(*args).alias("v")).orderBy("id").collect()
