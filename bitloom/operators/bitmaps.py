@@ -1,8 +1,9 @@
 """Which macroblocks of a picture are there, as packed bit maps: completeness, overlaps and the first gap.
 
-A slice's addresses become maps of 32,768 bits, merged by OR to those of its
-picture. Both aggregations are partial before their shuffle, so what is sent is
-4 KB for each slice or picture and task at most, however many macroblocks it has.
+A slice's addresses become words of 60 bits, merged by OR to those of its
+picture. Words are numbers, so both aggregations are by hash, where maps of
+bytes were sorted with a row for every macroblock; and they are partial before
+their shuffle, so what is sent is a word for each 60 addresses and task at most.
 """
 
 from __future__ import annotations
@@ -10,18 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.sources.annexb import LATIN, byte_at
-
-BITS = 32_768
+#: Bits of a word; below 63, so that a full one plus one is still a number.
+BITS = 60
 _PICTURE = ["stream_id", "picture_id"]
 
 
-def first_gap(bitmap: Column) -> Column:
+def first_gap(word: Column) -> Column:
     """Number of the first bit that is not set; ``BITS`` if all are."""
-    full = F.length(F.regexp_extract(F.decode(bitmap, LATIN), "^ÿ*", 0))
-    v = F.coalesce(byte_at(bitmap, full), F.lit(0))
-    lowest = F.bitwise_not(v).bitwiseAND(v + 1)  # the lowest zero bit alone
-    return F.when(full * 8 >= BITS, BITS).otherwise(full * 8 + F.round(F.log2(lowest.cast("double"))).cast("int"))
+    lowest = F.bitwise_not(word).bitwiseAND(word + 1)  # the lowest zero bit alone
+    return F.bit_count(lowest - 1)
 
 
 def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -34,14 +32,15 @@ def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     null, negative and too large addresses are left out.
     """
     inside = blocks.join(sizes, _PICTURE).where((F.col("mb") >= 0) & (F.col("mb") < F.col("size")))
-    place = F.col("mb").cast("long") + 1
-    inside = inside.select(*_PICTURE, "slice_id", F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    slices = inside.groupBy(*_PICTURE, "slice_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    merged = slices.groupBy(*_PICTURE, "bucket").agg(F.bitmap_or_agg("map").alias("map"), F.sum(F.bitmap_count("map")).alias("stood"))
-    # A picture has a few maps; the first that is missing or not full has the gap.
-    one = F.struct("bucket", F.bitmap_count("map").alias("n"), first_gap(F.col("map")).alias("gap"))
-    whole = merged.groupBy(*_PICTURE).agg(F.array_sort(F.collect_list(one)).alias("maps"), F.sum(F.bitmap_count("map")).alias("covered"), F.sum("stood").alias("stood"))
-    reached = F.aggregate("maps", F.lit(0).cast("long"), lambda at, m: F.when(at == (m["bucket"] - 1) * BITS, at + m["gap"]).otherwise(at))
+    place = F.col("mb").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % BITS).cast("int"))
+    inside = inside.select(*_PICTURE, "slice_id", F.floor(place / BITS).alias("no"), bit.alias("bit"))
+    slices = inside.groupBy(*_PICTURE, "slice_id", "no").agg(F.bit_or("bit").alias("word"))
+    merged = slices.groupBy(*_PICTURE, "no").agg(F.bit_or("word").alias("word"), F.sum(F.bit_count("word")).alias("stood"))
+    # A picture has a word for each 60 addresses; the first that is missing or not full has the gap.
+    one = F.struct("no", first_gap(F.col("word")).alias("gap"))
+    whole = merged.groupBy(*_PICTURE).agg(F.array_sort(F.collect_list(one)).alias("words"), F.sum(F.bit_count("word")).cast("long").alias("covered"), F.sum("stood").alias("stood"))
+    reached = F.aggregate("words", F.lit(0).cast("long"), lambda at, w: F.when(at == w["no"] * BITS, at + w["gap"]).otherwise(at))
     rows = sizes.select(*_PICTURE, "size").join(whole, _PICTURE, "left")
     covered = F.coalesce("covered", F.lit(0))
     return rows.select(*_PICTURE, "size", covered.alias("covered"), (F.coalesce("stood", F.lit(0)) - covered).alias("overlapping"), F.when(covered < F.col("size"), F.coalesce(reached, F.lit(0))).alias("first_gap"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from bitloom.operators import frames, motion
+from bitloom.operators import bitmaps, frames, motion
 from bitloom.operators import coefficients as K
 from bitloom.operators import macroblocks as M
 
@@ -125,3 +125,31 @@ def test_levels_of_a_batch_are_those_of_single_blocks(spark):
     long = spark.createDataFrame([("0" * 40 + "1" * 60, 0, 1, 0)], "bits string, pos int, n int, ones int")
     assert long.select(K.levels(*args).alias("m")).first().m is None
     assert sum(v is not None for v in got.values()) > 500 and sum(v is None for v in got.values()) > 500
+
+
+def test_maps_of_addresses_are_aggregated_by_hash(spark, capsys):
+    """Edges of words, repeated rows, overlaps, an empty picture, and addresses that are left out."""
+    given = {1: (130, {(0, a) for a in range(130)}), 2: (121, {(0, a) for a in range(60)} | {(1, a) for a in range(59, 119)}), 3: (60, set()), 4: (33_000, {(0, 0), (1, 32_999), (2, 59), (2, 60)}), 5: (61, {(0, a) for a in range(1, 61)})}
+    blocks = [("s", p, s, a) for p, (_, found) in given.items() for s, a in found] * 2 + [("s", 3, 0, None), ("s", 3, 0, -1), ("s", 3, 0, 60)]
+    df = spark.createDataFrame(blocks, "stream_id string, picture_id long, slice_id int, mb long").repartition(3)
+    sizes = spark.createDataFrame([("s", p, size) for p, (size, _) in given.items()], "stream_id string, picture_id long, size long")
+    made = bitmaps.coverage(df, sizes)
+    for r in made.collect():
+        size, found = given[r.picture_id]
+        there = {a for _, a in found}
+        assert (r.covered, r.overlapping, r.first_gap) == (len(there), len(found) - len(there), next((a for a in range(size) if a not in there), None)), r
+    capsys.readouterr()
+    made.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_pictures_are_dealt_to_a_set_number_of_tasks(spark):
+    """Whatever they take in the shuffle: tasks that are merged by that sort many times as much."""
+    rows = [(i, 0, x, y, False, False, 0, None, 0, 0, 0, 0) for i in range(30) for x in range(4) for y in range(4)]
+    df = spark.createDataFrame(rows, "stream_id int, picture_id int, bx int, by int, intra boolean, coded boolean, ref0 int, ref1 int, x0 int, y0 int, x1 int, y1 int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert motion.edge_strengths(df).rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
