@@ -70,8 +70,11 @@ def edge_strengths(blocks: DataFrame) -> DataFrame:
     (pictures), x0, y0, x1, y1; ``large``, if there, says that a block's
     macroblock has transforms of 8x8, whose blocks are coded if any of their four
     is and have no edges inside (strength 0). All windows are over the picture,
-    which bounds them, so the blocks are shuffled once.
+    which bounds them, so the blocks are shuffled once, to as many tasks as
+    ``spark.sql.shuffle.partitions`` says: they shrink well, so tasks merged by
+    their size in the shuffle would each sort many times that.
     """
+    blocks = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PICTURE)
     coded, large = F.col("coded"), F.lit(False)
     if "large" in blocks.columns:
         # The peers of an order, not a smaller partition, which would have a shuffle of its own.

@@ -38,7 +38,9 @@ _SQL_BLOCKS = """(SELECT *, "by" // 8 AS slice_id, "by" * 16 + bx AS place, a %
 
 
 def _blocks(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("stream_id"), F.lit(0).alias("picture_id"), (F.col("l_partkey") % 16).alias("bx"), (F.col("l_orderkey") % 16).alias("by"))
+    # Not a constant: that would be left out of the windows' partitions but not of the shuffle's, and the blocks be shuffled again.
+    picture = (F.col("l_suppkey") * 0).cast("int").alias("picture_id")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("stream_id"), picture, (F.col("l_partkey") % 16).alias("bx"), (F.col("l_orderkey") % 16).alias("by"))
     rows = rows.agg(F.max("l_orderkey").alias("a"), F.max("l_partkey").alias("b"))
     a, b, by = F.col("a"), F.col("b"), F.col("by")
     refs = {"ref0": F.when(a % 4 > 0, a % 2), "ref1": F.when((b % 4 == 0) | (a % 4 == 0), b % 2)}
