@@ -149,3 +149,27 @@ def write(units: DataFrame, path: str, name: str = "stream_id", order: str = "at
     rows = lead.unionByName(units.select(name, order, F.concat("unit", zero).alias("unit")))
     rows = rows.repartition(name).sortWithinPartitions(name, F.col(order).asc_nulls_first())
     rows.select(name, F.col("unit").cast("string").alias("value")).write.partitionBy(name).option("lineSep", START).text(path)
+
+
+def write_parts(units: DataFrame, path: str, name: str = "stream_id", order: str = "at") -> None:
+    """Writes the units as ``write`` does, but each stream as a run of files in its folder, by as many tasks as there are shuffle partitions.
+
+    The tasks have ranges of (``name``, ``order``), so none has a whole stream,
+    and the files' part numbers are their order. Each is an Annex B file: units
+    have start codes of three bytes, and a zero behind them.
+    """
+    start = F.unhex(F.lit("000001"))
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.select(name, order, F.concat(start, "unit").alias("unit"))
+    rows = rows.repartitionByRange(parts, F.col(name), F.col(order).asc_nulls_first()).sortWithinPartitions(name, F.col(order).asc_nulls_first())
+    rows.select(name, F.col("unit").cast("string").alias("value")).write.partitionBy(name).option("lineSep", "\x00").text(path)
+
+
+def scan_parts(spark: SparkSession, path: str, name: str = "stream_id") -> DataFrame:
+    """stream_id, nal_idx (from 0 over all files of a stream) and nal of what ``write_parts`` wrote: ``scan``, with the units of the parts before counted by a window over one slim row for each file."""
+    units = scan(spark, path)
+    units = units.select(F.regexp_extract("stream_id", f"{name}=([^/]+)/", 1).alias("stream_id"), F.regexp_extract("stream_id", "/part-([0-9]+)-[^/]*$", 1).cast("int").alias("part"), "nal_idx", "nal")
+    sizes = units.groupBy("stream_id", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("stream_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    firsts = sizes.select("stream_id", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    return units.join(F.broadcast(firsts), ["stream_id", "part"]).select("stream_id", (F.col("before") + F.col("nal_idx")).alias("nal_idx"), "nal")

@@ -81,3 +81,20 @@ def test_written_files_are_read_back(spark, tmp_path, cut_into):
     for name in ("s0", "s1", "s2"):
         own = sorted((r.nal_idx, bytes(r.nal)) for r in got if f"stream_id={name}/" in r.stream_id)
         assert [n for _, n in own] == [bytes(u) for s, _, u in units if s == name]
+
+
+def test_streams_in_parts_are_numbered_through(spark, tmp_path, cut_into):
+    """No task has a whole stream, and cuts may fall anywhere in a part."""
+    rows = [(s, i, bytearray(b"g" + bytes([65 + i % 26]) * (i % 13) + b"\x01")) for s in "ab" for i in range(200)]
+    df = spark.createDataFrame(rows, "stream_id string, at int, unit binary").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        ranges.write_parts(df, f"file://{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(len(list((tmp_path / "out" / f"stream_id={s}").glob("part-*"))) >= 3 for s in "ab")
+    for size in (150,):
+        cut_into(size)
+        got = sorted((r.stream_id, r.nal_idx, bytes(r.nal)) for r in ranges.scan_parts(spark, f"file://{tmp_path}/out").collect())
+        assert got == [(s, i, bytes(u)) for s, i, u in rows], size
