@@ -115,3 +115,32 @@ def test_scaling_lists_of_a_batch_are_those_of_single_rows(spark):
     df = spark.createDataFrame(rows, "id int, vals map<string,bigint>").repartition(1)
     got = {r.id: r.v for r in df.select("id", X.scaling_lists(df.vals).alias("v")).collect()}
     assert got == {no: single(row) for no, row in rows}
+
+
+def test_long_headers_are_given_back_piece_by_piece(monkeypatch):
+    """A batch of many values is never all there at once"""
+    made = []
+    monkeypatch.setattr(X.F, "arrow_udf", lambda kind: lambda function: made.append(function) or (lambda *columns: None))
+    monkeypatch.setattr(X.F, "lit", lambda value: value)
+    X.parse(None, X.SLICE_TABLES, "known", "key")
+    X.write(None, X.SLICE_TABLES, "key")
+    X.payload(None, X.SLICE_TABLES, "key", "known", "data")
+    n = 2 * columnar.ROWS + 1
+    maps, keys = pa.array([list(KNOWN.items())] * n, MAPS), pa.array(["P"] * n)
+    for function, batch in zip(made, ([pa.array(["1" * 40] * n), maps, keys], [maps, keys], [maps, keys, maps, pa.array(["01"] * n)])):
+        pieces = [len(piece) for piece in function(iter([batch, batch]))]
+        assert sum(pieces) == 2 * n and max(pieces) <= columnar.ROWS
+
+
+def test_closed_payloads_are_texts_in_bytes():
+    """With bits after them, of any number; what is given goes before own values"""
+    rng, rows, after = random.Random(11), [], []
+    for _ in range(90):
+        rows.append({"slice_type": 5, "frame_num": rng.randrange(64), "poc_lsb": rng.randrange(32), "qp_delta": rng.randrange(-9, 9), "cabac": rng.randrange(2), "default_l0": 9})
+        after.append(rng.choice((None, "", "0", "1" * 8, "".join(rng.choice("01") for _ in range(rng.randrange(70))))))
+    maps, known = pa.array([list(r.items()) for r in rows], MAPS), pa.array([list(KNOWN.items())] * len(rows), MAPS)
+    for first in (0, 7):
+        got = columnar.write(maps[first:], X.SLICE_TABLES["Pw"], known[first:], pa.array(after, pa.string())[first:]).to_pylist()
+        for row, more, payload in zip(rows[first:], after[first:], got):
+            bits = X._put(X.SLICE_TABLES["Pw"], row | KNOWN) + (more or "") + "1"
+            assert "".join(f"{b:08b}" for b in payload) == bits + "0" * (-len(bits) % 8)
